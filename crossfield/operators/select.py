@@ -233,17 +233,17 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     return [n for n, t in df.dtypes if t in numeric and n not in set(exclude)]
 
 
+def imputed(c: Column, bound: float = 1e10) -> Column:
+    """0 for a missing value, infinities cut to the bound."""
+    return F.when(c.isNull() | F.isnan(c), 0.0).otherwise(F.greatest(F.least(c, F.lit(bound)), F.lit(-bound)))
+
+
 def training_rows(
     df: DataFrame, features: Sequence[str], target: str, impute: bool = True, weight: str | None = None
 ) -> DataFrame:
     """Rows a trainer accepts: features finite (imputed or dropped), target finite, weight set."""
     if impute:
-        big = 1e10
-        clean = {
-            c: F.coalesce(F.when(F.isnan(F.col(c).cast("double")), 0.0).otherwise(
-                F.greatest(F.least(F.col(c).cast("double"), F.lit(big)), F.lit(-big))), F.lit(0.0))
-            for c in features
-        }
+        clean = {c: imputed(F.col(c).cast("double")) for c in features}
         rows = df.withColumns(clean)
     else:
         rows = df.filter(_all([finite(F.col(c).cast("double")) for c in features]))
