@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossfield.catalog import base, modelling, reports, rows  # noqa: F401
+from crossfield.catalog import base, modelling, reports, rows, scoring  # noqa: F401
 
 _SHIPPED: set[str] = set()
 
