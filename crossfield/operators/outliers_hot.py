@@ -43,9 +43,9 @@ def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFr
     span = materialize(unique.groupBy(*keys).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("y").alias("mean_y"),
         F.count(F.lit(1)).alias("n_x"), F.sum("m").alias("n_rows")))
-    trend = robust_trend(attach(unique, span, keys), keys, limit)
-    facts = materialize(attach(span, trend, keys))
-    centred = attach(rows, facts, keys).withColumn("gp_mean", polynomial(scaled("log_E"), F.col("coef")))
+    trend = robust_trend(attach(unique, span, keys, per_hot_key=True), keys, limit)
+    facts = materialize(attach(span, trend, keys, per_hot_key=True))
+    centred = attach(rows, facts, keys, per_hot_key=True).withColumn("gp_mean", polynomial(scaled("log_E"), F.col("coef")))
     sigma = node_sigma(centred.withColumn("r", F.col("log_sigma") - F.col("gp_mean")), keys, config)
     placed = centred.withColumn("__cell", cell("log_E"))
     placed = attach(placed, sigma, [*keys, "__cell"])
@@ -113,22 +113,20 @@ def robust_trend(unique: DataFrame, keys: list[str], limit: int, rounds: int = R
     points = unique.withColumn("t", scaled("x"))
     current = _coefficients(_moments(points, keys, F.col("w")), keys).withColumn("settled", F.lit(False))
     for _ in range(rounds):
-        active = attach(points, current.filter("NOT settled"), keys, "inner")
+        active = attach(points, current.filter("NOT settled"), keys, "inner", per_hot_key=True)
         residual = active.withColumn("r", F.col("y") - polynomial(F.col("t"), F.col("coef")))
-        middle = group_percentiles(residual, keys, "r", {"med": 0.5}, limit)
-        away = attach(residual, middle, keys).withColumn("distance", F.abs(F.col("r") - F.col("med")))
-        mad = materialize(group_percentiles(away, keys, "distance", {"mad": 0.5}, limit)).filter("mad >= 1e-12")
-        if mad.isEmpty():
-            break
-        judged = attach(residual, mad, keys, "inner")
+        middle = group_percentiles(residual, keys, "r", {"med": 0.5}, limit, True)
+        away = attach(residual, middle, keys, per_hot_key=True).withColumn("distance", F.abs(F.col("r") - F.col("med")))
+        mad = materialize(group_percentiles(away, keys, "distance", {"mad": 0.5}, limit, True))
+        judged = attach(residual, mad.filter("mad >= 1e-12"), keys, "inner", per_hot_key=True)
         distance = F.abs("r") / (F.col("mad") * G.MAD_TO_SIGMA)
         factor = F.when(distance <= 3.0, 1.0).otherwise(3.0 / distance)
         fresh = _coefficients(_moments(judged, keys, F.col("w") * factor), keys)
-        moved = attach(judged, fresh.withColumnRenamed("coef", "next"), keys, "inner").groupBy(*keys).agg(
+        moved = attach(judged, fresh.withColumnRenamed("coef", "next"), keys, "inner", per_hot_key=True).groupBy(*keys).agg(
             F.first("next").alias("next"),
             F.max(F.abs(polynomial(F.col("t"), F.col("next")) - polynomial(F.col("t"), F.col("coef")))).alias("step"))
         update = moved.select(*keys, "next", (F.col("step") < 1e-4).alias("near"))
-        current = materialize(attach(current, update, keys).select(
+        current = materialize(attach(current, update, keys, per_hot_key=True).select(
             *keys, F.coalesce("next", "coef").alias("coef"),
             (F.col("settled") | F.coalesce("near", F.lit(True))).alias("settled")))
         if current.filter("NOT settled").isEmpty():
@@ -163,7 +161,7 @@ def node_sigma(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataF
     smooth = _smooth_nodes(sigma, keys, config)
     left = smooth.select(*keys, "share", F.col("x").alias("x0"), F.col("s").alias("s0"),
                          F.lead("x").over(order).alias("x1"), F.lead("s").over(order).alias("s1"))
-    return attach(cells.select(*keys, "__cell", "share"), left, [*keys, "share"]).drop("share")
+    return attach(cells.select(*keys, "__cell", "share"), left, [*keys, "share"], per_hot_key=True).drop("share")
 
 
 def _window_mad(rows: DataFrame, nodes: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
@@ -176,7 +174,7 @@ def _window_mad(rows: DataFrame, nodes: DataFrame, keys: list[str], config: Outl
     x = F.col("log_E")
 
     def spread(width_rows: DataFrame) -> DataFrame:
-        near = attach(rows.select(*keys, "log_E", "r"), width_rows, keys, "inner")
+        near = attach(rows.select(*keys, "log_E", "r"), width_rows, keys, "inner", per_hot_key=True)
         hit = F.filter("nodes", lambda n: (x >= n["x"] - n["half"]) & (x <= n["x"] + n["half"]))
         return near.select(*keys, "r", F.explode(F.transform(hit, lambda n: n["node"])).alias("node"))
 
@@ -185,13 +183,13 @@ def _window_mad(rows: DataFrame, nodes: DataFrame, keys: list[str], config: Outl
     reach = F.greatest(
         F.col("half"), F.coalesce(F.col("x") - F.col("before"), F.lit(0.0)), F.coalesce(F.col("after") - F.col("x"), F.lit(0.0)))
     few = F.coalesce(F.col("n"), F.lit(0)) < config.window_points
-    widened = materialize(attach(nodes, counts, part).withColumn("half", F.when(few, reach).otherwise(F.col("half"))))
+    widened = materialize(attach(nodes, counts, part, per_hot_key=True).withColumn("half", F.when(few, reach).otherwise(F.col("half"))))
     windows = spread(widened.groupBy(*keys).agg(F.collect_list(F.struct("node", "x", "half")).alias("nodes")))
-    middle = group_percentiles(windows, part, "r", {"med": 0.5}, config.score_rows)
-    away = attach(windows, middle, part).withColumn("distance", F.abs(F.col("r") - F.col("med")))
-    mad = group_percentiles(away, part, "distance", {"mad": 0.5}, config.score_rows)
+    middle = group_percentiles(windows, part, "r", {"med": 0.5}, config.score_rows, True)
+    away = attach(windows, middle, part, per_hot_key=True).withColumn("distance", F.abs(F.col("r") - F.col("med")))
+    mad = group_percentiles(away, part, "distance", {"mad": 0.5}, config.score_rows, True)
     floored = F.greatest(F.coalesce(F.col("mad") * G.MAD_TO_SIGMA, F.lit(0.0)), F.lit(config.sigma_floor))
-    return materialize(attach(widened, mad, part).select(*keys, "share", "node", "x", floored.alias("s")))
+    return materialize(attach(widened, mad, part, per_hot_key=True).select(*keys, "share", "node", "x", floored.alias("s")))
 
 
 def _smooth_nodes(sigma: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:

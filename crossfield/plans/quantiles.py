@@ -11,12 +11,13 @@ task ever holds more than ``limit`` rows of one key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crossfield.plans.scale import TASK_ROWS, attach, group_sizes, materialize
+from crossfield.plans.scale import TASK_ROWS, group_sizes, materialize
 
 CELLS = 4096
 
@@ -27,10 +28,16 @@ def group_percentiles(
     value: str,
     probabilities: dict[str, float],
     limit: int = TASK_ROWS,
+    assume_hot: bool = False,
 ) -> DataFrame:
-    """One row per key with a column per named probability (NULL values are ignored)."""
+    """One row per key with a column per named probability (NULL values are ignored).
+
+    ``assume_hot`` skips counting the groups when the caller knows they are large.
+    """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    if assume_hot:
+        return _by_narrowing(data, keys, probabilities, limit)
     sizes = group_sizes(data, keys, limit)
     if sizes.bounded:
         return _by_aggregate(data, keys, probabilities)
@@ -58,74 +65,80 @@ def _by_aggregate(data: DataFrame, keys: list[str], probabilities: dict[str, flo
 
 
 def _by_narrowing(
-    hot: DataFrame, keys: list[str], probabilities: dict[str, float], limit: int
+    data: DataFrame, keys: list[str], probabilities: dict[str, float], limit: int
 ) -> DataFrame:
-    names = list(probabilities)
-    # Every percentile needs two neighbouring order statistics (0-based ranks).
-    counts = hot.groupBy(*keys).agg(F.count("__v").alias("__n"))
+    """Shrink, per wanted rank, a value range [lo, hi] of m rows until m is small."""
+    spans = data.groupBy(*keys).agg(
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("__v").alias("__m"))
+    # Every percentile lies between two neighbouring order statistics (0-based ranks).
+    position = {i: F.lit(float(p)) * (F.col("__m") - 1) for i, p in enumerate(probabilities.values())}
     wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("__target"), F.lit(side).alias("__side"),
-            side_rank(F.lit(float(p)) * (F.col("__n") - 1)).cast("long").alias("__rank"),
-        )
-        for i, p in enumerate(probabilities.values())
-        for side, side_rank in ((0, F.floor), (1, F.ceil))
+        F.struct(F.lit(i).alias("__target"), F.lit(side).alias("__side"), (at - F.floor(at)).alias("__f"),
+                 rank(at).cast("long").alias("__rank"))
+        for i, at in position.items() for side, rank in ((0, F.floor), (1, F.ceil))
     ])
-    targets = materialize(counts.select(*keys, "__n", F.inline(wanted)))
-    slot = keys + ["__target", "__side"]
-
-    rows = attach(hot, targets.groupBy(*keys).agg(
-        F.collect_list(F.struct("__target", "__side")).alias("__slots")), keys)
-    rows = rows.select(*keys, "__v", F.inline("__slots"))
-    pending = targets.select(*slot, "__rank")
-    found = None
-    while True:
-        spans = rows.groupBy(*slot).agg(
-            F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("__v").alias("__m"))
-        spans = materialize(spans.join(pending, slot))
-        done = spans.filter(F.col("__lo") == F.col("__hi")).select(*slot, F.col("__lo").alias("__x"))
-        small = spans.filter((F.col("__lo") < F.col("__hi")) & (F.col("__m") <= limit))
-        large = spans.filter((F.col("__lo") < F.col("__hi")) & (F.col("__m") > limit))
-        done = done.unionByName(_pick_rank(rows, small, slot))
-        found = materialize(done if found is None else found.unionByName(done))
-        if large.isEmpty():
-            break
-        rows, pending = _narrow(rows, large, slot)
-
-    low_high = found.groupBy(*keys, "__target").agg(
+    frontier = materialize(spans.select("*", F.inline(wanted)))
+    open_range = (F.col("__m") > limit) & (F.col("__lo") < F.col("__hi"))
+    while not frontier.filter(open_range).isEmpty():
+        narrowed = _narrow(data, keys, frontier.filter(open_range))
+        frontier = materialize(frontier.filter(~open_range).unionByName(narrowed))
+
+    found = _pick(data, keys, frontier)
+    sides = found.groupBy(*keys, "__target", "__f").agg(
         F.max(F.when(F.col("__side") == 0, F.col("__x"))).alias("__a"),
-        F.max(F.when(F.col("__side") == 1, F.col("__x"))).alias("__b"),
-    )
-    shares = F.create_map(*[F.lit(v) for i, p in enumerate(probabilities.values()) for v in (i, float(p))])
-    ranked = low_high.join(F.broadcast(counts), keys).withColumn(
-        "__f", shares[F.col("__target")] * (F.col("__n") - 1))
-    ranked = ranked.withColumn("__f", F.col("__f") - F.floor("__f"))
+        F.max(F.when(F.col("__side") == 1, F.col("__x"))).alias("__b"))
     value = F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))
-    return ranked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("__target") == i, value)).alias(name) for i, name in enumerate(names)
-    ])
+    return sides.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__target") == i, value)).alias(name) for i, name in enumerate(probabilities)])
+
+
+def _renamed(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """The table with ``columns`` renamed, and null-safe equality with the original names."""
+    other = {c: f"__r_{c}" for c in columns}
+    equal = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in other.items()])
+    return df.withColumnsRenamed(other), equal
+
+
+def _in_ranges(data: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """Rows whose value lies in one of their key's ranges (a few per key, so broadcast)."""
+    ranges, same = _renamed(ranges, keys)
+    inside = same & F.col("__v").between(F.col("__lo"), F.col("__hi"))
+    return data.join(F.broadcast(ranges), inside).select(*keys, "__v", "__lo", "__hi")
+
+
+def _covering(counted: DataFrame, span: list[str], order: str) -> DataFrame:
+    """Add the number of rows before (``__before``) and up to (``__upto``) each counted step."""
+    upto = F.sum("__c").over(Window.partitionBy(*span).orderBy(order))
+    return counted.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__c"))
 
 
-def _pick_rank(rows: DataFrame, small: DataFrame, slot: list[str]) -> DataFrame:
-    """The value at the wanted rank where few rows are left."""
-    left = rows.join(F.broadcast(small.select(*slot, "__rank")), slot)
-    tied = left.groupBy(*slot, "__rank", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*slot).orderBy("__v"))
-    covers = (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__c") <= F.col("__rank"))
-    return tied.withColumn("__upto", upto).filter(covers).select(*slot, F.col("__v").alias("__x"))
+def _at_rank(steps: DataFrame, targets: DataFrame, span: list[str]) -> DataFrame:
+    """Join every target to the step that holds its rank."""
+    wanted, same = _renamed(targets.select(*span, "__target", "__side", "__f", "__rank"), span)
+    held = (F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__upto"))
+    return steps.join(F.broadcast(wanted), same & held)
 
 
-def _narrow(rows: DataFrame, large: DataFrame, slot: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Keep, per slot, only the cell that holds the wanted rank."""
-    spanned = rows.join(F.broadcast(large.select(*slot, "__lo", "__hi", "__rank")), slot)
+def _narrow(data: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """One pass: count equal-width cells of each open range, keep the cell of each rank."""
+    span = [*keys, "__lo", "__hi"]
+    rows = _in_ranges(data, keys, targets.select(*span).distinct())
     share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    celled = spanned.withColumn("__cell", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
-    histogram = celled.groupBy(*slot, "__rank", "__cell").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*slot).orderBy("__cell"))
-    holding = histogram.withColumn("__upto", upto).filter(
-        (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__c") <= F.col("__rank")))
-    chosen = materialize(holding.select(
-        *slot, "__cell", (F.col("__rank") - F.col("__upto") + F.col("__c")).alias("__next")))
-    kept = celled.drop("__rank").join(F.broadcast(chosen), slot + ["__cell"])
-    pending = chosen.select(*slot, F.col("__next").alias("__rank"))
-    return kept.select(*slot, "__v"), pending
+    cells = rows.groupBy(*span, F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).alias("__cell")).agg(
+        F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__first"), F.max("__v").alias("__last"))
+    steps = _covering(cells, span, "__cell")
+    return _at_rank(steps, targets, span).select(
+        *keys, F.col("__first").alias("__lo"), F.col("__last").alias("__hi"), F.col("__c").alias("__m"),
+        "__target", "__side", "__f", (F.col("__rank") - F.col("__before")).alias("__rank"))
+
+
+def _pick(data: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """The value at each rank once its range is small or holds a single value."""
+    span = [*keys, "__lo", "__hi"]
+    flat = F.col("__lo") == F.col("__hi")
+    rows = _in_ranges(data, keys, targets.filter(~flat).select(*span).distinct())
+    tied = rows.groupBy(*span, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    steps = _covering(tied, span, "__v")
+    picked = _at_rank(steps, targets.filter(~flat), span).select(
+        *keys, "__target", "__side", "__f", F.col("__v").alias("__x"))
+    return picked.unionByName(targets.filter(flat).select(*keys, "__target", "__side", "__f", F.col("__lo").alias("__x")))

@@ -44,8 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a small intermediate once and cut its lineage."""
+    if getattr(df, "lineage_cut", False):
+        return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out.lineage_cut = True
+    return out
 
 
 def rows_up_to(df: DataFrame, limit: int) -> bool:
@@ -98,9 +102,16 @@ def attach(
     how: str = "left",
     hot_rows: int = TASK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    per_hot_key: bool = False,
 ) -> DataFrame:
-    """Join one-row-per-key ``facts`` to ``df`` without piling a hot key on one task."""
+    """Join one-row-per-key ``facts`` to ``df`` without piling a hot key on one task.
+
+    ``per_hot_key`` says that every key of ``facts`` is a hot one. Their number is bounded
+    by the rows over the hot limit, so the table is broadcast without counting it first.
+    """
     keys = list(keys)
+    if per_hot_key:
+        return _join_facts(df, F.broadcast(facts), keys, how)
     facts = materialize(facts)
     if rows_up_to(facts, broadcast_rows):
         return _join_facts(df, F.broadcast(facts), keys, how)
