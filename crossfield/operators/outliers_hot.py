@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from crossfield.operators import group_fit as G
@@ -90,7 +91,7 @@ def _moments(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
         *[F.sum(power(p) * F.col("y")).alias(f"b{p}") for p in range(G.DEGREE + 1)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(moments: pd.Series) -> pd.Series:
     """Coefficients from the moments of one group per row."""
     def solve(m):
