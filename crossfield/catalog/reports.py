@@ -469,10 +469,10 @@ def small_groups(spark, sf):
 @register("w15_log_space_uncertainty", f"""
 , u AS (SELECT *, CASE WHEN Uncertainty > 0 THEN Uncertainty / CrossSection END AS rel FROM q),
 g AS (SELECT Z, A, MT, Projectile, max(rel) AS top FROM u GROUP BY ALL)
-SELECT Z, A, MT, Projectile, count(*) AS n, {r('avg(0.434::DOUBLE * least(greatest(coalesce(rel, top), 0.01::DOUBLE), 1.0::DOUBLE))')} AS mean FROM u JOIN g USING (Z, A, MT, Projectile) GROUP BY ALL""")
+SELECT Z, A, MT, Projectile, count(*) AS n, {r('sum(0.434::DOUBLE * least(greatest(coalesce(rel, top), 0.01::DOUBLE), 1.0::DOUBLE))')} AS total FROM u JOIN g USING (Z, A, MT, Projectile) GROUP BY ALL""")
 def log_space(spark, sf):
     out = outliers.log_space_uncertainty(clean(spark, sf), FULL_KEYS)
-    return out.groupBy(*FULL_KEYS).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("log_uncertainty")).alias("mean"))
+    return out.groupBy(*FULL_KEYS).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("log_uncertainty")).alias("total"))
 
 
 # -------------------------------------------------------------------- ranking

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crossfield import constants as K
 from crossfield.functions.scalars import finite
 from crossfield.plans.ordering import with_previous
-from crossfield.plans.quantiles import table_percentiles
+from crossfield.plans.quantiles import PERCENTILE_ROWS, table_percentiles
 from crossfield.plans.scale import TASK_ROWS, attach
 
 
@@ -38,7 +38,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, log_space: boo
 
 
 def holdout_metrics(
-    df: DataFrame, truth: str, predicted: str, truth_log: str, predicted_log: str, limit: int = TASK_ROWS
+    df: DataFrame, truth: str, predicted: str, truth_log: str, predicted_log: str, limit: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Metrics in log and linear space over finite rows; NULL with fewer than two rows."""
     valid = df.filter(finite(truth) & finite(predicted) & finite(truth_log) & finite(predicted_log))

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from crossfield.functions.scalars import finite
 from crossfield.operators import group_fit as G
 from crossfield.operators.profile import with_logs
-from crossfield.plans.quantiles import group_percentiles
-from crossfield.plans.scale import TASK_ROWS, attach, group_sizes
+from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles
+from crossfield.plans.scale import attach, group_sizes, materialize
 
 # Rows of one group a task scores at once: about two seconds of work.
 SCORE_ROWS = 200_000
@@ -98,13 +98,14 @@ def score_in_tasks(rows: DataFrame, keys: list[str], config: OutlierConfig) -> D
 
 # --------------------------------------------------- pieces as plain plans
 def score_by_median(
-    df: DataFrame, keys: list[str], y: str = "log_sigma", point_z: float = 3.0, limit: int = TASK_ROWS
+    df: DataFrame, keys: list[str], y: str = "log_sigma", point_z: float = 3.0, limit: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Median and MAD scores of every group, from exact percentiles joined back."""
     scale = F.col("__mad") * G.MAD_TO_SIGMA
-    centred = attach(df, group_percentiles(df, keys, y, {"gp_mean": 0.5}, limit), keys)
+    sizes = group_sizes(df, keys, limit)
+    centred = attach(df, group_percentiles(df, keys, y, {"gp_mean": 0.5}, limit, sizes=sizes), keys)
     away = centred.withColumn("__away", F.abs(F.col(y) - F.col("gp_mean")))
-    spread = group_percentiles(away, keys, "__away", {"__mad": 0.5}, limit)
+    spread = group_percentiles(away, keys, "__away", {"__mad": 0.5}, limit, sizes=sizes)
     spread = spread.select(*keys, F.when(scale < 1e-10, 1e-6).otherwise(scale).alias("gp_std"))
     out = attach(away, spread, keys)
     return out.withColumn("z_score", F.col("__away") / F.col("gp_std")).withColumn(
@@ -126,7 +127,7 @@ def known_uncertainty() -> Column:
     return finite("Uncertainty") & (F.col("Uncertainty") > 0) & F.coalesce(F.col("CrossSection") > 0, F.lit(False))
 
 
-def add_fit_weights(df: DataFrame, keys: list[str], limit: int = TASK_ROWS) -> DataFrame:
+def add_fit_weights(df: DataFrame, keys: list[str], limit: int = PERCENTILE_ROWS) -> DataFrame:
     """``fit_weight``: clipped inverse variance, NULL in groups with too few uncertainties."""
     relative = F.least(F.greatest(0.434 * F.col("Uncertainty") / F.col("CrossSection"), F.lit(0.005)), F.lit(0.5))
     raw = F.when(known_uncertainty(), 1.0 / (relative * relative)).otherwise(1.0)
@@ -152,8 +153,8 @@ def flag_experiments(
 
     Counts are combined per (group, experiment); only flagged pairs are joined back.
     """
-    per = df.groupBy(*keys, entry).agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if(F.col("z_score") > z_limit).alias("__bad"))
+    per = materialize(df.groupBy(*keys, entry).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(F.col("z_score") > z_limit).alias("__bad")))
     groups = per.groupBy(*keys).agg(F.sum("__n").alias("__rows"), F.count(entry).alias("__experiments"))
     flagged = attach(per, groups, keys).filter(
         (F.col("__bad") / F.col("__n") > share) & (F.col("__experiments") > 1) & (F.col("__rows") >= min_group)

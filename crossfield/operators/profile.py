@@ -12,7 +12,7 @@ from crossfield import constants as K
 from crossfield.functions import labels as L
 from crossfield.functions.scalars import clipped_log10, finite
 from crossfield.operators.select import remaining_mask
-from crossfield.plans.quantiles import group_percentiles, table_percentiles
+from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles, table_percentiles
 from crossfield.plans.scale import TASK_ROWS, attach, group_sizes, materialize
 
 NUCLIDE = ["Z", "A"]
@@ -384,7 +384,7 @@ def z_density_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def iqr_outliers(
-    df: DataFrame, mts: Sequence[int] = tuple(K.MT_REACTOR_CORE), min_rows: int = 10, limit: int = TASK_ROWS
+    df: DataFrame, mts: Sequence[int] = tuple(K.MT_REACTOR_CORE), min_rows: int = 10, limit: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Quartiles and rows above Q3 + 1.5 IQR per reaction with more than ``min_rows`` rows."""
     valid = df.filter(F.col("MT").isin(list(mts)) & (F.col("CrossSection") > 0))

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crossfield.plans.scale import TASK_ROWS, group_sizes, materialize
+from crossfield.plans.scale import GroupSizes, group_sizes, materialize
 
 CELLS = 4096
+# Rows of a key up to which one hash map of its values is the better plan.
+PERCENTILE_ROWS = 1_000_000
 
 
 def group_percentiles(
@@ -27,18 +29,20 @@ def group_percentiles(
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    limit: int = TASK_ROWS,
+    limit: int = PERCENTILE_ROWS,
     assume_hot: bool = False,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """One row per key with a column per named probability (NULL values are ignored).
 
-    ``assume_hot`` skips counting the groups when the caller knows they are large.
+    ``assume_hot`` skips counting the groups when the caller knows they are large, and
+    ``sizes`` reuses counts taken before over the same keys.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     if assume_hot:
         return _by_narrowing(data, keys, probabilities, limit)
-    sizes = group_sizes(data, keys, limit)
+    sizes = sizes or group_sizes(data, keys, limit)
     if sizes.bounded:
         return _by_aggregate(data, keys, probabilities)
     ordinary, hot = sizes.split(data)
@@ -48,7 +52,7 @@ def group_percentiles(
 
 
 def table_percentiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], limit: int = TASK_ROWS
+    df: DataFrame, value: str, probabilities: dict[str, float], limit: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Percentiles of a whole column: always one key, so the size decides the plan."""
     return group_percentiles(
