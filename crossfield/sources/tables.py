@@ -48,20 +48,17 @@ def select_measurements(
     return rows.limit(PREVIEW_ROWS) if preview else rows
 
 
-def write_measurements(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), files_per_key: int = 8
-) -> None:
+def write_measurements(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite a Parquet folder.
 
-    With partition columns, rows are spread over ``files_per_key`` tasks per key, so that
-    a key with most of the rows is neither one task nor ten thousand small files.
+    With partition columns, rows are rebalanced by them: adaptive execution gathers small
+    keys and cuts a key with most of the rows into tasks (and files) of the advised size,
+    so it is neither one task nor ten thousand small files.
     """
-    if partition_by:
-        # A salt of the row's own values: a retried task sends a row where it went before.
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
-        df = df.withColumn("__salt", salt).repartition(*partition_by, "__salt").drop("__salt")
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return
+    df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def partition_report(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
