@@ -59,7 +59,7 @@ def _reference_parts(spark, sf):
     return masses, first, second, state
 
 
-_STRUCT = ", st AS (SELECT DISTINCT Z, A, A / 2.0 AS sp, l, A * 10.0 + l AS h FROM m, (VALUES (0), (1)) v(l) WHERE A % 5 <> 0)"
+_STRUCT = ", st AS (SELECT DISTINCT Z, A, A / 2.0 AS sp, l, A * 10.0::DOUBLE + l AS h FROM m, (VALUES (0), (1)) v(l) WHERE A % 5 <> 0)"
 _BASE = """, b AS (SELECT ref.Z, ref.A, Mass_Excess_keV, CASE WHEN ref.A % 2 = 0 THEN S_2n_keV END AS S_2n_keV, CASE WHEN ref.A % 3 = 0 THEN S_1n_keV END AS S_1n_keV FROM ref)"""
 
 
@@ -124,13 +124,13 @@ g AS (SELECT *, abs(nn - Shell_Closure_N) AS Valence_N, abs(Z - Shell_Closure_P)
 
 
 @register("t06_tier_features", _TIERS + f"""
-SELECT Z, A, MT, count(*) AS n, {r('avg(kr)')} AS kr, sum(out_n) AS out_n, {r('sum(CASE WHEN Valence_N + Valence_P = 0 THEN 0 ELSE Valence_N * Valence_P / (Valence_N + Valence_P)::DOUBLE END)', 4)} AS p_factor,
+SELECT Z, A, MT, count(*) AS n, {r('avg(kr)')} AS kr, CAST(sum(out_n) AS BIGINT) AS out_n, {r('sum(CASE WHEN Valence_N + Valence_P = 0 THEN 0 ELSE Valence_N * Valence_P / (Valence_N + Valence_P)::DOUBLE END)', 4)} AS p_factor,
   {r('any_value(Mass_Excess_keV / 1000)')} AS mass, {r('any_value(Q_alpha_keV / 1000)')} AS q_alpha, {r('any_value(log10(greatest(CASE WHEN isinf(Half_Life_s) THEN 1e30 ELSE Half_Life_s END, 1e-30)))')} AS half_life
 FROM (SELECT *, 0.22 * sqrt(Energy / 1e6) * 1.25 * pow(A, 1.0/3.0) AS kr FROM g) GROUP BY ALL""", reference=True)
 def tier_features(spark, sf):
     rows = features.tabular(clean(spark, sf), reference(spark, sf), list("ABCDE"))
     return rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.avg("kR")).alias("kr"), F.sum("out_n").alias("out_n"), rounded(F.sum("P_Factor"), 4).alias("p_factor"),
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("kR")).alias("kr"), F.sum("out_n").cast("long").alias("out_n"), rounded(F.sum("P_Factor"), 4).alias("p_factor"),
         rounded(F.first("Mass_Excess_MeV")).alias("mass"), rounded(F.first("Q_alpha_MeV")).alias("q_alpha"), rounded(F.first("Half_Life_log10_s")).alias("half_life"))
 
 
@@ -142,18 +142,18 @@ def kev_to_mev(spark, sf):
 
 
 @register("t08_reaction_subset", _TIERS + """
-SELECT Z, MT, count(*) AS n, sum(out_g) AS out_g, sum(out_f) AS out_f FROM g WHERE MT IN (18, 102) GROUP BY ALL""", reference=True)
+SELECT Z, MT, count(*) AS n, CAST(sum(out_g) AS BIGINT) AS out_g, CAST(sum(out_f) AS BIGINT) AS out_f FROM g WHERE MT IN (18, 102) GROUP BY ALL""", reference=True)
 def reaction_subset(spark, sf):
     rows = features.tabular(clean(spark, sf), reference(spark, sf), ["A", "D"], reactions=[18, 102])
     return rows.groupBy("Z", "MT").agg(F.count(F.lit(1)).alias("n"), F.sum("out_g").alias("out_g"), F.sum("out_f").alias("out_f"))
 
 
 @register("f24_projected_holdout", _TIERS + """
-SELECT A, count(*) AS n, sum(out_n) AS out_n, sum(Valence_N) AS valence FROM g WHERE Z = 2 AND MT = 16 GROUP BY A""", reference=True)
+SELECT A, count(*) AS n, CAST(sum(out_n) AS BIGINT) AS out_n, CAST(sum(Valence_N) AS BIGINT) AS valence FROM g WHERE Z = 2 AND MT = 16 GROUP BY A""", reference=True)
 def projected_holdout(spark, sf):
     _, held = Holdout([{"Z": 2, "MT": 16}]).split(clean(spark, sf))
     rows = features.tabular(held, reference(spark, sf), ["A", "D"])
-    return rows.groupBy("A").agg(F.count(F.lit(1)).alias("n"), F.sum("out_n").alias("out_n"), F.sum("Valence_N").alias("valence"))
+    return rows.groupBy("A").agg(F.count(F.lit(1)).alias("n"), F.sum("out_n").cast("long").alias("out_n"), F.sum("Valence_N").alias("valence"))
 
 
 # ------------------------------------------------------------------ transforms
@@ -430,7 +430,7 @@ _EDGES = _NODES + """, ed AS (SELECT a.node AS source, b.node AS target, MT, Cro
 @register("g01_node_features", _NODES + f"""
 SELECT node, Z, A, N, Z / 100.0::DOUBLE AS z_scaled, A / 250.0::DOUBLE AS a_scaled, {r('N / 150.0::DOUBLE')} AS n_scaled, {r('CASE WHEN Z > 0 THEN N / Z::DOUBLE ELSE 0 END')} AS n_over_z,
   {r(f'coalesce(Mass_Excess_keV, -({_SEMF}) * 1000) / 1e6')} AS mass_scaled, {r(f'coalesce(Binding_Energy_keV, -coalesce(Mass_Excess_keV, -({_SEMF}) * 1000)) / 1e6')} AS binding_scaled,
-  0 AS is_fissile, CASE WHEN abs(N - Z) < 5 AND Z < 83 THEN 1 ELSE 0 END AS is_stable FROM nd LEFT JOIN (SELECT * EXCLUDE N FROM ref) USING (Z, A)""", reference=True)
+  0::DOUBLE AS is_fissile, CASE WHEN abs(N - Z) < 5 AND Z < 83 THEN 1::DOUBLE ELSE 0 END AS is_stable FROM nd LEFT JOIN (SELECT * EXCLUDE N FROM ref) USING (Z, A)""", reference=True)
 def node_features(spark, sf):
     out = graph.node_features(clean(spark, sf), reference(spark, sf))
     return round_columns(out, "n_scaled", "n_over_z", "mass_scaled", "binding_scaled")

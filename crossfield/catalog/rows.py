@@ -521,7 +521,7 @@ _PARTICLE_SQL = ", ".join(
 @register("c01_particle_vector", f"SELECT mt, {_PARTICLE_SQL}, count(*) AS n FROM (SELECT CAST(l_partkey % 900 AS INT) AS mt FROM lineitem) GROUP BY ALL")
 def particle_vector(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % 900).cast("int").alias("mt"))
-    return rows.withColumns(S.particle_vector("mt")).groupBy("mt", *K.PARTICLE_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumns(S.particle_vector("mt")).withColumn("out_n", F.col("out_n").cast("int")).groupBy("mt", *K.PARTICLE_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("c02_radius", f"""
