@@ -116,7 +116,7 @@ def robust_trend(unique: DataFrame, keys: list[str], limit: int, rounds: int = R
     for _ in range(rounds):
         active = attach(points, current.filter("NOT settled"), keys, "inner", per_hot_key=True)
         residual = active.withColumn("r", F.col("y") - polynomial(F.col("t"), F.col("coef")))
-        middle = group_percentiles(residual, keys, "r", {"med": 0.5}, limit, True)
+        middle = materialize(group_percentiles(residual, keys, "r", {"med": 0.5}, limit, True))
         away = attach(residual, middle, keys, per_hot_key=True).withColumn("distance", F.abs(F.col("r") - F.col("med")))
         mad = materialize(group_percentiles(away, keys, "distance", {"mad": 0.5}, limit, True))
         judged = attach(residual, mad.filter("mad >= 1e-12"), keys, "inner", per_hot_key=True)
@@ -186,7 +186,7 @@ def _window_mad(rows: DataFrame, nodes: DataFrame, keys: list[str], config: Outl
     few = F.coalesce(F.col("n"), F.lit(0)) < config.window_points
     widened = materialize(attach(nodes, counts, part, per_hot_key=True).withColumn("half", F.when(few, reach).otherwise(F.col("half"))))
     windows = spread(widened.groupBy(*keys).agg(F.collect_list(F.struct("node", "x", "half")).alias("nodes")))
-    middle = group_percentiles(windows, part, "r", {"med": 0.5}, config.score_rows, True)
+    middle = materialize(group_percentiles(windows, part, "r", {"med": 0.5}, config.score_rows, True))
     away = attach(windows, middle, part, per_hot_key=True).withColumn("distance", F.abs(F.col("r") - F.col("med")))
     mad = group_percentiles(away, part, "distance", {"mad": 0.5}, config.score_rows, True)
     floored = F.greatest(F.coalesce(F.col("mad") * G.MAD_TO_SIGMA, F.lit(0.0)), F.lit(config.sigma_floor))
