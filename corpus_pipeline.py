@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crossfield.catalog import ship_package
-from crossfield.llm import mixing
+from crossfield.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from crossfield.llm.common import new_path
 
+# Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
+    ("quality_rules", quality_rules.stage),
+    ("line_dedup", line_dedup.stage),
+    ("simhash_near_dedup", simhash.stage),
     ("mixing", mixing.stage),
+    ("bpe", bpe.stage),
 ]
 
-# The near-duplicate stage uses XXH64 and a graph closure, which SQL does not express.
+# The near-duplicate stage (XXH64, components) and the encoding are not SQL;
+# tests/llm/test_pipeline.py holds them against a brute-force version.
 ORACLE_SQL = None
 
 

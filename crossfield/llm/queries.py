@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossfield.llm import bpe, mixing, quality_rules, simhash  # noqa: F401
+from crossfield.llm import bpe, line_dedup, mixing, quality_rules, simhash  # noqa: F401
 from crossfield.llm.registry import ORACLES, QUERIES
 
 
