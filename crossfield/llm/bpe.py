@@ -5,10 +5,10 @@ list of symbols, linked to their neighbours inside the word. An index maps each
 has a merge rule to all its positions. The active ranks are taken in ascending order; each
 applies its rule at all listed positions, left to right, and the merged symbol's new pairs
 enter the index under their own ranks. If a merge activates a lower rank, the rest of the
-list waits, as it would if each word were merged alone. Words already met are looked up.
+list waits, as it would if each word were merged alone. Pieces already met are looked up.
 
-Before that a text is cut at the special tokens, normalised (NFC, white space runs to one
-space, lower case letter by letter) and split into words; the bytes of a word are written
+Before that a text is cut at the special tokens and white space, its pieces are normalised
+(NFC, lower case letter by letter) and split into words; the bytes of a word are written
 as the vocabulary's letters and its last symbol carries the word-end mark.
 
 ``encode`` adds the ids as little-endian unsigned 32-bit integers in one binary value and
@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +38,15 @@ from crossfield.llm.common import without
 from crossfield.llm.registry import documents, register
 
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPACE_PATTERN = "[\t-\r \x85\xa0  -     　]+"
-# Words remembered per task; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
+# Controls that Python's split takes for white space and the vocabulary's pattern does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# A pair of ids as one number; symbols between words and of merged-away places.
+PAIR, EDGE, GONE = 1 << 20, -1, -2
+# Pieces remembered per task; beyond it the memory starts anew.
+CACHE_PIECES = 200_000
 # Texts are handled in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -58,7 +64,10 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """Merge rules by pair of ids, token strings, and the words met so far."""
+    """Merge rules by rank and by pair of ids, token strings, and the pieces met so far.
+
+    A piece is a stretch between white space or a special token; its packed ids are remembered.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -67,137 +76,121 @@ class Vocabulary:
             spec = json.load(file)
         ids, model = spec["model"]["vocab"], spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.tokens = {i: token for token, i in ids.items()}
+        tokens = {i: token for token, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: token for token, i in self.special.items()}
+        tokens |= {i: token for token, i in self.special.items()}
+        self.tokens = [tokens.get(i) for i in range(max(tokens) + 1)]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rules = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.first = [ids.get(c) for c in byte_letters()]
-        self.last = [ids.get(c + self.end) for c in byte_letters()]
+        self.rules = [(ids[x], ids[y], ids[x + y]) for x, y in pairs]
+        self.ranks = {x * PAIR + y: rank for rank, (x, y, _) in reversed(list(enumerate(self.rules)))}
+        # Symbols of a byte inside a word and at its end; the byte 255 stands between words.
+        self.first = np.array([ids.get(c, GONE) for c in byte_letters()[:255]] + [EDGE])
+        self.last = np.array([ids.get(c + self.end, GONE) for c in byte_letters()[:255]] + [EDGE])
         self.find = regex.compile(WORD_PATTERN).findall
-        self.space = regex.compile(SPACE_PATTERN).sub
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.known: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        """The text's words; special tokens are kept as they stand, after a zero character."""
-        if not any(s in text for s in self.special):
-            return self.split(text)
-        out = []
-        for k, piece in enumerate(self.cut(text)):
-            out += ["\0" + piece] if k % 2 else self.split(piece)
-        return out
-
-    def split(self, text: str) -> list[str]:
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
-            return self.newer_split(text)
-        return self.find(self.normal(text))
-
-    def newer_split(self, text: str) -> list[str]:
-        """Texts with letters newer than Python's character tables: the library's tables know them."""
+    def pieces(self, text: str) -> list[str]:
+        """The text between white space; special tokens stand as pieces after a space."""
+        if any(s in text for s in self.special):
+            out = []
+            for k, part in enumerate(self.cut(text)):
+                out += [" " + part] if k % 2 else self.pieces(part)
+            return out
+        if any(c in text for c in SEPARATORS):
+            return [p for p in SPACES.split(text) if p]
+        return text.split()
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece, after normalising it."""
+        if not piece.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in piece):
+                return self.newer_words(piece)
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+        return self.find(piece.lower())
+
+    def newer_words(self, piece: str) -> list[str]:
+        """Pieces with letters newer than Python's character tables: the library's tables know them."""
         from tokenizers import Regex, normalizers, pre_tokenizers
 
         steps = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         cut = pre_tokenizers.Split(Regex(WORD_PATTERN), "removed", invert=True)
-        return [w for w, _ in cut.pre_tokenize_str(steps.normalize_str(text))]
-
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.space(" ", text).lower()
+        return [w for w, _ in cut.pre_tokenize_str(steps.normalize_str(piece))]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode the words not met before, all at once."""
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces not met before, all their words at once."""
+        if len(self.known) + len(pieces) > CACHE_PIECES:
             self.known = {}
-            new = list(set(words))
-        for word in [w for w in new if w[0] == "\0"]:
-            self.known[word] = self.special[word[1:]].to_bytes(4, "little")
-        new = [w for w in new if w[0] != "\0" or w[1:] not in self.special]
-        for word, ids in zip(new, merge_words([self.symbols(w) for w in new], self.rules)):
-            self.known[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def symbols(self, word: str) -> list[int]:
-        data = word.encode("utf-8")
-        found = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return [i for i in found if i is not None]
-
-
-def merge_words(words: list[list[int]], rules: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
-    """Apply merge rules to all words through one index from ranks to positions."""
-    symbol: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    index: dict[int, list[int]] = {}
-    made: dict[int, tuple[int, int, int]] = {}
-    starts = []
-    for word in words:
-        base, n = len(symbol), len(word)
-        starts.append(base)
-        symbol += word
-        after += [*range(base + 1, base + n), -1] if n else []
-        before += [-1, *range(base, base + n - 1)] if n else []
-        for k in range(n - 1):
-            rule = rules.get((word[k], word[k + 1]))
-            if rule:
-                if rule[0] in index:
-                    index[rule[0]].append(base + k)
-                else:
-                    index[rule[0]] = [base + k]
-                    made[rule[0]] = (word[k], word[k + 1], rule[1])
-    active = list(index)
-    heapq.heapify(active)
+        plain = []
+        for piece in pieces:
+            if piece[0] == " ":
+                self.known[piece] = self.special[piece[1:]].to_bytes(4, "little")
+            else:
+                plain.append(piece)
+        split = [self.words(p) for p in plain]
+        distinct = list(dict.fromkeys(w for words in split for w in words))
+        coded = dict(zip(distinct, merge_words(distinct, self)))
+        for piece, words in zip(plain, split):
+            self.known[piece] = b"".join([coded[w] for w in words])
+
+
+def merge_words(words: list[str], vocab: Vocabulary) -> list[bytes]:
+    """Packed ids of distinct words, through one index from ranks to the positions of their pair."""
+    if not words:
+        return []
+    data = np.frombuffer(b"\xff".join([w.encode("utf-8") for w in words]) + b"\xff", np.uint8)
+    ends = np.append(data[1:] == 255, False)
+    flat = np.where(ends, vocab.last[data], vocab.first[data])
+    flat = flat[flat != GONE]
+    # The index of all pairs at the start: positions sorted by rank.
+    ranks, rules = vocab.ranks, vocab.rules
+    pairs, which = np.unique(np.where((flat[:-1] >= 0) & (flat[1:] >= 0), flat[:-1] * PAIR + flat[1:], -1), return_inverse=True)
+    rank_at = np.array([ranks.get(p, -1) for p in pairs.tolist()], np.int64)[which] if len(pairs) else np.zeros(0, np.int64)
+    order = np.argsort(rank_at, kind="stable")
+    order = order[np.searchsorted(rank_at[order], 0):]
+    begun, at = np.unique(rank_at[order], return_index=True)
+    index = dict(zip(begun.tolist(), [part.tolist() for part in np.split(order, at[1:])])) if len(order) else {}
+    active = begun.tolist()
+    symbol = flat.tolist()
+    after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+    push, pop, rank_of = heapq.heappush, heapq.heappop, ranks.get
     while active:
-        rank = heapq.heappop(active)
+        rank = pop(active)
         places = index.pop(rank, None)
         if places is None:
             continue
-        left, right, merged = made[rank]
+        left, right, merged = rules[rank]
         places.sort()
-        for done, at in enumerate(places):
-            then = after[at]
-            if symbol[at] != left or then < 0 or symbol[then] != right:
+        for done, place in enumerate(places):
+            then = after[place]
+            if symbol[place] != left or symbol[then] != right:
                 continue
-            symbol[at], symbol[then] = merged, -1
-            far, prior = after[then], before[at]
-            after[at] = far
+            symbol[place], symbol[then] = merged, GONE
+            far, prior = after[then], before[place]
+            after[place] = far
+            before[far] = place
             lower = False
-            if far >= 0:
-                before[far] = at
-                lower |= note(rules, index, made, active, merged, symbol[far], at, rank)
-            if prior >= 0:
-                lower |= note(rules, index, made, active, symbol[prior], merged, prior, rank)
-            if lower:
-                rest = places[done + 1:]
-                if rest:
-                    index[rank] = rest + index.get(rank, [])
-                    made[rank] = (left, right, merged)
-                    heapq.heappush(active, rank)
+            # The two new pairs enter the index; words end at EDGE, which has no pairs.
+            for key, start in ((merged * PAIR + symbol[far], place), (symbol[prior] * PAIR + merged, prior)):
+                new = rank_of(key)
+                if new is not None:
+                    if new in index:
+                        index[new].append(start)
+                    else:
+                        index[new] = [start]
+                        push(active, new)
+                    lower |= new < rank
+            if lower and done + 1 < len(places):
+                # A lower rank became active: the rest of this list waits for it.
+                index[rank] = places[done + 1:] + index.get(rank, [])
+                push(active, rank)
                 break
-    out = []
-    for base, word in zip(starts, words):
-        ids, at = [], base if word else -1
-        while at >= 0:
-            ids.append(symbol[at])
-            at = after[at]
-        out.append(ids)
-    return out
-
-
-def note(rules, index, made, active, a: int, b: int, at: int, current: int) -> bool:
-    """Enter position ``at`` of pair (a, b) into the index; whether its rank is below ``current``."""
-    rule = rules.get((a, b))
-    if not rule:
-        return False
-    rank = rule[0]
-    if rank in index:
-        index[rank].append(at)
-    else:
-        index[rank] = [at]
-        made[rank] = (a, b, rule[1])
-        heapq.heappush(active, rank)
-    return rank < current
+    left = np.array(symbol)
+    left = left[left != GONE]
+    edges = np.flatnonzero(left == EDGE)
+    packed = left.astype("<u4").tobytes()
+    starts = np.concatenate([[0], edges[:-1] + 1])
+    return [packed[4 * a:4 * z] for a, z in zip(starts.tolist(), edges.tolist())]
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -211,25 +204,37 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode_texts(texts: list[str | None], vocab: Vocabulary) -> list[bytes]:
-    """Packed ids of each text, learning new words group by group."""
-    out: list[bytes] = []
-    at = 0
-    while at < len(texts):
-        group, chars = [], 0
-        while at < len(texts) and (not group or chars < GROUP_CHARS):
-            text = texts[at] or ""
-            group.append(vocab.words(text))
-            chars += len(text)
-            at += 1
-        for words in group:
-            known = vocab.known
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                vocab.learn([w for other in group for w in other])
-                known = vocab.known
-                out.append(b"".join([known[w] for w in words]))
-    return out
+    """Packed ids of each text; pieces not met before are learned for the whole list at once."""
+    split = [vocab.pieces(t) if t else [] for t in texts]
+    met = set()
+    met.update(*split)
+    new = met - vocab.known.keys()
+    if new:
+        kept = len(vocab.known) + len(new) <= CACHE_PIECES
+        vocab.learn(new if kept else met)
+    known = vocab.known
+    return [b"".join([known[p] for p in pieces]) for pieces in split]
+
+
+def decode_ids(packed: bytes | None, vocab: Vocabulary) -> str:
+    tokens = vocab.tokens
+    ids = np.frombuffer(packed or b"", "<u4")
+    if len(ids) and ids.max() >= len(tokens):
+        ids = ids[ids < len(tokens)]
+    found = [tokens[i] for i in ids.tolist()]
+    return " ".join(found if None not in found else [t for t in found if t is not None])
+
+
+def groups_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch with about ``GROUP_CHARS`` characters."""
+    start = chars = 0
+    for k, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= GROUP_CHARS:
+            yield start, k + 1
+            start, chars = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _schema(df: DataFrame, *added: tuple[str, T.DataType]) -> tuple[DataFrame, T.StructType]:
@@ -241,21 +246,29 @@ def _carry(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def encode(df: DataFrame, text: str = "text", path: str | None = None, drop_text: bool = False) -> DataFrame:
-    """``df`` with ``ids_le`` (packed ids) and ``n_tokens``; the text goes if ``drop_text``."""
+def encode(df: DataFrame, text: str = "text", path: str | None = None, drop_text: bool = False, decoded: bool = False) -> DataFrame:
+    """``df`` with ``ids_le`` (packed ids) and ``n_tokens``; the text goes if ``drop_text``.
+
+    ``decoded`` also decodes the ids again, in the same pass over the table.
+    """
     path = path or default_vocabulary()
-    kept, schema = _schema(df.withColumn("_llm_text", F.col(text)), ("ids_le", T.BinaryType()), ("n_tokens", T.LongType()))
+    added = [("ids_le", T.BinaryType()), ("n_tokens", T.LongType()), *([("decoded", T.StringType())] if decoded else [])]
+    kept, schema = _schema(df.withColumn("_llm_text", F.col(text)), *added)
     if drop_text:
         kept = without(kept, text)
-    schema = T.StructType([*[f for f in kept.schema.fields if f.name != "_llm_text"], *schema.fields[-2:]])
+    schema = T.StructType([*[f for f in kept.schema.fields if f.name != "_llm_text"], *schema.fields[-len(added):]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_llm_text")).to_pylist()
             rest = batch.drop_columns(["_llm_text"])
-            packed = encode_texts(texts, vocab)
-            yield _carry(rest, ids_le=pa.array(packed, pa.binary()), n_tokens=pa.array([len(p) // 4 for p in packed], pa.int64()))
+            for a, z in groups_of(texts):
+                packed = encode_texts(texts[a:z], vocab)
+                columns = {"ids_le": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}
+                if decoded:
+                    columns["decoded"] = pa.array([decode_ids(p, vocab) for p in packed], pa.string())
+                yield _carry(rest.slice(a, z - a), **columns)
 
     return kept.mapInArrow(run, schema)
 
@@ -267,12 +280,10 @@ def decode(df: DataFrame, ids: str = "ids_le", path: str | None = None) -> DataF
     schema = T.StructType([f for f in schema.fields if f.name != "_llm_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        tokens = vocabulary(path).tokens
+        vocab = vocabulary(path)
         for batch in batches:
             packed = batch.column(batch.schema.get_field_index("_llm_ids")).to_pylist()
-            texts = [" ".join([tokens[i] for i in np.frombuffer(p, "<u4").tolist() if i in tokens]) if p else "" for p in packed]
+            texts = [decode_ids(p, vocab) for p in packed]
             yield _carry(batch.drop_columns(["_llm_ids"]), decoded=pa.array(texts, pa.string()))
 
     return kept.mapInArrow(run, schema)
@@ -290,12 +301,12 @@ def unpack_ids(packed: str | Column) -> Column:
 
 @register("op1_bpe")
 def op1_bpe(spark, sf_dir):
-    coded = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), drop_text=True))
+    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), drop_text=True, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: documents with packed token ids, their number, and the decoded text's digest."""
-    coded = decode(encode(docs))
+    coded = encode(docs, decoded=True)
     return coded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
