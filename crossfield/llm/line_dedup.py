@@ -61,7 +61,8 @@ def removals(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     pieces = pieces.select("id", "node", "i", F.array_join("lines", "\n").alias("chunk")).withColumn("h", F.unhex(F.md5("chunk")))
     light = materialize(pieces.select("id", "node", "i", "h"), "chunks")
     repeated = materialize(light.groupBy("h").count().filter("count > 1").select("h"), "repeated")
-    candidates = pieces.join(repeated, "h", "left_semi")
+    # Sort-merge at every size: the hashes and the lists of cuts grow with the table.
+    candidates = pieces.join(repeated.hint("merge"), "h", "left_semi")
     place = F.struct(F.col("id").isNull(), "id", "node", "i")
     firsts = candidates.groupBy("h", "chunk").agg(F.min(place).alias("p")).select(
         F.col("p.id").alias("f_id"), F.col("p.node").alias("f_node"), F.col("p.i").alias("f_i"))
@@ -74,7 +75,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: st
     """``d`` (the row, its text and ``n_chars`` as they are afterwards) with n_lines and n_removed lines."""
     cuts = removals(df, text, doc_id).select(F.col("id").alias("c_id"), F.col("node").alias("c_node"), "cut")
     packed = df.select(F.struct("*").alias("d"), F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"))
-    joined = packed.join(cuts, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("node") == F.col("c_node")), "left")
+    joined = packed.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("node") == F.col("c_node")), "left")
     old = F.col(f"d.`{text}`")
     stays = F.flatten(F.filter(chunks_of(text_of(old)), lambda c, i: ~F.array_contains(F.col("cut"), i)))
     left = joined.withColumn("stays", F.when(F.col("cut").isNotNull(), stays))
