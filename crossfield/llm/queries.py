@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossfield.llm import bpe, imatch, line_dedup, mixing, pii, quality_rules, secrets, simhash, warc  # noqa: F401
+from crossfield.llm import bpe, imatch, line_dedup, mixing, pii, quality_rules, secrets, simhash, suffixes, warc  # noqa: F401
 from crossfield.llm.registry import ORACLES, QUERIES
 
 
