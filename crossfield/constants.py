@@ -41,7 +41,7 @@ MT_NEUTRON_RANGES = [
     (454, 459), (500, 572), (600, 849), (9000, 9999),
 ]
 
-# Reaction names. The level series 50..90 is built by rule below.
+# Reaction names.
 MT_NAMES = {
     1: "Total", 2: "Elastic", 3: "Nonelastic", 4: "Inelastic", 5: "Other/Misc",
     10: "(n,continuum)", 11: "(n,2nd)", 16: "(n,2n)", 17: "(n,3n)", 18: "Fission",
@@ -50,6 +50,47 @@ MT_NAMES = {
     29: "(n,n2α)", 30: "(n,2n2α)", 32: "(n,nd)", 33: "(n,nt)", 34: "(n,n³He)",
     35: "(n,nd2α)", 36: "(n,nt2α)", 37: "(n,4n)", 38: "(n,3nf) - 4th chance",
     41: "(n,2np)", 42: "(n,3np)", 44: "(n,n2p)", 45: "(n,npa)",
+    50: "(n,n₀) - Ground state",
+    51: "(n,n₁) - 1st excited",
+    52: "(n,n₂) - 2nd excited",
+    53: "(n,n₃) - 3rd excited",
+    54: "(n,n₄) - 4th excited",
+    55: "(n,n₅) - 5th excited",
+    56: "(n,n₆) - 6th excited",
+    57: "(n,n₇) - 7th excited",
+    58: "(n,n₈) - 8th excited",
+    59: "(n,n₉) - 9th excited",
+    60: "(n,n₁₀) - 10th excited",
+    61: "(n,n₁₁) - 11th excited",
+    62: "(n,n₁₂) - 12th excited",
+    63: "(n,n₁₃) - 13th excited",
+    64: "(n,n₁₄) - 14th excited",
+    65: "(n,n₁₅) - 15th excited",
+    66: "(n,n₁₆) - 16th excited",
+    67: "(n,n₁₇) - 17th excited",
+    68: "(n,n₁₈) - 18th excited",
+    69: "(n,n₁₉) - 19th excited",
+    70: "(n,n₂₀) - 20th excited",
+    71: "(n,n₂₁) - 21st excited",
+    72: "(n,n₂₂) - 22nd excited",
+    73: "(n,n₂₃) - 23rd excited",
+    74: "(n,n₂₄) - 24th excited",
+    75: "(n,n₂₅) - 25th excited",
+    76: "(n,n₂₆) - 26th excited",
+    77: "(n,n₂₇) - 27th excited",
+    78: "(n,n₂₈) - 28th excited",
+    79: "(n,n₂₉) - 29th excited",
+    80: "(n,n₃₀) - 30th excited",
+    81: "(n,n₃₁) - 31st excited",
+    82: "(n,n₃₂) - 32nd excited",
+    83: "(n,n₃₃) - 33rd excited",
+    84: "(n,n₃₄) - 34th excited",
+    85: "(n,n₃₅) - 35th excited",
+    86: "(n,n₃₆) - 36th excited",
+    87: "(n,n₃₇) - 37th excited",
+    88: "(n,n₃₈) - 38th excited",
+    89: "(n,n₃₉) - 39th excited",
+    90: "(n,n₄₀) - 40th excited",
     91: "(n,n continuum)",
     102: "(n,γ) Capture", 103: "(n,p)", 104: "(n,d)", 105: "(n,t)", 106: "(n,³He)",
     107: "(n,α)", 108: "(n,2α)", 109: "(n,3α)", 111: "(n,2p)", 112: "(n,pα)",
@@ -75,17 +116,6 @@ MT_NAMES = {
     9104: "Covariance: (n,d)", 9105: "Covariance: (n,t)", 9107: "Covariance: (n,α)",
 }
 
-
-def _level_name(level: int) -> str:
-    below = str(level).translate(str.maketrans("0123456789", "₀₁₂₃₄₅₆₇₈₉"))
-    if level == 0:
-        return f"(n,n{below}) - Ground state"
-    ending = "th" if level % 100 in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(level % 10, "th")
-    return f"(n,n{below}) - {level}{ending} excited"
-
-
-MT_NAMES.update({50 + level: _level_name(level) for level in range(41)})
-
 # Reaction categories as inclusive ranges, first match wins.
 MT_CATEGORIES = [
     ("Fundamental", [(1, 5)]),
@@ -127,12 +157,16 @@ PARTICLE_EMISSION = [
 
 # ----------------------------------------------------------------- nuclides
 # Element symbols, Z = 1..99 in order.
-ELEMENT_SYMBOLS = (
-    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn "
-    "Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce "
-    "Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn "
-    "Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es"
-).split()
+ELEMENT_SYMBOLS = [
+    "H", "He", "Li", "Be", "B", "C", "N", "O", "F", "Ne", "Na", "Mg", "Al", "Si",
+    "P", "S", "Cl", "Ar", "K", "Ca", "Sc", "Ti", "V", "Cr", "Mn", "Fe", "Co", "Ni",
+    "Cu", "Zn", "Ga", "Ge", "As", "Se", "Br", "Kr", "Rb", "Sr", "Y", "Zr", "Nb", "Mo",
+    "Tc", "Ru", "Rh", "Pd", "Ag", "Cd", "In", "Sn", "Sb", "Te", "I", "Xe", "Cs", "Ba",
+    "La", "Ce", "Pr", "Nd", "Pm", "Sm", "Eu", "Gd", "Tb", "Dy", "Ho", "Er", "Tm", "Yb",
+    "Lu", "Hf", "Ta", "W", "Re", "Os", "Ir", "Pt", "Au", "Hg", "Tl", "Pb", "Bi", "Po",
+    "At", "Rn", "Fr", "Ra", "Ac", "Th", "Pa", "U", "Np", "Pu", "Am", "Cm", "Bk", "Cf",
+    "Es",
+]
 # Projectile display names, keyed in lower case.
 PROJECTILE_NAMES = {
     "n": "n (neutron)", "p": "p (proton)", "d": "d (deuteron)", "t": "t (triton)",

@@ -52,12 +52,16 @@ def group_keys(df: DataFrame) -> list[str]:
 
 
 def prepare(df: DataFrame, config: OutlierConfig) -> DataFrame:
-    """Log columns and the experiment id: the first entry column found, else 'unknown'."""
+    """Log columns and the experiment id: the first entry column found, else 'unknown'.
+
+    Rows without an id form one experiment of that name.
+    """
     missing = [c for c in ("Z", "A", "MT", "Energy", "CrossSection") if c not in df.columns]
     if missing:
         raise ValueError(f"required columns missing: {missing}")
     entry = next((c for c in [config.entry_column, *ENTRY_NAMES] if c in df.columns), None)
-    experiment = F.col(entry).cast("string") if entry else F.lit("unknown")
+    unknown = F.lit("unknown")
+    experiment = F.coalesce(F.col(entry).cast("string"), unknown) if entry else unknown
     return with_logs(df).withColumn("experiment_id", experiment)
 
 
@@ -155,7 +159,7 @@ def flag_experiments(
     """
     per = materialize(df.groupBy(*keys, entry).agg(
         F.count(F.lit(1)).alias("__n"), F.count_if(F.col("z_score") > z_limit).alias("__bad")))
-    groups = per.groupBy(*keys).agg(F.sum("__n").alias("__rows"), F.count(entry).alias("__experiments"))
+    groups = per.groupBy(*keys).agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__experiments"))
     flagged = attach(per, groups, keys).filter(
         (F.col("__bad") / F.col("__n") > share) & (F.col("__experiments") > 1) & (F.col("__rows") >= min_group)
     ).select(*keys, entry, F.lit(True).alias("experiment_outlier"))
@@ -205,7 +209,7 @@ def probability_surface(scored: DataFrame, keys: list[str], grid: int = 200, pad
         F.floor((F.col("log_E") - F.col("lo")) / step), F.lit(grid - 1)))
     per = placed.groupBy(*keys, "i").agg(F.min(node).alias("first"), F.max(node).alias("last"))
     lines = span.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
-    lines = lines.join(per, [*keys, "i"], "left").withColumn("x", F.col("lo") + F.col("i") * step)
+    lines = attach(lines, per, [*keys, "i"]).withColumn("x", F.col("lo") + F.col("i") * step)
     # ``grid`` rows per group: bounded, so an ordered window is safe here.
     from pyspark.sql.window import Window
 

@@ -436,7 +436,7 @@ def energy_density(df: DataFrame, keys: Sequence[str], width: float = 0.5) -> Da
     groups = counts.groupBy(*keys, "__lo", "__bins").agg(F.sum("n").alias("__all"))
     frame = groups.filter("__bins > 0").withColumn(
         "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__bins") - 1)))
-    out = frame.join(counts, keys + ["__lo", "__bins", "bin"], "left")
+    out = attach(frame, counts.drop("__lo", "__bins"), [*keys, "bin"])
     return out.select(
         *keys, "bin", (F.col("__lo") + (F.col("bin") + 0.5) * width).alias("bin_center"),
         F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / width).alias("density"))

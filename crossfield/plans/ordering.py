@@ -1,6 +1,6 @@
 """Neighbouring rows in an order, without sorting a hot group in one task.
 
-A hot group is cut into tiles along the order column; a tile is one window
+A hot group is cut into tiles of equal size along the order; a tile is one window
 partition. The rows just before a tile come from a table holding the last two
 rows of every tile, which has a handful of rows per group.
 """
@@ -15,32 +15,28 @@ from pyspark.sql.window import Window
 
 from crossfield.plans.scale import TASK_ROWS, attach, group_sizes, materialize
 
-CELLS = 65536
 
-
-def with_tiles(df: DataFrame, keys: Sequence[str], order: str, limit: int = TASK_ROWS) -> DataFrame:
+def with_tiles(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
     """Add ``__tile``: 0 for ordinary groups, increasing along ``order`` in hot groups.
 
-    ``order`` must be a finite number. Tiles follow the group's own distribution: equal
-    cells are counted first and then gathered until a tile has about ``limit`` rows.
+    Hot groups are range-sorted over the cluster; a row's exact rank is its place in its
+    sorted partition plus the rows of its group in earlier partitions, and every ``limit``
+    ranks make a tile. Ties in ``order`` are split like any other rows.
     """
-    keys = list(keys)
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
     sizes = group_sizes(df, keys, limit)
     if sizes.bounded:
         return df.withColumn("__tile", F.lit(0))
     ordinary, hot = sizes.split(df)
-    spans = hot.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    hot = attach(hot, spans, keys)
-    width = F.col("__hi") - F.col("__lo")
-    cell = F.when(width > 0, F.least(
-        F.floor((F.col(order) - F.col("__lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    hot = hot.withColumn("__cell", cell)
-    histogram = hot.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__c"))
-    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__cell")) - F.col("__c")
-    tiles = histogram.select(
-        *keys, "__cell", F.floor(before / F.lit(limit)).cast("int").alias("__tile"))
-    # CELLS rows per hot key: small by construction, and attach() measures it anyway.
-    hot = attach(hot, tiles, keys + ["__cell"]).drop("__cell", "__lo", "__hi")
+    by = [*keys, *order, "__tie"]
+    ranged = hot.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    parts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first"))
+    # One row per group and sorted partition.
+    ahead = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__c")
+    placed = attach(ranged, parts.select(*keys, "__part", "__first", ahead.alias("__ahead")), [*keys, "__part"])
+    rank = F.col("__ahead") + F.col("__at") - F.col("__first")
+    hot = placed.withColumn("__tile", F.floor(rank / F.lit(limit)).cast("int")).drop("__tie", "__at", "__part", "__first", "__ahead")
     return ordinary.withColumn("__tile", F.lit(0)).unionByName(hot)
 
 
@@ -53,7 +49,7 @@ def with_previous(
 ) -> DataFrame:
     """Add structs ``prev1`` and ``prev2``: the values one and two rows earlier."""
     keys, order = list(keys), list(order)
-    tiled = with_tiles(df, keys, order[0], limit)
+    tiled = with_tiles(df, keys, order, limit)
     part = keys + ["__tile"]
     window = Window.partitionBy(*part).orderBy(*order)
     payload = F.struct(*[F.col(v).alias(v) for v in dict.fromkeys([*order, *values])])

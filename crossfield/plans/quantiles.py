@@ -5,7 +5,12 @@ the right plan while groups are small. For a hot key the same number is found by
 narrowing: count rows in equal-width cells between the group's minimum and maximum
 (a plain aggregation with map-side combine), keep only the cell holding the wanted
 rank, and repeat until that cell is small. No row is approximated or dropped, and no
-task ever holds more than ``limit`` rows of one key.
+task ever holds more than ``limit`` rows of one key's range, ties of one value apart.
+
+Cells are equal steps of the logarithm while a range spans more than a factor of two, then
+equal steps of the value, and signs are parted first, so the widest range of doubles is
+settled within ``MAX_ROUNDS``. Infinities and NaN (largest, as Spark orders it) are counted
+apart: a rank among them needs no narrowing.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql.window import Window
 from crossfield.plans.scale import GroupSizes, group_sizes, materialize
 
 CELLS = 4096
+MAX_ROUNDS = 30
 # Rows of a key up to which one hash map of its values is the better plan.
 PERCENTILE_ROWS = 1_000_000
 
@@ -72,26 +78,41 @@ def _by_narrowing(
     data: DataFrame, keys: list[str], probabilities: dict[str, float], limit: int
 ) -> DataFrame:
     """Shrink, per wanted rank, a value range [lo, hi] of m rows until m is small."""
+    finite = ~F.isnan("__v") & (F.abs("__v") < float("inf"))
     spans = data.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("__v").alias("__m"))
+        F.min(F.when(finite, F.col("__v"))).alias("__lo"), F.max(F.when(finite, F.col("__v"))).alias("__hi"),
+        F.count(F.lit(1)).alias("__n"), F.count_if(finite).alias("__m"),
+        F.count_if(F.col("__v") == float("-inf")).alias("__under"), F.count_if(F.col("__v") == float("inf")).alias("__over"))
     # Every percentile lies between two neighbouring order statistics (0-based ranks).
-    position = {i: F.lit(float(p)) * (F.col("__m") - 1) for i, p in enumerate(probabilities.values())}
+    position = {i: F.lit(float(p)) * (F.col("__n") - 1) for i, p in enumerate(probabilities.values())}
     wanted = F.array(*[
         F.struct(F.lit(i).alias("__target"), F.lit(side).alias("__side"), (at - F.floor(at)).alias("__f"),
                  rank(at).cast("long").alias("__rank"))
         for i, at in position.items() for side, rank in ((0, F.floor), (1, F.ceil))
     ])
-    frontier = materialize(spans.select("*", F.inline(wanted)))
+    ranked = spans.select("*", F.inline(wanted))
+    upto = F.col("__under") + F.col("__m")
+    fixed = F.when(F.col("__rank") < F.col("__under"), float("-inf")).when(
+        F.col("__rank") < upto, None).when(F.col("__rank") < upto + F.col("__over"), float("inf")).otherwise(float("nan"))
+    # A rank among infinities or NaN is a range of that single value.
+    frontier = materialize(ranked.withColumn("__x", fixed).select(
+        *keys, F.coalesce("__x", "__lo").alias("__lo"), F.coalesce("__x", "__hi").alias("__hi"), "__m",
+        "__target", "__side", "__f", (F.col("__rank") - F.col("__under")).alias("__rank")))
     open_range = (F.col("__m") > limit) & (F.col("__lo") < F.col("__hi"))
-    while not frontier.filter(open_range).isEmpty():
+    for _ in range(MAX_ROUNDS):
+        if frontier.filter(open_range).isEmpty():
+            break
         narrowed = _narrow(data, keys, frontier.filter(open_range))
         frontier = materialize(frontier.filter(~open_range).unionByName(narrowed))
+    else:
+        raise RuntimeError("percentile ranges did not narrow")
 
     found = _pick(data, keys, frontier)
     sides = found.groupBy(*keys, "__target", "__f").agg(
         F.max(F.when(F.col("__side") == 0, F.col("__x"))).alias("__a"),
         F.max(F.when(F.col("__side") == 1, F.col("__x"))).alias("__b"))
-    value = F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))
+    value = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(
+        (1 - F.col("__f")) * F.col("__a") + F.col("__f") * F.col("__b"))
     return sides.groupBy(*keys).agg(*[
         F.max(F.when(F.col("__target") == i, value)).alias(name) for i, name in enumerate(probabilities)])
 
@@ -123,11 +144,21 @@ def _at_rank(steps: DataFrame, targets: DataFrame, span: list[str]) -> DataFrame
     return steps.join(F.broadcast(wanted), same & held)
 
 
+def _share(v: Column, lo: Column, hi: Column) -> Column:
+    """Where a value lies in its range, 0 at ``lo`` and 1 at ``hi``, never falling in between."""
+    near = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    up = (F.log(v) - F.log(lo)) / (F.log(hi) - F.log(lo))
+    down = (F.log(-lo) - F.log(-v)) / (F.log(-lo) - F.log(-hi))
+    by_sign = F.when(v < 0, 0.0).when(v == 0, 0.5).otherwise(1.0)
+    straddles = (lo < 0) & (hi >= 0) | (lo == 0)
+    return F.when(straddles, by_sign).when((lo > 0) & (hi / 2 > lo), up).when((hi < 0) & (lo / 2 < hi), down).otherwise(near)
+
+
 def _narrow(data: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     """One pass: count equal-width cells of each open range, keep the cell of each rank."""
     span = [*keys, "__lo", "__hi"]
     rows = _in_ranges(data, keys, targets.select(*span).distinct())
-    share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    share = _share(F.col("__v"), F.col("__lo"), F.col("__hi"))
     cells = rows.groupBy(*span, F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).alias("__cell")).agg(
         F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__first"), F.max("__v").alias("__last"))
     steps = _covering(cells, span, "__cell")

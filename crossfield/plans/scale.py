@@ -54,7 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def rows_up_to(df: DataFrame, limit: int) -> bool:
     """Whether a (materialized) table has at most ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

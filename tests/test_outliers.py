@@ -121,3 +121,23 @@ def test_hot_group_trend_and_sigma(spark):
     order = np.argsort(x)
     near = np.interp(nodes.x0, x[order], exact[order])
     assert np.mean(np.abs(nodes.s0 / near - 1)) < 0.03
+
+
+def test_rows_without_an_id_are_one_experiment(spark):
+    frame = experiments(offset=1.5)
+    frame["Entry"] = frame.Entry.where(frame.Entry != "E3", None)
+    out = scores(spark, frame)
+    assert out.experiment_outlier.sum() == frame.Entry.isna().sum() and set(out.experiment_id[out.experiment_outlier]) == {"unknown"}
+    by_plan = outliers.flag_experiments(spark.createDataFrame(out[[*KEYS, "Entry", "z_score", "row"]]), KEYS, entry="Entry").toPandas()
+    assert set(by_plan.row[by_plan.experiment_outlier]) == set(out.row[out.experiment_outlier])
+
+
+def test_null_keys_keep_density_and_surface(spark):
+    frame = experiments(n=30).assign(Projectile=None)
+    schema = "Z int, A int, MT int, Projectile string, Energy double, CrossSection double, Uncertainty double, Entry string, row int"
+    df = spark.createDataFrame(frame.astype({"Projectile": object}).where(frame.notna(), None), schema)
+    from crossfield.operators.profile import energy_density, with_logs
+
+    assert energy_density(with_logs(df), KEYS).agg(F.sum("n")).first()[0] == 30
+    cells = outliers.probability_surface(outliers.score(df), KEYS, grid=5)
+    assert cells.count() == 25 and cells.filter("density IS NULL").count() == 0

@@ -76,3 +76,28 @@ def test_training_units_come_in_parts(spark):
     df = spark.createDataFrame([(1, 1, 2, float(e), float(e)) for e in range(500)], "Z int, A int, MT int, Energy double, CrossSection double")
     parts = training_units(df, limit=100).orderBy("part").collect()
     assert len(parts) > 3 and [e for p in parts for e in p.energies] == [float(e) for e in range(500)]
+
+
+def test_percentiles_end_on_infinities_nan_and_wide_ranges(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "inf": list(range(300)) + [inf], "minus": [-inf] * 3 + list(range(200)), "nan": list(range(200)) + [nan] * 5,
+        "both": [-inf] * 50 + [1.0, 2.0] + [inf] * 51, "wide": [10.0**e for e in range(-307, 308)] + [-(10.0**e) for e in range(-307, 308)],
+        "ties": [7.0] * 400 + [8.0], "only": [inf] * 90,
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, values in groups.items() for v in values], "k string, v double")
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    simple = {r.k: r for r in group_percentiles(df, ["k"], "v", shares).collect()}
+    split = {r.k: r for r in group_percentiles(df, ["k"], "v", shares, limit=40).collect()}
+    assert set(simple) == set(split) == set(groups)
+    for k in groups:
+        for name in shares:
+            assert split[k][name] == pytest.approx(simple[k][name], nan_ok=True), (k, name)
+
+
+@pytest.mark.parametrize("kind", ["log", "ties"])
+def test_tiles_keep_their_limit(spark, kind):
+    values = 10 ** RNG.uniform(-5, 9, 4000) if kind == "log" else np.where(RNG.uniform(size=4000) < 0.6, 2.5, RNG.uniform(0, 5, 4000))
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "v": values}))
+    tiles = with_tiles(df, ["k"], "v", 100).groupBy("__tile").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("__tile").collect()
+    assert sum(t.n for t in tiles) == 4000 and max(t.n for t in tiles) <= 100 and all(a.hi <= b.lo for a, b in zip(tiles, tiles[1:]))
