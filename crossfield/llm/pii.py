@@ -250,6 +250,10 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     return rows.select("doc_id", spans.alias("found"))
 
 
+def number_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
 def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -258,6 +262,5 @@ def listed(found: Column) -> Column:
 def op4_pii(spark, sf_dir):
     found = F.col("found")
     base = F.filter(found, lambda s: s["base"])
-    counts = [F.size(F.filter(found, lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE]
     return find(documents(spark, sf_dir).select("doc_id", "text")).select(
-        "doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(found).alias("spans"))
+        "doc_id", *[number_of(found, k) for k in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(found).alias("spans"))

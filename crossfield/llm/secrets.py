@@ -111,6 +111,10 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text_column: str = "text") -> Da
     return source.mapInArrow(run, f"doc_id {kind}, found array<struct<kind string, start long, end long>>")
 
 
+def number_of(found, kind: str):
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def listed(found):
     """Spans as kind:start:end, comma-joined."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -120,6 +124,5 @@ def listed(found):
 def op10_secrets(spark, sf_dir):
     found = F.col("found")
     base = F.filter(found, lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter(found, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
     return scan(documents(spark, sf_dir).select("doc_id", "text")).select(
-        "doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(found).alias("spans"))
+        "doc_id", *[number_of(found, k) for k in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(found).alias("spans"))

@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
 
-from cases import nothing, tricky
+from cases import TABLES, nothing, tricky
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crossfield.llm import pii
 
 PATTERNS = {
@@ -57,3 +59,12 @@ def test_awkward_rows(spark):
     got = pii.find(df).collect()
     assert len(got) == df.count() and all(r["found"] == [] for r in got)
     assert pii.find(nothing(spark)).count() == 0
+
+
+def test_query_counts_and_digests(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
+    for r in entry.queries()["op4_pii"](spark, TABLES).collect():
+        base = brute(docs[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k) for s in base.split(",")) for k in PATTERNS]
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))

@@ -1,8 +1,10 @@
+import hashlib
 import random
 import re
 
-from cases import nothing, tricky
+from cases import TABLES, nothing, tricky
 
+import __spark_entry__ as entry
 from crossfield.llm import automaton, secrets
 
 PATTERNS = {
@@ -47,3 +49,13 @@ def test_awkward_rows(spark):
     got = secrets.scan(df).collect()
     assert len(got) == df.count() and all(r["found"] == [] for r in got)
     assert secrets.scan(nothing(spark)).count() == 0
+
+
+def test_query_counts_and_digests(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
+    kinds = list(PATTERNS)
+    for r in entry.queries()["op10_secrets"](spark, TABLES).collect():
+        spans = [f"{kinds[k]}:{a}:{b}" for a, k, b in brute(docs[r["doc_id"]])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s.startswith(k) for s in spans) for k in kinds]
+        assert set(spans) <= set(r["spans"].split(","))
