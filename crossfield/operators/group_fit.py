@@ -74,33 +74,37 @@ def sorted_mad(values):
     return kth(n // 2 + 1) if n % 2 else (kth(n // 2) + kth(n // 2 + 1)) / 2.0
 
 
-def rolling_mad(x, r, fraction=0.1, min_points=15):
+def rolling_mad(x, r, fraction=0.1, min_points=15, half=None, rows=None):
     """Scaled MAD of r in [x - h, x + h] per point of x in ascending order.
 
     A window with too few points takes the nearest ones instead (ties by x, then r). The
-    window slides as a sorted list, so a step costs a few binary searches.
+    window slides as a sorted list, so a step costs a few binary searches. ``rows`` limits
+    the output to a stretch of the points, ``half`` fixes the window's half width.
     """
     n = len(x)
-    half = max((x[-1] - x[0]) * fraction, 0.1)
-    starts = np.searchsorted(x, x - half, side="left").tolist()
-    ends = np.searchsorted(x, x + half, side="right").tolist()
+    half = max((x[-1] - x[0]) * fraction, 0.1) if half is None else half
+    begin, stop = rows or (0, n)
+    starts = np.searchsorted(x, x[begin:stop] - half, side="left").tolist()
+    ends = np.searchsorted(x, x[begin:stop] + half, side="right").tolist()
     xs, rs = x.tolist(), r.tolist()
     everything = sorted_mad(sorted(rs)) if n <= min_points else None
-    window, lo, hi, out = [], 0, 0, np.empty(n)
-    for i, (start, end) in enumerate(zip(starts, ends)):
+    lo, hi = starts[0], ends[0]
+    window, out = sorted(rs[lo:hi]), np.empty(stop - begin)
+    for k, (start, end) in enumerate(zip(starts, ends)):
+        i = begin + k
         for value in rs[hi:end]:
             insort(window, value)
         for value in rs[lo:start]:
             del window[bisect_left(window, value)]
         lo, hi = start, end
         if end - start >= min_points:
-            out[i] = sorted_mad(window)
+            out[k] = sorted_mad(window)
         elif everything is not None:
-            out[i] = everything
+            out[k] = everything
         else:
             first, last = nearest_span(xs, i, min_points)
             near = sorted((abs(xs[j] - xs[i]), xs[j], rs[j]) for j in range(first, last))[:min_points]
-            out[i] = sorted_mad(sorted(v for _, _, v in near))
+            out[k] = sorted_mad(sorted(v for _, _, v in near))
     return out * MAD_TO_SIGMA
 
 
@@ -113,13 +117,18 @@ def nearest_span(xs, i, k):
 def median_filter(values, size):
     """Running median of an odd size with the end values repeated beyond the ends."""
     half = size // 2
-    padded = np.concatenate([np.full(half, values[0]), values, np.full(half, values[-1])]).tolist()
-    window, out = sorted(padded[:size]), np.empty(len(values))
-    for i in range(len(values)):
+    return running_median(np.concatenate([np.full(half, values[0]), values, np.full(half, values[-1])]), size)
+
+
+def running_median(values, size):
+    """Medians of all stretches of an odd size."""
+    values, half = values.tolist(), size // 2
+    window, out = sorted(values[:size]), np.empty(len(values) - size + 1)
+    for i in range(len(out)):
         out[i] = window[half]
-        if i + size < len(padded):
-            del window[bisect_left(window, padded[i])]
-            insort(window, padded[i + size])
+        if i + size < len(values):
+            del window[bisect_left(window, values[i])]
+            insort(window, values[i + size])
     return out
 
 

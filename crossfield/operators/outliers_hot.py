@@ -1,22 +1,22 @@
-"""Scoring of groups too large for one task.
-
-Same method, carried by aggregates:
+"""Scoring of groups too large for one task: the same definition, cut into tiles.
 
 * trend - the cubic needs only moments, summed with map-side combine; a round of
   reweighting is two exact percentiles and one more sum;
-* local sigma - evaluated at nodes that split the group into equal shares of rows (half a
-  percent each). Each node's window takes all its rows, and its median and MAD are exact.
-  Between nodes sigma is linear. The smoothing filter spans a twentieth of the rows,
-  which is eleven nodes.
-
-A hot group is never sorted, collected or sampled. The only difference from the bounded
-path is that sigma is interpolated between nodes instead of computed at every row.
+* local sigma - rows are ranked along (x, residual) and cut into tiles of ``score_rows``. A
+  tile also gets the rows that the windows of its own rows reach, and computes each own
+  row's window statistic exactly; the running median over neighbouring ranks works the
+  same way on a second set of tiles. A task holds a tile and the reach of its windows
+  (a fifth of the energy range, by definition of the window), never more.
+
+Nothing is interpolated, sampled or dropped: a group above the limit gets the numbers that
+one task would give, up to rounding in sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,18 +24,16 @@ from pyspark.sql.window import Window
 
 from crossfield.operators import group_fit as G
 from crossfield.operators.outliers import OutlierConfig, add_fit_weights, flag_experiments, flag_points
-from crossfield.plans.quantiles import group_percentiles
-from crossfield.plans.scale import attach, materialize
+from crossfield.plans.ordering import with_tiles
+from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles
+from crossfield.plans.scale import GroupSizes, attach, materialize
 
-NODES = 200
-CELLS = 65536
 POWERS = 2 * G.DEGREE + 1
 ROUNDS = 5
 
 
 def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
-    limit = config.score_rows
-    weighted = add_fit_weights(rows, keys, limit) if _weightable(rows, config) else rows.withColumn(
+    weighted = add_fit_weights(rows, keys) if _weightable(rows, config) else rows.withColumn(
         "fit_weight", F.lit(None).cast("double"))
     usable = F.col("log_E").isNotNull() & F.col("log_sigma").isNotNull()
     unique = materialize(weighted.filter(usable).groupBy(*keys, F.col("log_E").alias("x")).agg(
@@ -44,16 +42,14 @@ def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFr
     span = materialize(unique.groupBy(*keys).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("y").alias("mean_y"),
         F.count(F.lit(1)).alias("n_x"), F.sum("m").alias("n_rows")))
-    trend = robust_trend(attach(unique, span, keys, per_hot_key=True), keys, limit)
-    facts = materialize(attach(span, trend, keys, per_hot_key=True))
-    centred = attach(rows, facts, keys, per_hot_key=True).withColumn("gp_mean", polynomial(scaled("log_E"), F.col("coef")))
-    sigma = node_sigma(centred.withColumn("r", F.col("log_sigma") - F.col("gp_mean")), keys, config)
-    placed = centred.withColumn("__cell", cell("log_E"))
-    placed = attach(placed, sigma, [*keys, "__cell"])
-    share = F.when(F.col("x1") > F.col("x0"), (F.col("log_E") - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(0.0)
-    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    local = F.greatest(F.col("s0") + share * (F.col("s1") - F.col("s0")), F.lit(config.sigma_floor))
-    scored = flag_points(placed.withColumn("gp_std", local), "gp_mean", "gp_std", point_z=config.point_z)
+    counts = materialize(span.select(*keys, F.col("n_x").alias("group_rows")))
+    sizes = GroupSizes(counts, keys, PERCENTILE_ROWS, counts.agg(F.max("group_rows")).first()[0] or 0)
+    trend = robust_trend(materialize(attach(unique, span, keys)), keys, sizes)
+    facts = materialize(attach(span, trend, keys))
+    centred = attach(rows, facts, keys).withColumn("gp_mean", polynomial(scaled("log_E"), F.col("coef")))
+    sigma = local_sigma(centred.withColumn("r", F.col("log_sigma") - F.col("gp_mean")), keys, config)
+    placed = attach(centred, sigma, [*keys, "log_E"])
+    scored = flag_points(placed, "gp_mean", "gp_std", point_z=config.point_z)
     kept = scored.select(*rows.columns, "gp_mean", "gp_std", "z_score", "point_outlier")
     return flag_experiments(
         kept, keys, z_limit=config.experiment_z, share=config.experiment_share, min_group=config.min_group)
@@ -109,25 +105,25 @@ def _coefficients(moments: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(moments.select(*keys, coef.alias("coef")))
 
 
-def robust_trend(unique: DataFrame, keys: list[str], limit: int, rounds: int = ROUNDS) -> DataFrame:
+def robust_trend(unique: DataFrame, keys: list[str], sizes: GroupSizes, rounds: int = ROUNDS) -> DataFrame:
     """Cubic per group on points averaged per x; a group stops once it has settled."""
     points = unique.withColumn("t", scaled("x"))
     current = _coefficients(_moments(points, keys, F.col("w")), keys).withColumn("settled", F.lit(False))
     for _ in range(rounds):
-        active = attach(points, current.filter("NOT settled"), keys, "inner", per_hot_key=True)
+        active = attach(points, current.filter("NOT settled"), keys, "inner")
         residual = active.withColumn("r", F.col("y") - polynomial(F.col("t"), F.col("coef")))
-        middle = materialize(group_percentiles(residual, keys, "r", {"med": 0.5}, limit, True))
-        away = attach(residual, middle, keys, per_hot_key=True).withColumn("distance", F.abs(F.col("r") - F.col("med")))
-        mad = materialize(group_percentiles(away, keys, "distance", {"mad": 0.5}, limit, True))
-        judged = attach(residual, mad.filter("mad >= 1e-12"), keys, "inner", per_hot_key=True)
+        middle = materialize(group_percentiles(residual, keys, "r", {"med": 0.5}, sizes.limit, sizes=sizes))
+        away = attach(residual, middle, keys).withColumn("distance", F.abs(F.col("r") - F.col("med")))
+        mad = materialize(group_percentiles(away, keys, "distance", {"mad": 0.5}, sizes.limit, sizes=sizes))
+        judged = attach(residual, mad.filter("mad >= 1e-12"), keys, "inner")
         distance = F.abs("r") / (F.col("mad") * G.MAD_TO_SIGMA)
         factor = F.when(distance <= 3.0, 1.0).otherwise(3.0 / distance)
         fresh = _coefficients(_moments(judged, keys, F.col("w") * factor), keys)
-        moved = attach(judged, fresh.withColumnRenamed("coef", "next"), keys, "inner", per_hot_key=True).groupBy(*keys).agg(
+        moved = attach(judged, fresh.withColumnRenamed("coef", "next"), keys, "inner").groupBy(*keys).agg(
             F.first("next").alias("next"),
             F.max(F.abs(polynomial(F.col("t"), F.col("next")) - polynomial(F.col("t"), F.col("coef")))).alias("step"))
         update = moved.select(*keys, "next", (F.col("step") < 1e-4).alias("near"))
-        current = materialize(attach(current, update, keys, per_hot_key=True).select(
+        current = materialize(attach(current, update, keys).select(
             *keys, F.coalesce("next", "coef").alias("coef"),
             (F.col("settled") | F.coalesce("near", F.lit(True))).alias("settled")))
         if current.filter("NOT settled").isEmpty():
@@ -135,75 +131,63 @@ def robust_trend(unique: DataFrame, keys: list[str], limit: int, rounds: int = R
     return current.select(*keys, "coef")
 
 
-def cell(x: str) -> Column:
-    width = F.col("hi") - F.col("lo")
-    at = F.floor((F.col(x) - F.col("lo")) / width * CELLS)
-    return F.when(width > 0, F.least(at, F.lit(CELLS - 1))).otherwise(0).cast("int")
-
-
-def node_sigma(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
-    """Cell -> its two nodes (x0, s0, x1, s1), for every cell that holds rows."""
-    group = [*keys, "lo", "hi", "n_rows"]
-    counted = rows.filter("r IS NOT NULL").groupBy(*group, cell("log_E").alias("__cell")).agg(
-        F.count(F.lit(1)).alias("c"), F.min("log_E").alias("x"))
-    along = Window.partitionBy(*keys).orderBy("__cell")
-    rank = F.sum("c").over(along) - F.col("c")
-    cells = materialize(counted.select("*", F.floor(rank * NODES / F.col("n_rows")).cast("int").alias("share")))
-    ends = cells.groupBy(*group).agg(F.max("share").alias("share")).select(
-        *group, (F.col("share") + 1).alias("share"), F.col("hi").alias("x"))
-    nodes = cells.groupBy(*group, "share").agg(F.min("x").alias("x")).unionByName(ends)
-    order = Window.partitionBy(*keys).orderBy("share")
+def local_sigma(centred: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
+    """(keys, log_E, gp_std): the floored and smoothed rolling MAD, one value per distinct energy."""
+    limit = max(config.score_rows, 2 * config.window_points)
+    points = centred.filter("log_E IS NOT NULL AND r IS NOT NULL").select(*keys, "lo", "hi", "n_rows", F.col("log_E").alias("x"), "r")
+    ranked = materialize(with_tiles(points, keys, ["x", "r"], limit, rank_as="__rank"))
+    mads = materialize(_window_mads(ranked, keys, config))
+    smooth = _running_medians(mads, keys, limit)
+    return smooth.groupBy(*keys, F.col("x").alias("log_E")).agg(
+        F.greatest(F.avg(F.greatest("s", F.lit(config.sigma_floor))), F.lit(config.sigma_floor)).alias("gp_std"))
+
+
+def _window_mads(ranked: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
+    """The scaled MAD of every row's window, from tiles that also hold the rows they reach."""
     half = F.greatest((F.col("hi") - F.col("lo")) * config.window_fraction, F.lit(0.1))
-    nodes = materialize(nodes.select(
-        *keys, "share", "x", F.row_number().over(order).alias("node"), half.alias("half"),
-        F.lag("x").over(order).alias("before"), F.lead("x").over(order).alias("after")))
-
-    sigma = _window_mad(rows, nodes, keys, config)
-    smooth = _smooth_nodes(sigma, keys, config)
-    left = smooth.select(*keys, "share", F.col("x").alias("x0"), F.col("s").alias("s0"),
-                         F.lead("x").over(order).alias("x1"), F.lead("s").over(order).alias("s1"))
-    return attach(cells.select(*keys, "__cell", "share"), left, [*keys, "share"], per_hot_key=True).drop("share")
-
-
-def _window_mad(rows: DataFrame, nodes: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
-    """Scaled MAD of every node's window.
-
-    Rows meet the nodes of their own group only (a few hundred) and are combined map-side
-    into counts; a window with too few rows reaches to the neighbouring nodes instead.
-    """
-    listed = nodes.groupBy(*keys).agg(F.collect_list(F.struct("node", "x", "half", "before", "after")).alias("nodes"))
-    x = F.col("log_E")
-
-    def spread(width_rows: DataFrame) -> DataFrame:
-        near = attach(rows.select(*keys, "log_E", "r"), width_rows, keys, "inner", per_hot_key=True)
-        hit = F.filter("nodes", lambda n: (x >= n["x"] - n["half"]) & (x <= n["x"] + n["half"]))
-        return near.select(*keys, "r", F.explode(F.transform(hit, lambda n: n["node"])).alias("node"))
-
-    part = [*keys, "node"]
-    counts = spread(listed).groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    reach = F.greatest(
-        F.col("half"), F.coalesce(F.col("x") - F.col("before"), F.lit(0.0)), F.coalesce(F.col("after") - F.col("x"), F.lit(0.0)))
-    few = F.coalesce(F.col("n"), F.lit(0)) < config.window_points
-    widened = materialize(attach(nodes, counts, part, per_hot_key=True).withColumn("half", F.when(few, reach).otherwise(F.col("half"))))
-    windows = spread(widened.groupBy(*keys).agg(F.collect_list(F.struct("node", "x", "half")).alias("nodes")))
-    middle = materialize(group_percentiles(windows, part, "r", {"med": 0.5}, config.score_rows, True))
-    away = attach(windows, middle, part, per_hot_key=True).withColumn("distance", F.abs(F.col("r") - F.col("med")))
-    mad = group_percentiles(away, part, "distance", {"mad": 0.5}, config.score_rows, True)
-    floored = F.greatest(F.coalesce(F.col("mad") * G.MAD_TO_SIGMA, F.lit(0.0)), F.lit(config.sigma_floor))
-    return materialize(attach(widened, mad, part, per_hot_key=True).select(*keys, "share", "node", "x", floored.alias("s")))
-
-
-def _smooth_nodes(sigma: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
-    """Median of a twentieth of the rows around each node, end values repeated."""
-    reach = NODES // 20 // 2
-    along = Window.partitionBy(*keys).orderBy("node")
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    listed = sigma.select(
-        "*", F.collect_list("s").over(along.rowsBetween(-reach, reach)).alias("near"),
-        F.first("s").over(whole).alias("head"), F.last("s").over(whole).alias("tail"),
-        F.row_number().over(along).alias("at"), F.count(F.lit(1)).over(whole).alias("count"))
-    below = F.greatest(F.lit(reach + 1) - F.col("at"), F.lit(0))
-    above = F.greatest(F.col("at") + reach - F.col("count"), F.lit(0)).cast("int")
-    padded = F.array_sort(F.concat("near", F.array_repeat("head", below), F.array_repeat("tail", above)))
-    return listed.select(
-        *keys, "share", "node", "x", F.greatest(padded[reach], F.lit(config.sigma_floor)).alias("s"))
+    along = Window.partitionBy(*keys).orderBy("__tile")
+    # A sparse window takes the nearest points, which the neighbouring tiles hold.
+    tiles = ranked.groupBy(*keys, "lo", "hi", "__tile").agg(F.min("x").alias("begins"), F.max("x").alias("ends")).select(
+        *keys, "__tile", half.alias("half"),
+        F.least(F.col("begins") - half, F.lag("begins").over(along)).alias("low"), F.greatest(F.col("ends") + half, F.lead("ends").over(along)).alias("high"))
+    listed = tiles.groupBy(*keys).agg(F.collect_list(F.struct("__tile", "low", "high", "half")).alias("tiles"))
+    reached = F.filter("tiles", lambda t: (F.col("x") >= t["low"]) & (F.col("x") <= t["high"]))
+    dealt = attach(ranked, listed, keys).select(*keys, "x", "r", "n_rows", "__rank", F.col("__tile").alias("own"), F.explode(reached).alias("t")).select(
+        *keys, "x", "r", "n_rows", "__rank", (F.col("own") == F.col("t.__tile")).alias("own"), F.col("t.__tile").alias("tile"), F.col("t.half").alias("half"))
+    fields = [*ranked.select(*keys, "x", "__rank", "n_rows").schema.fields, T.StructField("mad", T.DoubleType())]
+    points, floor = config.window_points, config.sigma_floor
+
+    def run(table: pa.Table) -> pa.Table:
+        x, r, rank, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("x", "r", "__rank", "own"))
+        order = np.argsort(rank)
+        mine = np.flatnonzero(own[order])
+        mad = G.rolling_mad(x[order], r[order], min_points=points, half=float(table.column("half")[0].as_py()), rows=(int(mine[0]), int(mine[-1]) + 1))
+        kept = table.take(pa.array(order[mine])).select([f.name for f in fields[:-1]])
+        return kept.append_column("mad", pa.array(np.maximum(mad, floor)))
+
+    return dealt.groupBy(*keys, "tile").applyInArrow(run, T.StructType(fields))
+
+
+def _running_medians(mads: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The running median over a twentieth of the ranks around each row, end values repeated."""
+    size = F.greatest(F.lit(5), F.floor(F.col("n_rows") / 20))
+    half = F.floor((size + (size % 2 == 0).cast("int")) / 2)
+    rank = F.col("__rank")
+    first = F.greatest(F.floor((rank - half) / limit), F.lit(0))
+    last = F.least(F.floor((rank + half) / limit), F.floor((F.col("n_rows") - 1) / limit))
+    dealt = mads.select(*keys, "x", "mad", "__rank", "n_rows", half.cast("int").alias("half"), F.explode(F.sequence(first, last)).alias("tile"))
+    fields = [*mads.select(*keys, "x").schema.fields, T.StructField("s", T.DoubleType())]
+
+    def run(table: pa.Table) -> pa.Table:
+        half, tile, n = (int(table.column(c)[0].as_py()) for c in ("half", "tile", "n_rows"))
+        rank = table.column("__rank").to_numpy()
+        order = np.argsort(rank)
+        values, rank = table.column("mad").to_numpy()[order], rank[order]
+        begin, end = tile * limit, min((tile + 1) * limit, n)
+        missing = half - (begin - rank[0]), half - (rank[-1] + 1 - end)
+        padded = np.concatenate([np.full(missing[0], values[0]), values, np.full(missing[1], values[-1])])
+        own = order[(rank >= begin) & (rank < end)]
+        kept = table.take(pa.array(own)).select([f.name for f in fields[:-1]])
+        return kept.append_column("s", pa.array(G.running_median(padded, 2 * half + 1)))
+
+    return dealt.groupBy(*keys, "tile").applyInArrow(run, T.StructType(fields))

@@ -16,18 +16,20 @@ from pyspark.sql.window import Window
 from crossfield.plans.scale import TASK_ROWS, attach, group_sizes, materialize
 
 
-def with_tiles(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
+def with_tiles(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], limit: int = TASK_ROWS,
+               rank_as: str | None = None) -> DataFrame:
     """Add ``__tile``: 0 for ordinary groups, increasing along ``order`` in hot groups.
 
     Hot groups are range-sorted over the cluster; a row's exact rank is its place in its
     sorted partition plus the rows of its group in earlier partitions, and every ``limit``
-    ranks make a tile. Ties in ``order`` are split like any other rows.
+    ranks make a tile. Ties in ``order`` are split like any other rows. ``rank_as`` keeps the
+    rank (0-based) and ranks the ordinary groups too.
     """
     keys, order = list(keys), [order] if isinstance(order, str) else list(order)
     sizes = group_sizes(df, keys, limit)
-    if sizes.bounded:
+    if rank_as is None and sizes.bounded:
         return df.withColumn("__tile", F.lit(0))
-    ordinary, hot = sizes.split(df)
+    ordinary, hot = (None, df) if rank_as else sizes.split(df)
     by = [*keys, *order, "__tie"]
     ranged = hot.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
     ranged = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
@@ -36,8 +38,9 @@ def with_tiles(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], l
     ahead = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__c")
     placed = attach(ranged, parts.select(*keys, "__part", "__first", ahead.alias("__ahead")), [*keys, "__part"])
     rank = F.col("__ahead") + F.col("__at") - F.col("__first")
-    hot = placed.withColumn("__tile", F.floor(rank / F.lit(limit)).cast("int")).drop("__tie", "__at", "__part", "__first", "__ahead")
-    return ordinary.withColumn("__tile", F.lit(0)).unionByName(hot)
+    hot = placed.withColumns({"__tile": F.floor(rank / F.lit(limit)).cast("int"), **({rank_as: rank} if rank_as else {})})
+    hot = hot.drop("__tie", "__at", "__part", "__first", "__ahead")
+    return hot if ordinary is None else ordinary.withColumn("__tile", F.lit(0)).unionByName(hot)
 
 
 def with_previous(

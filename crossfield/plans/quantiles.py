@@ -36,18 +36,14 @@ def group_percentiles(
     value: str,
     probabilities: dict[str, float],
     limit: int = PERCENTILE_ROWS,
-    assume_hot: bool = False,
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """One row per key with a column per named probability (NULL values are ignored).
 
-    ``assume_hot`` skips counting the groups when the caller knows they are large, and
     ``sizes`` reuses counts taken before over the same keys.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    if assume_hot:
-        return _by_narrowing(data, keys, probabilities, limit)
     sizes = sizes or group_sizes(data, keys, limit)
     if sizes.bounded:
         return _by_aggregate(data, keys, probabilities)

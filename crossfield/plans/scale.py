@@ -54,7 +54,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def rows_up_to(df: DataFrame, limit: int) -> bool:
     """Whether a (materialized) table has at most ``limit`` rows."""
-    return df.count() <= limit
+    if getattr(df, "counted_rows", None) is None:
+        df.counted_rows = df.count()
+    return df.counted_rows <= limit
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -102,16 +104,9 @@ def attach(
     how: str = "left",
     hot_rows: int = TASK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
-    per_hot_key: bool = False,
 ) -> DataFrame:
-    """Join one-row-per-key ``facts`` to ``df`` without piling a hot key on one task.
-
-    ``per_hot_key`` says that every key of ``facts`` is a hot one. Their number is bounded
-    by the rows over the hot limit, so the table is broadcast without counting it first.
-    """
+    """Join one-row-per-key ``facts`` to ``df`` without piling a hot key on one task."""
     keys = list(keys)
-    if per_hot_key:
-        return _join_facts(df, F.broadcast(facts), keys, how)
     facts = materialize(facts)
     if rows_up_to(facts, broadcast_rows):
         return _join_facts(df, F.broadcast(facts), keys, how)

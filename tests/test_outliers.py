@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossfield.operators import group_fit as G
-from crossfield.operators import outliers, outliers_hot
-from crossfield.plans.scale import attach, materialize
+from crossfield.operators import outliers
 
 KEYS = ["Z", "A", "MT", "Projectile"]
 
@@ -98,29 +97,15 @@ def test_required_columns(spark):
         outliers.score(spark.createDataFrame([(1,)], "Z int"))
 
 
-def test_hot_group_trend_and_sigma(spark):
-    """Moments and nodes give the cubic exactly and sigma within interpolation error."""
-    frame = experiments(n=500, offset=0.8)
-    config = outliers.OutlierConfig(score_rows=200)
-    rows = outliers.prepare(spark.createDataFrame(frame), config)
-    unique = materialize(rows.groupBy(*KEYS, F.col("log_E").alias("x")).agg(
-        F.avg("log_sigma").alias("y"), F.lit(1.0).alias("w"), F.count(F.lit(1)).alias("m")))
-    span = materialize(unique.groupBy(*KEYS).agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("y").alias("mean_y"),
-        F.count(F.lit(1)).alias("n_x"), F.sum("m").alias("n_rows")))
-    trend = outliers_hot.robust_trend(attach(unique, span, KEYS), KEYS, 200, rounds=1)
-    facts = materialize(attach(span, trend, KEYS))
-    centred = attach(rows, facts, KEYS).withColumn(
-        "gp_mean", outliers_hot.polynomial(outliers_hot.scaled("log_E"), F.col("coef")))
-    got = centred.toPandas().sort_values("row")
-    x, y = got.log_E.to_numpy(), got.log_sigma.to_numpy()
-    want = G.robust_cubic(x, y, rounds=1)(x)
-    assert np.allclose(got.gp_mean, want)
-    nodes = outliers_hot.node_sigma(centred.withColumn("r", F.col("log_sigma") - F.col("gp_mean")), KEYS, config).toPandas()
-    exact = G.local_sigma(x, y - want)
-    order = np.argsort(x)
-    near = np.interp(nodes.x0, x[order], exact[order])
-    assert np.mean(np.abs(nodes.s0 / near - 1)) < 0.03
+def test_a_group_over_the_limit_gets_the_same_scores(spark, n=700, limit=150):
+    """Tiles of a hot group against one task: every row's trend, sigma, score and flags."""
+    frame = experiments(n=n, offset=0.8, bad_points=5)
+    frame["Energy"] = 10 ** np.round(np.log10(frame.Energy), 1)
+    frame.loc[frame.index[-40:], "Energy"] = 10.0 ** np.linspace(9, 14, 40)  # sparse windows
+    whole, tiled = scores(spark, frame), scores(spark, frame, score_rows=limit)
+    for name in ("gp_mean", "gp_std", "z_score"):
+        assert np.allclose(whole[name], tiled[name], rtol=1e-6, atol=1e-9), name
+    assert (whole.point_outlier == tiled.point_outlier).all() and (whole.experiment_outlier == tiled.experiment_outlier).all()
 
 
 def test_rows_without_an_id_are_one_experiment(spark):
