@@ -399,13 +399,11 @@ def below_threshold(spark, sf):
 
 @register("m16_derivative_excess", _PRED_SQL + f"""
 , d AS (SELECT Z, A, MT, Energy AS x, pred AS y, lag(Energy) OVER w AS x1, lag(pred) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY Z, A, MT ORDER BY Energy, pred))
-SELECT Z, A, MT, {r('avg(greatest(abs((y - y1) / (x - x1 + 1e-10)) - 0.001::DOUBLE, 0))', 4)} AS excess FROM d WHERE x1 IS NOT NULL AND x > x1 GROUP BY ALL""")
+SELECT Z, A, MT, {r('log10(1 + avg(greatest(abs((y - y1) / (x - x1 + 1e-10)) - 0.001::DOUBLE, 0)))', 5)} AS excess FROM d WHERE x1 IS NOT NULL GROUP BY ALL""")
 def derivative_excess(spark, sf):
-    # Equal energies (division by 1e-10) are left to the unit test: here the first row of each.
-    rows = predicted(spark, sf)
-    steps = E.with_previous(rows, KEYS, ["Energy", "pred"], []).filter("prev1 IS NOT NULL AND Energy > prev1.Energy")
-    slope = F.abs((F.col("pred") - F.col("prev1.pred")) / (F.col("Energy") - F.col("prev1.Energy") + 1e-10))
-    return steps.groupBy(*KEYS).agg(rounded(F.avg(F.greatest(slope - 0.001, F.lit(0.0))), 4).alias("excess"))
+    # Rows of equal energy differ by 1e-10 there, so the mean spans many decades: compare its logarithm.
+    found = E.derivative_excess(predicted(spark, sf), KEYS, "Energy", "pred", bound=0.001)
+    return found.select(*KEYS, rounded(F.log10(1 + F.col("excess")), 5).alias("excess"))
 
 
 @register("m17_negative_penalty", f"SELECT {r('avg(greatest(-(CrossSection - 1), 0))')} AS penalty FROM q")
@@ -482,6 +480,12 @@ def decision_tree(spark, sf):
     return spark.createDataFrame([(k, float(v)) for k, v in model.metrics.items() if v is not None], "metric string, value double")
 
 
+@register("m07_weighted_training")
+def weighted(spark, sf):
+    model = models.train(_small(spark, sf), models.decision_tree(weighted=True, maxDepth=6), weight_mode="both")
+    return spark.createDataFrame([(k, float(v)) for k, v in model.metrics.items() if v is not None], "metric string, value double")
+
+
 @register("m02_boosted_trees")
 def boosted(spark, sf):
     model = models.train(_small(spark, sf), models.boosted_trees(maxIter=5, maxDepth=4))
@@ -504,5 +508,5 @@ def importance(spark, sf):
 def grid_search(spark, sf):
     tree = models.decision_tree()
     maps = models.grid_maps(tree, {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]})
-    _, found = models.search(_small(spark, sf), tree, maps, max_rows=5000)
+    _, found = models.search(_small(spark, sf), tree, maps)
     return spark.createDataFrame([(k, float(v)) for k, v in found["best"].items()], "parameter string, value double")

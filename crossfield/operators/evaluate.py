@@ -88,7 +88,7 @@ def benchmark_validation(
     predictions: DataFrame, benchmarks: DataFrame, k: str = "k_predicted", sigma: str = "sigma_predicted"
 ) -> DataFrame:
     """Error, pcm, combined sigma and the 300 pcm criterion per prediction."""
-    rows = predictions.join(F.broadcast(benchmarks), "benchmark")
+    rows = predictions.join(benchmarks, "benchmark")
     error = F.col(k) - F.col("k_reference")
     rows = rows.withColumns({
         "error": error, "error_pcm": error * 1e5 / F.col("k_reference"),

@@ -145,15 +145,18 @@ def random_maps(estimator, space: dict[str, Sequence], n: int, seed: int = 42) -
 
 def search(
     df: DataFrame, estimator, maps: list[dict], scaler: Scaler | None = None, folds: int = 3,
-    fraction: float = 1.0, max_rows: int = 100_000, validation: str = "cv", parallelism: int = 4, seed: int = 42,
+    fraction: float = 1.0, max_rows: int | None = None, validation: str = "cv", parallelism: int = 4, seed: int = 42,
+    weight_mode: str | None = None,
 ) -> tuple[Model, dict[str, Any]]:
-    """Grid or random search on a subsample, then a fit of the best on all rows.
+    """Grid or random search on all rows (or a subsample, if asked), then a fit of the best on all rows.
 
     ``validation`` is 'cv' (k folds) or 'holdout' (70 % train, 15 % validation, the last
     15 % only for the reported test metric).
     """
     scaler = scaler or Scaler()
-    rows, features = _search_rows(df, scaler, fraction, max_rows)
+    rows, features = _search_rows(df, scaler, fraction, max_rows, weight_mode)
+    if weight_mode:
+        estimator = estimator.copy({estimator.weightCol: "weight"})
     pipe = _pipeline(estimator, features)
     evaluator = RegressionEvaluator(labelCol="target", metricName="mse")
     common = {"estimator": pipe, "estimatorParamMaps": maps, "evaluator": evaluator, "parallelism": parallelism, "seed": seed}
@@ -167,7 +170,7 @@ def search(
         scores, test = found.avgMetrics, None
     best = maps[min(range(len(maps)), key=lambda i: scores[i])]
     chosen = {p.name: v for p, v in best.items()}
-    model = train(df, estimator.copy(best), scaler)
+    model = train(df, estimator.copy(best), scaler, weight_mode)
     return model, {"best": chosen, "score": min(scores), "test_mse": test}
 
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crossfield.plans.scale import materialize
+
+# Equal cells in which the draws of a sample are counted.
+DRAW_CELLS = 4096
 
 
 def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str], largest: bool = True) -> DataFrame:
@@ -75,21 +79,25 @@ def similarity_to(df: DataFrame, key: str, vector: str, query) -> DataFrame:
     return df.crossJoin(F.broadcast(wanted)).select(key, cosine(vector, "__q").alias("similarity"))
 
 
-def subsample(df: DataFrame, fraction: float, max_rows: int, seed: int = 42) -> DataFrame:
-    """min(fraction * n, max_rows) rows without replacement.
+def subsample(df: DataFrame, fraction: float, max_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """min(fraction * n, max_rows) rows without replacement; no row limit if ``max_rows`` is None.
 
-    A Bernoulli sample a little above the target is cut to it, so only the sample is
-    ordered, never the table. Short draws (rare) fall back to ordering everything.
+    Every row draws a number once (kept by a checkpoint). Draws are counted in equal cells;
+    cells below the wanted rank are taken whole and only the one that holds it is ordered.
     """
     total = df.count()
-    wanted = min(int(total * fraction), max_rows)
+    wanted = int(total * fraction) if max_rows is None else min(int(total * fraction), max_rows)
     if wanted >= total:
         return df
-    margin = min(1.0, (wanted + 6 * wanted ** 0.5 + 10) / total)
-    drawn = df.withColumn("__u", F.rand(seed)).filter(F.col("__u") < margin)
-    if drawn.count() < wanted:
-        drawn = df.withColumn("__u", F.rand(seed))
-    return drawn.orderBy("__u").limit(wanted).drop("__u")
+    drawn = materialize(df.withColumn("__u", F.rand(seed))).withColumn("__cell", F.floor(F.col("__u") * DRAW_CELLS))
+    left, last = wanted, 0
+    for row in drawn.groupBy("__cell").count().orderBy("__cell").collect():
+        last = row["__cell"]
+        if row["count"] > left:
+            break
+        left -= row["count"]
+    edge = drawn.filter(F.col("__cell") == last).orderBy("__u").limit(left)
+    return drawn.filter(F.col("__cell") < last).unionByName(edge).drop("__u", "__cell")
 
 
 def clipped_curve(df: DataFrame, predicted: str, floor: float = 1e-10) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crossfield.plans.scale import GroupSizes, group_sizes, materialize
+from crossfield.plans.scale import GroupSizes, checked_broadcast, group_sizes, materialize
 
 CELLS = 4096
 MAX_ROUNDS = 30
@@ -124,7 +124,7 @@ def _in_ranges(data: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame
     """Rows whose value lies in one of their key's ranges (a few per key, so broadcast)."""
     ranges, same = _renamed(ranges, keys)
     inside = same & F.col("__v").between(F.col("__lo"), F.col("__hi"))
-    return data.join(F.broadcast(ranges), inside).select(*keys, "__v", "__lo", "__hi")
+    return data.join(checked_broadcast(ranges), inside).select(*keys, "__v", "__lo", "__hi")
 
 
 def _covering(counted: DataFrame, span: list[str], order: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _at_rank(steps: DataFrame, targets: DataFrame, span: list[str]) -> DataFrame
     """Join every target to the step that holds its rank."""
     wanted, same = _renamed(targets.select(*span, "__target", "__side", "__f", "__rank"), span)
     held = (F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__upto"))
-    return steps.join(F.broadcast(wanted), same & held)
+    return steps.join(checked_broadcast(wanted), same & held)
 
 
 def _share(v: Column, lo: Column, hi: Column) -> Column:

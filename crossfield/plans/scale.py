@@ -9,8 +9,8 @@ Three questions come up in nearly every operator, and each has one answer here:
   handled apart by a (bounded) broadcast.
 * ``group_sizes``   - how many rows each key has, and which keys are hot.
 
-A key is *hot* when it has more rows than one task should see. There are at most
-``total rows / limit`` hot keys, so tables keyed by hot key stay broadcastable.
+A key is *hot* when it has more rows than one task should see. Tables keyed by hot key are
+usually small, but they too are counted before they are broadcast.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ class GroupSizes:
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of ordinary keys and rows of hot keys."""
-        hot = F.broadcast(self.hot())
+        hot = checked_broadcast(self.hot())
         condition = same_keys(df, hot, self.keys)
         return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
 
@@ -114,10 +114,10 @@ def attach(
     if sizes.bounded:
         return _join_facts(df, facts, keys, how)
     ordinary, hot = sizes.split(df)
-    hot_keys = F.broadcast(sizes.hot())
+    hot_keys = checked_broadcast(sizes.hot())
     hot_facts = facts.join(hot_keys, same_keys(facts, hot_keys, keys), "left_semi")
     return _join_facts(ordinary, facts, keys, how).unionByName(
-        _join_facts(hot, F.broadcast(hot_facts), keys, how)
+        _join_facts(hot, checked_broadcast(hot_facts), keys, how)
     )
 
 
