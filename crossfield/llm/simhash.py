@@ -43,6 +43,9 @@ TILE_ROWS = 4096
 BLOCK_ROWS = 65536
 # Minimum hashes per text; bands of four find a similarity of 0.8 with probability 0.998.
 SKETCH, BANDS, BAND_ROWS = 128, 12, 4
+# The share of equal minimum hashes has a standard error of 0.035 at 0.8; a pair passes if its
+# share is at most this much below the wanted similarity.
+SKETCH_SLACK = 0.03
 
 
 def _mixed(n: int, salt: int) -> np.ndarray:
@@ -254,7 +257,7 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
 
     Texts are candidates if a band of their minimum hashes agrees; the pivot tables and the
     SimHash distance discard (``max_bits`` lies three deviations above the distance expected at
-    0.8), and the share of equal minimum hashes must reach ``similarity``. ``stays`` marks the
+    0.8), and the share of equal minimum hashes must reach ``similarity`` less its error. ``stays`` marks the
     rows of the smallest id of a component (of the smallest node, if no id is known);
     ``repeats`` is how many rows agree in id and text.
     """
@@ -264,7 +267,7 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     width = 4 * BAND_ROWS
     bands = F.array(*[F.struct(F.lit(i).alias("table"), F.xxhash64(F.substring("sketch", i * width + 1, width)).alias("key")) for i in range(BANDS)])
     members = nodes.select("node", "fingerprint", F.explode(bands).alias("k")).select("k.*", "node", "fingerprint")
-    links = link_buckets(members, max_bits, nodes.select("node", "sketch"), similarity, tile_rows)
+    links = link_buckets(members, max_bits, nodes.select("node", "sketch"), similarity - SKETCH_SLACK, tile_rows)
     rooted = nodes.select("node", "first").join(components(links).withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(
         "node", "first", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
