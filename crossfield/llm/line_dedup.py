@@ -3,12 +3,13 @@
 A line's value is the first 28 bits of its MD5. A rolling hash over the last three line
 values ends a chunk wherever it is divisible by ``DIVISOR``, so chunk ends depend on nearby
 lines only and move along with inserted or deleted lines. A chunk with at least two lines
-that hold a word is a multi-line chunk. Chunks that occur once are ruled out by their MD5
-(counted before the shuffle); the texts of the rest are compared byte for byte, and every
-occurrence but the first (smallest id, then place in the document) is removed.
+that hold a word is a multi-line chunk. Chunks are dealt out by their MD5 and their texts are
+compared byte for byte; every occurrence but the first (smallest id, then place in the
+document) is removed.
 
-A chunk that is everywhere reaches the comparison as one row for each task that met it.
-Only what must go is joined back, under the document's id and text digest.
+A chunk that is everywhere reaches the comparison as one row for each task that met it: the
+first place is a minimum, combined before the shuffle. Repeats are the places that are no
+chunk's first, found under the document's id and text digest, which no chunk makes hot.
 
 Defined results: null text stays null and has no chunks; blank lines alone are never
 removed; null ids come last when the first occurrence is chosen; rows that agree in id and
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfield.llm.common import bind, materialize, text_of
+from crossfield.llm.common import bind, text_of
 from crossfield.llm.registry import documents, register
 
 BASE = 31
@@ -58,16 +59,13 @@ def removals(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """(id, node, cut): per document the numbers of the chunks to remove."""
     keyed = df.select(F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"), text_of(text).alias("text"))
     pieces = keyed.select("id", "node", F.posexplode(chunks_of(F.col("text"))).alias("i", "lines")).filter(worded(F.col("lines")) >= MIN_LINES)
-    pieces = pieces.select("id", "node", "i", F.array_join("lines", "\n").alias("chunk")).withColumn("h", F.unhex(F.md5("chunk")))
-    light = materialize(pieces.select("id", "node", "i", "h"), "chunks")
-    repeated = materialize(light.groupBy("h").count().filter("count > 1").select("h"), "repeated")
-    # Sort-merge at every size: the hashes and the lists of cuts grow with the table.
-    candidates = pieces.join(repeated.hint("merge"), "h", "left_semi")
     place = F.struct(F.col("id").isNull(), "id", "node", "i")
-    firsts = candidates.groupBy("h", "chunk").agg(F.min(place).alias("p")).select(
-        F.col("p.id").alias("f_id"), F.col("p.node").alias("f_node"), F.col("p.i").alias("f_i"))
-    again = light.join(repeated, "h", "left_semi").join(
-        firsts, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("node") == F.col("f_node")) & (F.col("i") == F.col("f_i")), "left_anti")
+    firsts = pieces.select(place.alias("p"), F.array_join("lines", "\n").alias("chunk")).withColumn("h", F.unhex(F.md5("chunk"))).groupBy(
+        "h", "chunk").agg(F.min("p").alias("p")).select(F.col("p.id").alias("f_id"), F.col("p.node").alias("f_node"), F.col("p.i").alias("f_i"))
+    # What is not the first occurrence of any chunk occurs again. Sort-merge at every size:
+    # the places and the lists of cuts grow with the table.
+    again = pieces.select("id", "node", "i").join(
+        firsts.hint("merge"), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("node") == F.col("f_node")) & (F.col("i") == F.col("f_i")), "left_anti")
     return again.groupBy("id", "node").agg(F.collect_set("i").alias("cut"))
 
 
