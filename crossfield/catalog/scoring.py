@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crossfield.catalog.base import FULL_KEYS, KEYS, clean, r, register, round_columns, rounded
 from crossfield.catalog.reports import _FIT_WEIGHTS
-from crossfield.operators import outliers
+from crossfield.operators import outliers, outliers_hot
 from crossfield.operators.profile import with_logs
 
 _K = "Z, A, MT, Projectile"
@@ -91,6 +91,18 @@ def smooth_mean(spark, sf):
     return round_columns(out, "mean", "low", "high", digits=5)
 
 
+@register("w06_trend_criterion", _FIT_WEIGHTS + f""",
+gs AS (SELECT {_K}, count(*) AS cnt, min(x) AS lo, max(x) AS hi FROM wt GROUP BY ALL),
+dd AS (SELECT {_K}, x, avg(y) AS y, avg(coalesce(fit_weight, 1.0::DOUBLE)) AS w FROM wt GROUP BY ALL),
+pt AS MATERIALIZED (SELECT dd.*, cnt, (2.0::DOUBLE * x - lo - hi) / (hi - lo) AS t FROM dd JOIN gs USING ({_K}) WHERE cnt >= 10),
+{_rounds(0).strip()},
+cr AS (SELECT {_K}, count(*) AS n_x, sum(w) AS sw, var_pop(y) AS v, sum(pow(w * (y - ({_POLY})), 2)) AS q FROM pt JOIN k0 USING ({_K}) GROUP BY ALL)
+SELECT {_K}, n_x, {r('log10(q * n_x * n_x / (sw * sw))', 5)} AS criterion, {r('log10(n_x * greatest(v, 1e-6))', 5)} AS allowed, q * n_x * n_x / (sw * sw) <= n_x * greatest(v, 1e-6) AS cubic_enough FROM cr""")
+def trend_criterion(spark, sf):
+    found = outliers_hot.trend_criterion(clean(spark, sf)).filter("n_rows >= 10")
+    return found.select(*FULL_KEYS, "n_x", rounded(F.log10("criterion"), 5).alias("criterion"), rounded(F.log10("allowed"), 5).alias("allowed"), "cubic_enough")
+
+
 @register("w08_local_sigma", _FULL + f" SELECT {_K}, {r('avg(sigma)', 5)} AS mean, {r('min(sigma)', 5)} AS low, {r('max(sigma)', 5)} AS high FROM fin GROUP BY ALL")
 def local_sigma(spark, sf):
     out = outliers.score(clean(spark, sf)).groupBy(*FULL_KEYS).agg(F.avg("gp_std").alias("mean"), F.min("gp_std").alias("low"), F.max("gp_std").alias("high"))

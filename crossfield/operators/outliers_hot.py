@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from crossfield.operators import group_fit as G
-from crossfield.operators.outliers import OutlierConfig, add_fit_weights, flag_experiments, flag_points
+from crossfield.operators.outliers import OutlierConfig, add_fit_weights, flag_experiments, flag_points, group_keys, prepare
 from crossfield.plans.ordering import with_tiles
 from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles
 from crossfield.plans.scale import GroupSizes, attach, materialize
@@ -32,7 +32,8 @@ POWERS = 2 * G.DEGREE + 1
 ROUNDS = 5
 
 
-def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
+def _points(rows: DataFrame, keys: list[str], config: OutlierConfig) -> tuple[DataFrame, DataFrame]:
+    """Values averaged per energy (x, y, weight, rows), and the range and sizes of each group."""
     weighted = add_fit_weights(rows, keys) if _weightable(rows, config) else rows.withColumn(
         "fit_weight", F.lit(None).cast("double"))
     usable = F.col("log_E").isNotNull() & F.col("log_sigma").isNotNull()
@@ -42,6 +43,33 @@ def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFr
     span = materialize(unique.groupBy(*keys).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("y").alias("mean_y"),
         F.count(F.lit(1)).alias("n_x"), F.sum("m").alias("n_rows")))
+    return unique, span
+
+
+def trend_criterion(df: DataFrame, config: OutlierConfig | None = None) -> DataFrame:
+    """Whether the cubic satisfies the smoothing criterion, per group.
+
+    ``criterion`` is the sum of squared weighted residuals of the first fit (weights scaled
+    to mean 1), ``allowed`` the number of energies times the variance of the values. Where
+    it is exceeded (``cubic_enough`` false), a smoother that adds knots until the criterion
+    holds would bend more than the cubic does.
+    """
+    config = config or OutlierConfig()
+    rows, keys = prepare(df, config), group_keys(df)
+    unique, span = _points(rows, keys, config)
+    points = attach(unique, span, keys).withColumn("t", scaled("x"))
+    fitted = attach(points, _coefficients(_moments(points, keys, F.col("w")), keys), keys)
+    residual = F.col("w") * (F.col("y") - polynomial(F.col("t"), F.col("coef")))
+    sums = fitted.groupBy(*keys, "n_x", "n_rows").agg(
+        F.sum(residual * residual).alias("q"), F.sum("w").alias("sw"), F.var_pop("y").alias("v"))
+    criterion = F.col("q") * F.col("n_x") * F.col("n_x") / (F.col("sw") * F.col("sw"))
+    allowed = F.col("n_x") * F.greatest(F.col("v"), F.lit(1e-6))
+    return sums.select(*keys, "n_x", "n_rows", criterion.alias("criterion"), allowed.alias("allowed"),
+                       (criterion <= allowed).alias("cubic_enough"))
+
+
+def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
+    unique, span = _points(rows, keys, config)
     counts = materialize(span.select(*keys, F.col("n_x").alias("group_rows")))
     sizes = GroupSizes(counts, keys, PERCENTILE_ROWS, counts.agg(F.max("group_rows")).first()[0] or 0)
     trend = robust_trend(materialize(attach(unique, span, keys)), keys, sizes)
