@@ -43,8 +43,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 # A pair of ids as one number; symbols between words and of merged-away places.
 PAIR, EDGE, GONE = 1 << 20, -1, -2
-# Pieces remembered per task; beyond it the memory starts anew.
-CACHE_PIECES = 200_000
+# Pieces and words remembered per worker; beyond it the memory starts anew.
+CACHE_PIECES, CACHE_WORDS = 250_000, 250_000
 # Texts are handled in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 
@@ -89,6 +89,7 @@ class Vocabulary:
         self.find = regex.compile(WORD_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.known: dict[str, bytes] = {}
+        self.coded: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The text between white space; special tokens stand as pieces after a space."""
@@ -118,7 +119,7 @@ class Vocabulary:
         return [w for w, _ in cut.pre_tokenize_str(steps.normalize_str(piece))]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces not met before, all their words at once."""
+        """Encode pieces not met before: their words not met before go through the merges at once."""
         if len(self.known) + len(pieces) > CACHE_PIECES:
             self.known = {}
         plain = []
@@ -128,8 +129,12 @@ class Vocabulary:
             else:
                 plain.append(piece)
         split = [self.words(p) for p in plain]
-        distinct = list(dict.fromkeys(w for words in split for w in words))
-        coded = dict(zip(distinct, merge_words(distinct, self)))
+        wanted = dict.fromkeys(w for words in split for w in words)
+        distinct = [w for w in wanted if w not in self.coded]
+        if len(self.coded) + len(distinct) > CACHE_WORDS:
+            self.coded, distinct = {}, list(wanted)
+        self.coded |= zip(distinct, merge_words(distinct, self))
+        coded = self.coded
         for piece, words in zip(plain, split):
             self.known[piece] = b"".join([coded[w] for w in words])
 
@@ -169,18 +174,24 @@ def merge_words(words: list[str], vocab: Vocabulary) -> list[bytes]:
             far, prior = after[then], before[place]
             after[place] = far
             before[far] = place
-            lower = False
             # The two new pairs enter the index; words end at EDGE, which has no pairs.
-            for key, start in ((merged * PAIR + symbol[far], place), (symbol[prior] * PAIR + merged, prior)):
-                new = rank_of(key)
-                if new is not None:
-                    if new in index:
-                        index[new].append(start)
-                    else:
-                        index[new] = [start]
-                        push(active, new)
-                    lower |= new < rank
-            if lower and done + 1 < len(places):
+            right_rank, left_rank = rank_of(merged * PAIR + symbol[far]), rank_of(symbol[prior] * PAIR + merged)
+            least = rank
+            if right_rank is not None:
+                if right_rank in index:
+                    index[right_rank].append(place)
+                else:
+                    index[right_rank] = [place]
+                    push(active, right_rank)
+                least = right_rank if right_rank < least else least
+            if left_rank is not None:
+                if left_rank in index:
+                    index[left_rank].append(prior)
+                else:
+                    index[left_rank] = [prior]
+                    push(active, left_rank)
+                least = left_rank if left_rank < least else least
+            if least < rank and done + 1 < len(places):
                 # A lower rank became active: the rest of this list waits for it.
                 index[rank] = places[done + 1:] + index.get(rank, [])
                 push(active, rank)

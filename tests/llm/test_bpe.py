@@ -39,6 +39,7 @@ def test_encoding_equals_the_library_on_awkward_text():
 
 def test_small_memory_of_pieces_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 70)
     texts = [t for _, t, *_ in tricky_rows()]
     vocab = bpe.Vocabulary(PATH)
     for _ in range(2):
