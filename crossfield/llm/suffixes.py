@@ -18,7 +18,8 @@ first ``LENGTH`` bytes, so the steps of the difference-cover algorithm are taken
 4. *Adjacent prefixes.* The ``LENGTH``-byte prefixes of these positions are sorted with their
    documents; each is compared with the smallest document of equal ones.
 
-Texts are packed whole into blocks in a bucketed table. A step sends, from each block to each
+Texts are packed whole into blocks in a bucketed table (it stays in the session's catalog
+under a name of its own, as the result reads it). A step sends, from each block to each
 value range, one sorted array of distinct values (a value that is everywhere is sent once per
 block), and gets back bits in the same order, so no match is ever listed as a pair. Values
 are 64-bit mixes of the bytes (48 bits in the first step, which is a filter); two
