@@ -117,11 +117,8 @@ def test_labels(spark):
     assert tuple(row) == ("(n,n₁) - 1st excited", "Unknown (MT 92)", "Other", "U-235", "³He")
 
 
-@pytest.mark.parametrize("scaler", ["standard", "minmax", "robust", "none"])
-@pytest.mark.parametrize("base", [10, "e", 2])
+@pytest.mark.parametrize("scaler, base", [("standard", 10), ("minmax", 10), ("minmax", "e"), ("minmax", 2), ("robust", 10), ("none", 10)])
 def test_transform_round_trip(spark, frame, tmp_path, scaler, base):
-    if scaler != "minmax" and base != 10:
-        pytest.skip("one base is enough")
     fitted = Scaler(TransformConfig(scaler=scaler, energy_log_base=base, log_base=base)).fit(frame, ["Energy", "CrossSection", "A"])
     fitted.save(spark, str(tmp_path / "s"))
     fitted = Scaler.load(spark, str(tmp_path / "s"))
