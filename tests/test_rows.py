@@ -186,3 +186,13 @@ def test_clean_stream_matches_batch(spark, frame, tmp_path):
     query.stop()
     key = lambda df: sorted(map(str, df.select("Entry", "Energy", "data_type", "out_n", "kR").collect()))
     assert key(spark.table("cleaned")) == key(clean_stream(raw))
+
+
+def test_split_tables_pair_every_energy_with_every_value(spark):
+    from crossfield.sources.points import split_table_points
+
+    reactions = spark.createDataFrame([(1, "E1", 92, 235, 18), (2, "E2", 1, 1, 2)], "id int, entry_id string, target_z int, target_a int, mt int")
+    side = lambda rows: spark.createDataFrame(rows, "reaction_id int, value double")
+    out = split_table_points(reactions, side([(1, 1.0), (1, 2.0), (2, 5.0), (2, None)]), side([(1, 10.0), (1, 20.0), (2, 7.0)]), side([(1, 0.5)]))
+    got = sorted((r["entry_id"], r["energy"], r["xs"], r["dxs"]) for r in out.collect())
+    assert got == [("E1", e, x, 0.5) for e in (1.0, 2.0) for x in (10.0, 20.0)] + [("E2", 5.0, 7.0, None)]
