@@ -68,11 +68,11 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", True),
-    Kind("name", r"(?<!\p{L})(?:(?:" + "|".join(TITLES) + r")\.? |(?=(?:" + "|".join(GIVEN_NAMES) + r") ))\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?"),
+    Kind("name", r"(?<!\p{L})(?=\p{Lu})(?:(?:" + "|".join(TITLES) + r")\.? |(?=(?:" + "|".join(GIVEN_NAMES) + r") ))\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?"),
     Kind("local_phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
-    Kind("masked_email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64} ?[(\[]?(?:dot|\.)[)\]]? ?[A-Za-z]{2,10}(?![A-Za-z])"),
+    Kind("masked_email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64} ?[(\[]?(?:dot|\.)[)\]]? ?[A-Za-z]{2,10}(?![A-Za-z])"),
 )
 # A number that fails the card check is a candidate of a looser kind.
 LOOSE_CARD = len(KINDS)
