@@ -6,7 +6,8 @@ shingle hashes (XXH64, seed 42). Pairs are searched in two steps:
 1. Buckets. For ``max_bits`` differing bits the 64 bits are cut into ``max_bits + 2`` blocks;
    two fingerprints that close agree in at least two blocks, so every pair of blocks gives
    one table of buckets and no close pair is missed. Where a pair is defined by shingle
-   similarity instead (``near_copies``), buckets are bands of minimum hashes.
+   similarity instead (``near_copies``), buckets are bands of minimum hashes; the groups they
+   make are only candidates, whose pairs are compared on their real shingles.
 2. Pivots. Every fingerprint's Hamming distances to ``PIVOTS`` reference fingerprints are
    tabulated. By the triangle inequality two close fingerprints differ by at most
    ``max_bits`` in every coordinate: rows of a bucket are sorted by the first coordinate and
@@ -41,11 +42,12 @@ SEED = 42
 PIVOTS = 16
 TILE_ROWS = 4096
 BLOCK_ROWS = 65536
-# Minimum hashes per text; bands of four find a similarity of 0.8 with probability 0.998.
-SKETCH, BANDS, BAND_ROWS = 128, 12, 4
-# The share of equal minimum hashes has a standard error of 0.035 at 0.8; a pair passes if its
-# share is at most this much below the wanted similarity.
-SKETCH_SLACK = 0.03
+# Minimum hashes per text; twenty bands of four miss a similarity of 0.8 with probability 3e-5.
+SKETCH, BANDS, BAND_ROWS = 128, 20, 4
+# The share of equal minimum hashes has a standard error of 0.035 at 0.8. It only discards: a
+# pair goes on to the exact comparison if its share is at most this much (four errors) below
+# the wanted similarity.
+SKETCH_SLACK = 0.14
 
 
 def _mixed(n: int, salt: int) -> np.ndarray:
@@ -125,8 +127,8 @@ def block_masks(max_bits: int) -> list[int]:
 
 
 def _close_pairs(group: np.ndarray, tile: np.ndarray, prints: np.ndarray, max_bits: int,
-                 sketches: np.ndarray | None, min_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs of rows, by distance along rows sorted by (group, first pivot distance)."""
+                 sketches: np.ndarray | None, min_similarity: float, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs of rows not joined yet, by distance along rows sorted by (group, first pivot distance)."""
     table = np.bitwise_count(prints[:, None] ^ PIVOT_TABLE).astype(np.int16)
     left, shift = np.arange(len(prints) - 1), 1
     while True:
@@ -137,7 +139,7 @@ def _close_pairs(group: np.ndarray, tile: np.ndarray, prints: np.ndarray, max_bi
         if not len(left):
             return
         a, b = left, right
-        across = (tile[a] < 0) | (tile[a] != tile[b])
+        across = ((tile[a] < 0) | (tile[a] != tile[b])) & (root[a] != root[b])
         a, b = a[across], b[across]
         near = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= max_bits
         a, b = a[near], b[near]
@@ -150,36 +152,72 @@ def _close_pairs(group: np.ndarray, tile: np.ndarray, prints: np.ndarray, max_bi
         shift += 1
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each row the smallest row it is joined to by the pairs."""
-    root = np.arange(n)
+def _find(root: np.ndarray, x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def _flatten(root: np.ndarray) -> None:
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return
+        root[:] = up
+
+
+def _join(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Lead each row in ``root`` to the smallest row it is joined to by the pairs."""
     for a, b in pairs:
         new = root[a] != root[b]
         for x, y in zip(a[new].tolist(), b[new].tolist()):
-            x, y = find(x), find(y)
+            x, y = _find(root, x), _find(root, y)
             if x != y:
                 root[max(x, y)] = min(x, y)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root
+        _flatten(root)
+
+
+def _alike_pairs(group: np.ndarray, tile: np.ndarray, sketches: np.ndarray, texts: pa.Array, shingle: int, similarity: float,
+                 root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows not joined yet whose sets of shingle hashes reach the similarity."""
+    sets: dict[int, np.ndarray] = {}
+
+    def of(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = np.unique(shingle_hashes(texts[x].as_py(), shingle))
+        return sets[x]
+
+    def alike(x: int, y: int) -> bool:
+        a, b = of(x), of(y)
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / max(len(a) + len(b) - both, 1) >= similarity or not len(a)
+
+    left, shift = np.arange(len(root) - 1), 1
+    while True:
+        left = left[left + shift < len(root)]
+        left = left[group[left] == group[left + shift]]
+        if not len(left):
+            return
+        a, b = left, left + shift
+        ahead = ((tile[a] < 0) | (tile[a] != tile[b])) & (root[a] != root[b])
+        a, b = a[ahead], b[ahead]
+        near = (sketches[a] == sketches[b]).mean(axis=1) >= similarity - SKETCH_SLACK if len(a) else np.zeros(0, bool)
+        for x, y in zip(a[near], b[near]):
+            if _find(root, x) != _find(root, y) and alike(int(x), int(y)):
+                yield np.array([x]), np.array([y])
+        shift += 1
 
 
 def link_buckets(members: DataFrame, max_bits: int, facts: DataFrame | None = None, min_similarity: float = 0.0,
-                 tile_rows: int = TILE_ROWS) -> DataFrame:
+                 tile_rows: int = TILE_ROWS, shingle: int = 0) -> DataFrame:
     """Links (a, b) that span the close members of each bucket.
 
     ``members`` has (table, key, node, fingerprint), one row per distinct member; ``facts``
-    (node, sketch) adds the sketch to compare.
+    (node, sketch) adds the sketch to compare. With ``shingle``, facts also has the text, and
+    members are close if their sets of shingles reach ``min_similarity``, whatever their bits.
     """
     node_type = members.schema["node"].dataType.simpleString()
     sizes = members.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -204,11 +242,11 @@ def link_buckets(members: DataFrame, max_bits: int, facts: DataFrame | None = No
             held = chunk if held is None else pa.concat_tables([held, chunk])
             ids = _groups(held, order)
             cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
-            if cut > 20_000:
-                yield _linked(held.slice(0, cut), ids[:cut], max_bits, min_similarity)
+            if cut > (2_000 if shingle else 20_000):
+                yield _linked(held.slice(0, cut), ids[:cut], max_bits, min_similarity, shingle)
                 held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
-            yield _linked(held, _groups(held, order), max_bits, min_similarity)
+            yield _linked(held, _groups(held, order), max_bits, min_similarity, shingle)
 
     return rows.mapInArrow(run, f"a {node_type}, b {node_type}")
 
@@ -222,14 +260,18 @@ def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _linked(table: pa.Table, group: np.ndarray, max_bits: int, min_similarity: float) -> pa.RecordBatch:
+def _linked(table: pa.Table, group: np.ndarray, max_bits: int, min_similarity: float, shingle: int) -> pa.RecordBatch:
     prints = table.column("fingerprint").to_numpy().view(np.uint64)
     lo, hi, own = (table.column(c).to_numpy() for c in ("lo", "hi", "own"))
     tile = np.where(lo == hi, -1, own)
     sketches = None
     if "sketch" in table.column_names:
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
-    root = _forest(len(prints), _close_pairs(group, tile, prints, max_bits, sketches, min_similarity))
+    root = np.arange(len(prints))
+    if shingle:
+        _join(root, _alike_pairs(group, tile, sketches, table.column("text"), shingle, min_similarity, root))
+    else:
+        _join(root, _close_pairs(group, tile, prints, max_bits, sketches, min_similarity, root))
     moved = np.flatnonzero(root != np.arange(len(root)))
     nodes = table.column("node").combine_chunks()
     return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], names=["a", "b"])
@@ -255,9 +297,11 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
                 max_bits: int = 18, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, node, component_id, stays, repeats): near copies by shingle similarity.
 
-    Texts are candidates if a band of their minimum hashes agrees; the pivot tables and the
-    SimHash distance discard (``max_bits`` lies three deviations above the distance expected at
-    0.8), and the share of equal minimum hashes must reach ``similarity`` less its error. ``stays`` marks the
+    Texts are candidates if a band of their minimum hashes agrees; the pivot tables, the SimHash
+    distance (``max_bits`` lies three deviations above the distance expected
+    at 0.8) and the share of equal minimum hashes discard only what is far away. Candidates that
+    hang together are a loose group; within it every pair that would join two components is
+    decided by the Jaccard similarity of the texts' distinct shingle hashes. ``stays`` marks the
     rows of the smallest id of a component (of the smallest node, if no id is known);
     ``repeats`` is how many rows agree in id and text.
     """
@@ -267,7 +311,15 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     width = 4 * BAND_ROWS
     bands = F.array(*[F.struct(F.lit(i).alias("table"), F.xxhash64(F.substring("sketch", i * width + 1, width)).alias("key")) for i in range(BANDS)])
     members = nodes.select("node", "fingerprint", F.explode(bands).alias("k")).select("k.*", "node", "fingerprint")
-    links = link_buckets(members, max_bits, nodes.select("node", "sketch"), similarity - SKETCH_SLACK, tile_rows)
+    sketches = nodes.select("node", "sketch")
+    loose = materialize(components(link_buckets(members, max_bits, sketches, similarity - SKETCH_SLACK, tile_rows)), "loose")
+    grouped = loose.select(F.lit(0).alias("table"), F.col("root").alias("key"), "node", F.lit(0).cast("long").alias("fingerprint"))
+    wanted = nodes.join(loose.select(F.col("node").alias("l_node")), F.col("node") == F.col("l_node")).select(
+        F.col("node").alias("w_node"), F.col("first").alias("w_first"), "sketch")
+    rows = df.select(F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"), text_of(text).cast("binary").alias("text"))
+    facts = rows.join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("w_first"))).select(
+        "node", "sketch", "text").dropDuplicates(["node"])
+    links = link_buckets(grouped, 64, materialize(facts, "facts"), similarity, tile_rows, shingle)
     rooted = nodes.select("node", "first").join(components(links).withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(
         "node", "first", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")

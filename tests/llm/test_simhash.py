@@ -83,6 +83,24 @@ def test_similar_pairs_are_found_and_others_left(spark):
                 assert similar > 0.6 or got[a] != got[b] or got[a] not in (a, b)
 
 
+def ending_anew(seed, fresh):
+    """A text of 100 words, and one whose last words are others: Jaccard (96 - fresh) / (96 + fresh)."""
+    old, new = prose(seed, 100).split(), prose(seed + 5000, 100).split()
+    return " ".join(old), " ".join(old[:100 - fresh] + [f"new{w}" for w in new[:fresh]])
+
+
+def test_pairs_at_the_limit_are_decided_exactly(spark):
+    rows, near = [], {}
+    for k in range(120):
+        a, b = ending_anew(3000 + k, 10 if k % 2 else 11)  # 0.811 and 0.794
+        sa, sb = set(shingles(a, 5)), set(shingles(b, 5))
+        near[k] = len(sa & sb) / len(sa | sb) >= 0.8
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    assert sum(near.values()) == 60
+    got = {r["doc_id"]: r["component_id"] for r in op.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[2 * k + 1] == 2 * k for k in near} == near
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 100 != 99], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
