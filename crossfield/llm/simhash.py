@@ -108,6 +108,8 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
             prints, packed = [], []
             for value in batch.column("text"):
                 hashes = shingle_hashes(value.as_py(), shingle)
+                if sketches:  # likeness of sets: repeats do not count
+                    hashes = np.unique(hashes)
                 prints.append(fingerprint_of(hashes))
                 if sketches:
                     packed.append(sketch_of(hashes).tobytes())
@@ -294,11 +296,11 @@ def cluster(prints: DataFrame, max_bits: int = 3, tile_rows: int = TILE_ROWS) ->
 
 
 def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8,
-                max_bits: int = 18, tile_rows: int = TILE_ROWS) -> DataFrame:
+                max_bits: int = 28, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, node, component_id, stays, repeats): near copies by shingle similarity.
 
     Texts are candidates if a band of their minimum hashes agrees; the pivot tables, the SimHash
-    distance (``max_bits`` lies three deviations above the distance expected
+    distance over distinct shingles (``max_bits`` lies six deviations above the distance expected
     at 0.8) and the share of equal minimum hashes discard only what is far away. Candidates that
     hang together are a loose group; within it every pair that would join two components is
     decided by the Jaccard similarity of the texts' distinct shingle hashes. ``stays`` marks the

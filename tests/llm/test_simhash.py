@@ -101,6 +101,18 @@ def test_pairs_at_the_limit_are_decided_exactly(spark):
     assert {k: got[2 * k + 1] == 2 * k for k in near} == near
 
 
+def test_repeats_of_a_line_do_not_part_near_copies(spark):
+    rows = []
+    for k in range(40):
+        text = prose(4000 + k, 400)
+        rows += [(2 * k, text), (2 * k + 1, text + ("\n" + text.split("\n")[0]) * 20)]
+    for a, b in zip(rows[::2], rows[1::2]):
+        sa, sb = set(shingles(a[1], 5)), set(shingles(b[1], 5))
+        assert len(sa & sb) / len(sa | sb) >= 0.9
+    got = {r["doc_id"]: r["component_id"] for r in op.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 100 != 99], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
