@@ -7,6 +7,13 @@ that hold a word is a multi-line chunk. Chunks are dealt out by their MD5 and th
 compared byte for byte; every occurrence but the first (smallest id, then place in the
 document) is removed.
 
+Chunk ends lose most short passages: a passage in other surroundings rarely holds a whole
+chunk. ``passages`` adds the finest overlapping chunks, every two worded lines that follow each
+other (with the blank lines between). Repeated runs of two or more worded lines, whatever is
+around them, are just unions of such pairs, so each is removed from end to end. Identical
+texts count as one text there: a copy loses what its first one loses, and the chunks above
+besides. A line of a pair's first occurrence stays where the next pair repeats it at once.
+
 A chunk that is everywhere reaches the comparison as one row for each task that met it: the
 first place is a minimum, combined before the shuffle. Repeats are the places that are no
 chunk's first, found under the document's id and text digest, which no chunk makes hot.
@@ -55,6 +62,49 @@ def worded(lines: Column) -> Column:
     return F.size(F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
 
 
+def worded_places(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+
+
+def pair_of(lines: Column, at: Column, k: Column) -> Column:
+    """Lines from the k-th worded line to the next one."""
+    return F.slice(lines, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k) + 1)
+
+
+def pairs_of(text: Column) -> Column:
+    """Every two worded lines of a text that follow each other, in order, as texts."""
+    def pairs(lines: Column) -> Column:
+        return bind(worded_places(lines), lambda at: F.transform(
+            F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda _, k: F.array_join(pair_of(lines, at, k), "\n")))
+
+    return bind(F.split(text, "\n"), pairs)
+
+
+def pair_lines(lines: Column, again: Column) -> Column:
+    """The numbers of the lines that repeated pairs (their numbers) remove."""
+    def gone(at: Column) -> Column:
+        def reach(k: Column) -> Column:
+            # The pair before is this pair's first occurrence and shares a line with it.
+            own = ~F.array_contains(again, k - 1) & (pair_of(lines, at, k) == pair_of(lines, at, k - 1))
+            return F.sequence(F.get(at, k) + F.when((k > 0) & own, 1).otherwise(0), F.get(at, k + 1))
+        return F.array_distinct(F.flatten(F.transform(again, reach)))
+
+    return bind(worded_places(lines), gone)
+
+
+def repeated_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, node, again): per document the numbers of the pairs that an earlier place holds."""
+    keyed = df.select(F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"), text_of(text).alias("text"))
+    pieces = keyed.select("id", "node", F.posexplode(pairs_of(F.col("text"))).alias("k", "pair"))
+    place = F.struct(F.col("id").isNull(), "id", "node", "k")
+    firsts = pieces.select(place.alias("p"), "pair").withColumn("h", F.unhex(F.md5("pair"))).groupBy("h", "pair").agg(F.min("p").alias("p")).select(
+        F.col("p.node").alias("f_node"), F.col("p.k").alias("f_k"))
+    again = pieces.select("node", "k").distinct().join(firsts.hint("merge"), (F.col("node") == F.col("f_node")) & (F.col("k") == F.col("f_k")), "left_anti")
+    found = again.groupBy("node").agg(F.collect_set("k").alias("again")).withColumnRenamed("node", "a_node")
+    rows = keyed.select("id", "node").distinct()
+    return rows.join(found.hint("merge"), F.col("node") == F.col("a_node")).select("id", "node", "again")
+
+
 def removals(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, node, cut): per document the numbers of the chunks to remove."""
     keyed = df.select(F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"), text_of(text).alias("text"))
@@ -69,13 +119,23 @@ def removals(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return again.groupBy("id", "node").agg(F.collect_set("i").alias("cut"))
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = None) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = None,
+          passages: bool = False) -> DataFrame:
     """``d`` (the row, its text and ``n_chars`` as they are afterwards) with n_lines and n_removed lines."""
-    cuts = removals(df, text, doc_id).select(F.col("id").alias("c_id"), F.col("node").alias("c_node"), "cut")
+    cuts = removals(df, text, doc_id).withColumn("again", F.lit(None).cast("array<int>"))
+    if passages:
+        both = cuts.union(repeated_pairs(df, text, doc_id).select("id", "node", F.lit(None).cast("array<int>"), "again"))
+        cuts = both.groupBy("id", "node").agg(*[F.coalesce(F.first(c, ignorenulls=True), F.array().cast("array<int>")).alias(c) for c in ("cut", "again")])
+    cuts = cuts.select(F.col("id").alias("c_id"), F.col("node").alias("c_node"), "cut", "again")
     packed = df.select(F.struct("*").alias("d"), F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"))
     joined = packed.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("node") == F.col("c_node")), "left")
     old = F.col(f"d.`{text}`")
     stays = F.flatten(F.filter(chunks_of(text_of(old)), lambda c, i: ~F.array_contains(F.col("cut"), i)))
+    if passages:
+        marks = F.flatten(F.transform(chunks_of(text_of(old)), lambda c, i: F.transform(c, lambda _: F.array_contains(F.col("cut"), i))))
+        lines = F.split(text_of(old), "\n")
+        stays = bind(F.struct(lines.alias("lines"), marks.alias("marks"), pair_lines(lines, F.col("again")).alias("gone")), lambda t: F.filter(
+            t["lines"], lambda _, i: ~F.get(t["marks"], i) & ~F.array_contains(t["gone"], i)))
     left = joined.withColumn("stays", F.when(F.col("cut").isNotNull(), stays))
     new = F.when(F.col("cut").isNull(), old).otherwise(F.array_join("stays", "\n"))
     n_lines = F.size(F.split(text_of(old), "\n"))
@@ -106,6 +166,6 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: repeated chunks go; documents of which no word is left go with them."""
-    found = dedup(docs, n_chars="n_chars")
+    """Pipeline stage: repeated chunks and passages go; documents of which no word is left go with them."""
+    found = dedup(docs, n_chars="n_chars", passages=True)
     return found.filter((F.col("n_removed") == 0) | F.col("d.text").rlike(r"[^\x20\x09-\x0D]")).select("d.*")

@@ -1,6 +1,6 @@
 import hashlib
 
-from cases import nothing, tricky, tricky_rows, words
+from cases import nothing, prose, tricky, tricky_rows, words
 
 from crossfield.llm import line_dedup
 
@@ -63,3 +63,26 @@ def test_stage_drops_documents_left_without_words(spark):
     df = spark.createDataFrame([(1, body), (2, body), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, df, "").collect()}
     assert got[1] == body and got[3] == ""
+
+
+def test_stage_removes_passages_in_other_surroundings(spark):
+    rows, want = [], {}
+    for k in range(42):
+        n = 2 + k % 7
+        passage = prose(7000 + k, 12 * n).split("\n")
+        around = [prose(8000 + 10 * k + j, 12 * (1 + (k + j) % 5)).split("\n") for j in range(4)]
+        if k % 3 == 0:
+            passage.insert(1, "")
+        rows += [(2 * k, "\n".join(around[0] + passage + around[1])), (2 * k + 1, "\n".join(around[2] + passage + around[3]))]
+        want |= {2 * k: rows[-2][1], 2 * k + 1: "\n".join(around[2] + around[3])}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, df, "").collect()} == want
+
+
+def test_passages_repeated_within_a_text_keep_their_first_place(spark):
+    rows = [(0, "a a\na a\na a\na a"), (1, "b\nc\nb\nc\nb\nc\nd"), (2, "e\na a\na a\nf\nc\nd"), (3, "e\nc\nx"), (None, "e\nc\ny"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.repeated_pairs(df).collect()
+    assert {r["id"]: sorted(r["again"]) for r in found} == {0: [1, 2], 1: [2, 3, 4], 2: [1, 4], None: [0]}
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup(df.filter("doc_id IN (0, 2, 3) OR doc_id IS NULL"), passages=True).select("d.*").collect()}
+    assert got >= {(2, "e\nf\nc\nd"), (3, "e\nc\nx"), (None, None)} and (None, "y") in got
