@@ -2,8 +2,8 @@
 
 Lines are normalised (trimmed, lower case, white space joined, digit runs as 0) and hashed.
 For every host and line the *distinct documents* that hold it are counted; identical texts
-count as one document. A line held by more than ``max_documents`` documents of a host is
-boilerplate there, except in the first document that holds it (smallest id), which keeps it.
+count as one document. A line held by more than ``max_documents`` documents of a host, and by
+more than ``max_share`` of its distinct texts if that is given, is boilerplate there, except in the first document that holds it (smallest id), which keeps it.
 A document that keeps less than ``min_left`` of its line characters is depleted and goes.
 
 Lines are counted in two steps, per (host, line, text) and then per (host, line), both
@@ -36,6 +36,12 @@ class QualityRules:
     max_repeat_percent: int = 30
     max_documents: int = 100
     min_left: float = 0.5
+    max_share: float | None = None
+
+
+# With a share the verdict depends on how frequent a line is in its host, not on the host's size;
+# the number is only a floor. The query op6 keeps the absolute number, which its SQL names.
+BY_SHARE = QualityRules(max_documents=10, max_share=0.05)
 
 
 def repeated_words(words: Column) -> Column:
@@ -101,9 +107,12 @@ def assess(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "tex
     frequent = (
         holders.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("first", "h"))["h"].alias("keeper"))
         .filter(F.col("held") > rules.max_documents)
-        .select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "keeper")
     )
-    frequent = materialize(frequent, "quality-frequent")
+    if rules.max_share is not None:
+        texts = base.select("host", "h").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts")).withColumnRenamed("host", "t_host")
+        frequent = frequent.join(texts, F.col("host").eqNullSafe(F.col("t_host"))).filter(F.col("held") > rules.max_share * F.col("texts"))
+    frequent = materialize(
+        frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "keeper"), "quality-frequent")
     removed = (
         occurrences.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")) & (F.col("h") != F.col("keeper")))
         .groupBy("row").agg(F.sum("n").alias("gone"), F.collect_set("line").alias("boilerplate"))
@@ -167,4 +176,4 @@ def clean(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "text
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: rejected documents go, boilerplate lines of the others go."""
-    return clean(docs)
+    return clean(docs, BY_SHARE)

@@ -57,3 +57,15 @@ def test_clean_keeps_all_columns(spark):
         held[r["doc_id"]] += 1
         assert r["size"] == "extra"
     assert held[0] == held[1] == 1 and 3 not in held and 5 not in held and 14 not in held
+
+
+def test_boilerplate_of_the_stage_depends_on_the_share_not_on_the_size(spark):
+    def left(n):
+        """Shares of the frequent and of the rarer line that stay, in a host of n texts."""
+        often, rare = "this line stands in a fifth of all texts", "this line stands in a fiftieth of them"
+        rows = [(i, prose(9000 + i, 36) + (f"\n{often}" if i % 5 == 0 else "") + (f"\n{rare}" if i % 50 == 1 else ""), "h") for i in range(n)]
+        texts = [r["text"] for r in op.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()]
+        assert len(texts) == n
+        return sum(often in t for t in texts), sum(rare in t for t in texts) / n
+
+    assert left(300) == (1, 0.02) and left(6000) == (1, 0.02)
