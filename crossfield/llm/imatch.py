@@ -10,8 +10,11 @@ subset hashes.
 The lower bound also bounds the lexicon: at most (mean distinct terms per document) / ``low``
 terms can reach it, whatever the number of documents, so it is sent to the tasks.
 
-Defined results: null text is empty; a text without lexicon terms is hashed by all its
-distinct terms, one without terms by its characters, so equal texts always agree and empty
+Copies count as documents, so a large group of near copies lifts its own terms out of the
+band. A text with fewer than ``FEW_TERMS`` lexicon terms is therefore hashed by all its
+distinct terms, in randomised subsets as well.
+
+Defined results: null text is empty; a text without terms is hashed by its characters, so equal texts always agree and empty
 texts are alike; the next document after the smallest id is the largest one; null ids come
 last in descending order, ties are ordered by text; a single document is its own next one;
 an empty table gives an empty result. Only named columns are read.
@@ -34,6 +37,10 @@ from crossfield.llm.registry import documents, register
 LOW, HIGH = 0.002, 0.1
 SUBSETS = 16
 KEEP_PERCENT = 60
+# Below this many lexicon terms a text is hashed by all its terms.
+FEW_TERMS = 8
+# Seeds that deal all terms of a text to the subsets.
+DEAL = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(SUBSETS)], dtype=np.uint64)
 # Distinct terms counted in a task before their counts are handed on.
 FLUSH_TERMS = 500_000
 # Documents per range when neighbours in id order are paired; ranges are at most MAX_RANGES.
@@ -84,13 +91,23 @@ class Fingerprinter:
     def __call__(self, text: str) -> np.ndarray:
         terms = terms_of(text)
         known = terms & self.number.keys()
-        if not known:
-            whole = b" ".join(sorted(terms)) if terms else text.encode()
-            return np.array([self.hash(whole, k) for k in range(SUBSETS)], dtype=np.uint64)
+        if not terms:
+            return np.array([self.hash(text.encode(), k) for k in range(SUBSETS)], dtype=np.uint64)
+        if len(known) < FEW_TERMS:
+            return self.of_all(terms)
         rows = np.array(sorted(self.number[t] for t in known))
         codes, member = self.codes[rows], self.member[rows]
         return np.array([self.hash(codes[member[:, k]].tobytes(), k) for k in range(SUBSETS)], dtype=np.uint64)
 
+    def of_all(self, terms: set[bytes]) -> np.ndarray:
+        """Subset hashes of all terms; a subset that gets none of them takes them all."""
+        codes = np.sort(np.array([self.hash(t, 1) for t in terms], dtype=np.uint64))
+        dealt = (codes[:, None] ^ DEAL) * np.uint64(0xBF58476D1CE4E5B9)
+        member = (dealt ^ (dealt >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)
+        member = member % np.uint64(100) < np.uint64(KEEP_PERCENT)
+        member |= ~member.any(axis=0)
+        return np.array([self.hash(codes[member[:, k]].tobytes(), 100 + k) for k in range(SUBSETS)], dtype=np.uint64)
+
 
 def hexed(values: np.ndarray) -> str:
     return values.astype(">u8").tobytes().hex()

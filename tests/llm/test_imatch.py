@@ -2,7 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
-from cases import TABLES, nothing, tricky, tricky_rows
+from cases import TABLES, nothing, prose, tricky, tricky_rows
 
 import __spark_entry__ as entry
 from crossfield.llm import imatch
@@ -58,3 +58,19 @@ def test_empty_and_single(spark):
     one = spark.createDataFrame([(7, "alone here")], "doc_id long, text string")
     row = imatch.compare_edited(one, imatch.lexicon(one)).first()
     assert (row["edited"], row["near_next"]) == ("alonealone", 1.0)
+
+
+def test_near_copies_that_hold_a_third_of_the_rows_stay_alike(spark):
+    base = prose(77, 200).split()
+    group = [" ".join(base[:k] + [f"edit{k}"] + base[k + 1:]) for k in range(100)]
+    rows = list(enumerate(group + [prose(500 + k, 200) for k in range(200)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    make = imatch.Fingerprinter([bytes(r["term"]) for r in imatch.lexicon(df).collect()])
+    prints = [make(t) for t in group]
+    near = [imatch.likeness(a, b) for a, b in zip(prints, prints[1:])]
+    apart = [imatch.likeness(prints[k], make(rows[100 + k][1])) for k in range(100)]
+    dropped = [imatch.likeness(make(" ".join(base)), make(" ".join(base[:k] + base[k + 1:]))) for k in range(100)]
+    assert sum(near) / len(near) > 0.02 and sum(dropped) / len(dropped) > 0.3 and max(apart) == 0
+    few = [f"only{i} two{i}" for i in range(50)]
+    assert len({imatch.hexed(make(t)) for t in few}) == 50
+    assert max(imatch.likeness(make(a), make(b)) for a, b in zip(few, few[1:])) == 0
