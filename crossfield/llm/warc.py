@@ -37,7 +37,8 @@ from crossfield.llm.common import materialize, new_path, text_of
 from crossfield.llm.registry import register
 
 MIN_REVISIT = 100
-ROLL_BYTES = 64 * 1024 * 1024
+# Compressed; a range of pages takes several files.
+ROLL_BYTES = 2 * 1024 * 1024
 RANGE_BYTES = 16 * 1024 * 1024
 MAX_RANGES = 10_000
 DATE = "1970-01-01T00:00:00Z"

@@ -61,3 +61,14 @@ def test_empty_table(spark):
     path = new_path(spark, "warc-test")
     assert warc.write_archive(pages(spark, []), path).count() == 0
     assert warc.read_archive(spark, path).count() == 0
+
+
+def test_the_query_rolls_files_by_compressed_size(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    pages = [(i, f"http://h/{i}", "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40_000))) for i in range(240)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = warc.write_archive(df, f"file://{tmp_path}/rolled").orderBy("file").collect()
+    assert len(rows) > 2 and len({m["range"] for m in rows}) == 1 and sum(m["records"] for m in rows) == 240
+    assert all(m["bytes"] >= warc.ROLL_BYTES for m in rows[:-1])
