@@ -9,7 +9,7 @@ document) is removed.
 
 Chunk ends lose most short passages: a passage in other surroundings rarely holds a whole
 chunk. ``passages`` adds the finest overlapping chunks, every two worded lines that follow each
-other (with the blank lines between). Repeated runs of two or more worded lines, whatever is
+other (with the blank lines between), compared by SHA-256. Repeated runs of two or more worded lines, whatever is
 around them, are just unions of such pairs, so each is removed from end to end. Identical
 texts count as one text there: a copy loses what its first one loses, and the chunks above
 besides. A line of a pair's first occurrence stays where the next pair repeats it at once.
@@ -95,12 +95,14 @@ def pair_lines(lines: Column, again: Column) -> Column:
 def repeated_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, node, again): per document the numbers of the pairs that an earlier place holds."""
     keyed = df.select(F.col(doc_id).alias("id"), F.md5(text_of(text)).alias("node"), text_of(text).alias("text"))
-    pieces = keyed.select("id", "node", F.posexplode(pairs_of(F.col("text"))).alias("k", "pair"))
+    # Each line is in two pairs: their texts take 5.1 x the input on disk, so SHA-256 stands for them.
+    pieces = keyed.select("id", F.unhex("node").alias("node"), F.posexplode(pairs_of(F.col("text"))).alias("k", "pair")).select(
+        "id", "node", "k", F.unhex(F.sha2(F.col("pair").cast("binary"), 256)).alias("h"))
     place = F.struct(F.col("id").isNull(), "id", "node", "k")
-    firsts = pieces.select(place.alias("p"), "pair").withColumn("h", F.unhex(F.md5("pair"))).groupBy("h", "pair").agg(F.min("p").alias("p")).select(
+    firsts = pieces.select(place.alias("p"), "h").groupBy("h").agg(F.min("p").alias("p")).select(
         F.col("p.node").alias("f_node"), F.col("p.k").alias("f_k"))
     again = pieces.select("node", "k").distinct().join(firsts.hint("merge"), (F.col("node") == F.col("f_node")) & (F.col("k") == F.col("f_k")), "left_anti")
-    found = again.groupBy("node").agg(F.collect_set("k").alias("again")).withColumnRenamed("node", "a_node")
+    found = again.groupBy("node").agg(F.collect_set("k").alias("again")).select(F.lower(F.hex("node")).alias("a_node"), "again")
     rows = keyed.select("id", "node").distinct()
     return rows.join(found.hint("merge"), F.col("node") == F.col("a_node")).select("id", "node", "again")
 
