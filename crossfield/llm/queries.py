@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from crossfield.llm import bpe, imatch, line_dedup, mixing, pii, quality_rules, secrets, simhash, suffixes, warc  # noqa: F401
+from crossfield.llm import (  # noqa: F401
+    bpe, imatch, line_dedup, mixing, pii, quality_rules, residues, secrets, simhash, suffixes, vptree, warc,
+)
 from crossfield.llm.registry import ORACLES, QUERIES
 
 
