@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crossfield.llm import (  # noqa: F401
-    bpe, imatch, line_dedup, mixing, pii, quality_rules, residues, secrets, simhash, suffixes, vptree, warc,
+    adscan, bpe, imatch, line_dedup, mixing, pii, quality_rules, residues, secrets, simhash, suffixes, vptree, warc,
 )
 from crossfield.llm.registry import ORACLES, QUERIES
 
