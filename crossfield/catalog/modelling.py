@@ -15,6 +15,7 @@ from crossfield.operators import reference as R
 from crossfield.operators.select import Holdout
 from crossfield.operators.transform import Scaler, TransformConfig, scaler_statistics
 from crossfield.operators.weights import add_sample_weights
+from crossfield.sources import points
 
 # ---------------------------------------------------------------------- joins
 _STATUS = "s_acctbal < 2000"
@@ -26,7 +27,7 @@ def metadata_points(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
     heads = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
     # Rows are combined per order first, so that distinct orders need no set per priority.
-    per = lines.join(heads, "id").groupBy("priority", "id").agg(F.count(F.lit(1)).alias("c"))
+    per = points.join_datasets(heads, lines, "id").groupBy("priority", "id").agg(F.count(F.lit(1)).alias("c"))
     return per.groupBy("priority").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("orders"))
 
 

@@ -112,6 +112,48 @@ def split_tables(spark, sf):
         "uncertainties": side("l_tax", F.col("l_tax") > 0.02).filter("value IS NOT NULL")})
 
 
+# Every value of an id on each side: all pairs of energies and values, with every error.
+@register("s04_split_table_pairs", """
+, rx AS (SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS entry_id, CAST(o_custkey % 92 + 1 AS INT) AS target_z FROM orders),
+p AS (SELECT entry_id, target_z, e.l_extendedprice AS energy, x.l_discount AS xs, u.l_tax AS dxs
+  FROM rx JOIN lineitem e ON e.l_orderkey = id JOIN lineitem x ON x.l_orderkey = id AND x.l_discount > 0
+  LEFT JOIN lineitem u ON u.l_orderkey = id AND u.l_tax > 0.02)
+SELECT entry_id, target_z, count(*) AS n, count(dxs) AS n_dxs, """ + f"{r('sum(energy * xs)', 4)} AS product, {r('sum(energy * coalesce(dxs, 0))', 4)} AS errors, {r('max(xs - coalesce(dxs, 1))', 4)} AS gap" + """
+FROM p GROUP BY ALL""")
+def split_table_pairs(spark, sf):
+    line = table(spark, sf, "lineitem")
+    reactions = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("entry_id"),
+        (F.col("o_custkey") % 92 + 1).cast("int").alias("target_z"), F.lit(1).alias("target_a"), F.lit(16).alias("mt"))
+
+    def side(value):
+        return line.select(F.col("l_orderkey").alias("reaction_id"), F.col(value).alias("value"))
+
+    found = points.split_table_points(
+        reactions, side("l_extendedprice"), side("l_discount").filter("value > 0"), side("l_tax").filter("value > 0.02"))
+    dxs = F.coalesce("dxs", F.lit(0.0))
+    return found.groupBy("entry_id", "target_z").agg(
+        F.count(F.lit(1)).alias("n"), F.count("dxs").alias("n_dxs"), rounded(F.sum(F.col("energy") * F.col("xs")), 4).alias("product"),
+        rounded(F.sum(F.col("energy") * dxs), 4).alias("errors"), rounded(F.max(F.col("xs") - F.coalesce("dxs", F.lit(1.0))), 4).alias("gap"))
+
+
+# Two of three rows belong to one id: a hot dataset, joined to several metadata rows.
+@register("s02_hot_dataset_points", """
+, p AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_suppkey ELSE -1 END AS id, l_extendedprice AS en, l_discount AS y FROM lineitem),
+d AS (SELECT s_suppkey AS id, CAST(s_suppkey % 90 + 1 AS INT) AS Z FROM supplier UNION ALL SELECT -1, 40 + s_nationkey % 3 FROM supplier WHERE s_suppkey % 7 = 0)
+SELECT Z, count(*) AS n, """ + f"{r('sum(en)', 1)} AS en, {r('sum(y)', 2)} AS y" + " FROM p JOIN d USING (id) WHERE y > 0 GROUP BY ALL")
+def hot_dataset_points(spark, sf):
+    line, supplier = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    flat = line.select(
+        F.when(F.col("l_orderkey") % 3 == 0, F.col("l_suppkey")).otherwise(-1).alias("DatasetID"), F.col("l_extendedprice").alias("x1"),
+        F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("y"), F.col("l_tax").alias("dy"))
+    one = supplier.select(F.col("s_suppkey").alias("DatasetID"), (F.col("s_suppkey") % 90 + 1).alias("zTarg1"))
+    hot = supplier.filter("s_suppkey % 7 = 0").select(F.lit(-1).alias("DatasetID"), (F.col("s_nationkey") % 3 + 40).alias("zTarg1"))
+    meta = one.union(hot).select("DatasetID", F.col("zTarg1").cast("int").alias("zTarg1"), F.lit("X-7").alias("Targ1"), F.lit("n").alias("Proj"), F.lit(18).alias("MT"))
+    found = points.flat_points(meta, flat)
+    return found.groupBy("Z").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("En"), 1).alias("en"), rounded(F.sum("Data"), 2).alias("y"))
+
+
 @register("s05_layout_fallback", "SELECT Z, MT, count(*) AS n, sum(Energy) AS energy FROM m GROUP BY ALL")
 def layout_fallback(spark, sf):
     found = points.extract_points({"notes": table(spark, sf, "region"), "data": measurements(spark, sf)})

@@ -1,7 +1,8 @@
 """Point extraction from the table layouts experimental archives come in.
 
 Inputs are DataFrames of the exported tables. Key filters are ordinary predicates on
-the metadata side, so Parquet prunes before any join.
+the metadata side, so Parquet prunes before any join. Ids may own many rows on either side of
+a join: ``grid_join`` deals the rows of a hot id to blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossfield.functions.scalars import target_mass_number
+from crossfield.plans.scale import grid_join, materialize, rows_per_key
 from crossfield.schema import PAYLOAD_SCHEMA
 
 # Optional descriptive columns of the metadata table and the names they get.
@@ -30,6 +32,11 @@ def _datasets(meta: DataFrame, z_keys: Sequence[int], diagnostics: bool) -> Data
     return out.filter(F.col("A").isNotNull())
 
 
+def join_datasets(datasets: DataFrame, points: DataFrame, key: str = "DatasetID") -> DataFrame:
+    """Every dataset row with every point row of its id; a dataset without points goes."""
+    return grid_join(datasets, points, [key])
+
+
 def _required(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise ValueError("no data points found")
@@ -47,7 +54,7 @@ def nested_payload_points(
     first, because zipping pads to the longest.
     """
     body = F.from_json("jx5z", PAYLOAD_SCHEMA)["c5data"]
-    joined = _datasets(meta, z_keys, diagnostics).join(payload.select("DatasetID", "jx5z"), "DatasetID")
+    joined = join_datasets(_datasets(meta, z_keys, diagnostics), payload.select("DatasetID", "jx5z"))
     parsed = joined.withColumn("__b", body).drop("jx5z")
     x, y = F.col("__b.x1.x1"), F.col("__b.y.y")
     n = F.least(F.size(x), F.size(y))
@@ -68,7 +75,7 @@ def flat_points(
 ) -> DataFrame:
     rows = points.filter(F.col("x1").isNotNull() & F.col("y").isNotNull()).select(
         "DatasetID", F.col("x1").alias("En"), F.col("y").alias("Data"), F.col("dy").alias("dData"))
-    return _datasets(meta, z_keys, diagnostics).join(rows, "DatasetID")
+    return join_datasets(_datasets(meta, z_keys, diagnostics), rows)
 
 
 LEGACY_COLUMNS = ["entry_id", "target_z", "target_a", "reaction_mt", "energy", "xs", "dxs"]
@@ -94,12 +101,17 @@ def split_table_points(
         F.col("id").alias("reaction_id"), "entry_id", "target_z", "target_a", F.col("mt").alias("reaction_mt"))
     if z_keys:
         heads = heads.filter(F.col("target_z").isin(list(z_keys)))
-    return (
-        heads.join(side(energies, "energy").filter("energy IS NOT NULL"), "reaction_id")
-        .join(side(cross_sections, "xs").filter("xs IS NOT NULL"), "reaction_id")
-        .join(side(uncertainties, "dxs"), "reaction_id", "left")
-        .select(*LEGACY_COLUMNS)
-    )
+    tables = [heads, side(energies, "energy").filter("energy IS NOT NULL"),
+              side(cross_sections, "xs").filter("xs IS NOT NULL"), side(uncertainties, "dxs")]
+    key = ["reaction_id"]
+    sizes = [materialize(rows_per_key(table, key)) for table in tables]
+    joined, known = tables[0], sizes[0]
+    for table, size, how in zip(tables[1:], sizes[1:], ("inner", "inner", "left"), strict=True):
+        joined = grid_join(joined, table, key, how, left_counts=known, right_counts=size)
+        # An id of a rows and b rows has a * b afterwards: no joined table is counted.
+        times = F.col("rows") * F.coalesce("more", F.lit(1))
+        known = known.join(size.withColumnRenamed("rows", "more"), key, how).select(*key, times.alias("rows"))
+    return joined.select(*LEGACY_COLUMNS)
 
 
 def extract_points(

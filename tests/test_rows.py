@@ -188,9 +188,13 @@ def test_clean_stream_matches_batch(spark, frame, tmp_path):
     assert key(spark.table("cleaned")) == key(clean_stream(raw))
 
 
-def test_split_tables_pair_every_energy_with_every_value(spark):
+@pytest.mark.parametrize("cell", [100_000, 1])
+def test_split_tables_pair_every_energy_with_every_value(spark, monkeypatch, cell):
+    from crossfield.plans import scale
     from crossfield.sources.points import split_table_points
 
+    monkeypatch.setattr(scale, "CELL_ROWS", cell)
+
     reactions = spark.createDataFrame([(1, "E1", 92, 235, 18), (2, "E2", 1, 1, 2)], "id int, entry_id string, target_z int, target_a int, mt int")
     side = lambda rows: spark.createDataFrame(rows, "reaction_id int, value double")
     out = split_table_points(reactions, side([(1, 1.0), (1, 2.0), (2, 5.0), (2, None)]), side([(1, 10.0), (1, 20.0), (2, 7.0)]), side([(1, 0.5)]))

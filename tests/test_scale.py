@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from crossfield.operators.profile import training_units
 from crossfield.plans.ordering import with_previous, with_tiles
 from crossfield.plans.quantiles import group_percentiles
-from crossfield.plans.scale import attach, group_sizes
+from crossfield.plans import scale
+from crossfield.plans.scale import attach, bytes_of, fits, grid_join, group_sizes, materialize
 
 RNG = np.random.default_rng(7)
 
@@ -101,3 +102,77 @@ def test_tiles_keep_their_limit(spark, kind):
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "v": values}))
     tiles = with_tiles(df, ["k"], "v", 100).groupBy("__tile").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("__tile").collect()
     assert sum(t.n for t in tiles) == 4000 and max(t.n for t in tiles) <= 100 and all(a.hi <= b.lo for a, b in zip(tiles, tiles[1:]))
+
+
+def task_rows(df):
+    """Rows of each task of the result's last stage."""
+    counts = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    return sorted(r["count"] for r in counts)
+
+
+@pytest.fixture
+def no_merging(spark):
+    """Many shuffle partitions that adaptive execution leaves alone."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
+    yield
+    for n, value in before.items():
+        spark.conf.set(n, value)
+
+
+def one_third_hot(spark, n=12_000):
+    """A third of the rows under one key, the others spread."""
+    return spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 2000).alias("k"), F.col("id").alias("i"))
+
+
+def test_attach_beyond_the_bound_is_even(spark, no_merging):
+    rows = one_third_hot(spark)
+    facts = rows.select("k").distinct().filter("k % 5 <> 2").withColumn("fact", F.col("k") * 2)
+    want = sorted(map(tuple, rows.join(facts, "k", "left").select("i", "fact").collect()))
+    out = attach(rows, facts, ["k"], broadcast_rows=1, hot_rows=50)
+    assert sorted(map(tuple, out.select("i", "fact").collect())) == want
+    sizes = task_rows(out)
+    assert len(sizes) == 40 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("cell", [10, 10**6])
+def test_grid_join_equals_the_plain_join(spark, how, cell):
+    left = one_third_hot(spark, 900).withColumn("k", F.when(F.col("i") % 50 != 7, F.col("k")))
+    right = spark.range(160).select((F.col("id") % 40 - 20).alias("k"), F.col("id").alias("j"), F.when(F.col("id") % 7 == 0, "x").alias("s"))
+    hot = spark.range(75).select(F.lit(-1).cast("long").alias("k"), (F.col("id") + 1000).alias("j"), F.lit("y").alias("s"))
+    right = right.union(hot).union(hot)                     # equal rows too
+    out = grid_join(left, right, ["k"], how, cell)
+    assert out.columns == ["k", "i", "j", "s"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=repr)
+
+
+def test_grid_join_spreads_a_hot_key(spark, no_merging):
+    left = one_third_hot(spark)
+    right = spark.range(1200).select(F.when(F.col("id") < 100, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
+    plain, grid = left.join(right, "k"), grid_join(left, right, ["k"], cell=20)
+    assert grid.count() == plain.count()
+    assert task_rows(plain)[-1] > 0.9 * plain.count()
+    sizes = task_rows(grid)
+    assert len(sizes) == 40 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_one_table_on_both_sides(spark):
+    rows = one_third_hot(spark, 300)
+    out = grid_join(rows, rows.withColumnRenamed("i", "j"), ["k"], cell=10)
+    assert out.count() == rows.join(rows.withColumnRenamed("i", "j"), "k").count()
+
+
+def test_bytes_bound_a_broadcast(spark, monkeypatch):
+    small = materialize(spark.range(10).withColumn("text", F.repeat(F.lit("x"), 1000)))
+    assert 10_000 < bytes_of(small) < 20_000 and fits(small)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 5_000)
+    assert not fits(small)
+
+
+def test_hot_keys_always_fit_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 5)
+    counts = spark.range(100).withColumn("n", F.lit(10))
+    assert scale.hot_blocks(counts, F.col("n"), 1).count() == 0      # the limit rose to 1000 / 5
