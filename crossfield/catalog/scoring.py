@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crossfield.catalog.base import FULL_KEYS, KEYS, clean, r, register, round_columns, rounded
+from crossfield.catalog.base import FULL_KEYS, KEYS, clean, r, register, round_columns, rounded, table
 from crossfield.catalog.reports import _FIT_WEIGHTS
 from crossfield.operators import outliers, outliers_hot
 from crossfield.operators.profile import with_logs
+from crossfield.plans.ordering import with_tiles
+from crossfield.plans.scale import attach, group_sizes, stored
+from crossfield.plans.windows import window_medians
 
 _K = "Z, A, MT, Projectile"
 _SUMS = ", ".join(f"sum(w * w * pow(t, {p})) AS m{p}" for p in range(7)) + ", " + ", ".join(
@@ -77,6 +80,32 @@ def outlier_scores(spark, sf):
     return round_columns(out, "mean_z", digits=5)
 
 
+# Every row's scores. Groups above the limit take another plan to the same numbers (tests/test_outliers.py).
+@register("w01_row_scores", _FULL + f"""
+SELECT {_K}, Entry, {r('mu', 4)} AS mean, {r('sigma', 4)} AS sigma, {r('dist', 4)} AS z, point_outlier, experiment_outlier FROM fin""")
+def row_scores(spark, sf):
+    return outliers.score(clean(spark, sf)).select(
+        *FULL_KEYS, "Entry", rounded("gp_mean", 4).alias("mean"), rounded("gp_std", 4).alias("sigma"), rounded("z_score", 4).alias("z"),
+        "point_outlier", "experiment_outlier")
+
+
+# Sliding windows of 601 rows in groups of thousands, in tiles of at most 1,000 rows.
+@register("w08_long_windows", f"""
+, o AS (SELECT l_linenumber AS line, l_orderkey AS id, l_discount * l_extendedprice AS v FROM lineitem)
+SELECT line, id, {r('median(v) OVER w', 4)} AS middle, {r('mad(v) OVER w', 4)} AS mad FROM o
+WINDOW w AS (PARTITION BY line ORDER BY id, v ROWS BETWEEN 300 PRECEDING AND 300 FOLLOWING)""")
+def long_windows(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("id"), (F.col("l_discount") * F.col("l_extendedprice")).alias("v"))
+    ranked = with_tiles(rows, ["line"], ["id", "v"], 1000, rank_as="rank").drop("__tile")
+    last = group_sizes(ranked, ["line"]).table.withColumnRenamed("group_rows", "n")
+    ranked = stored(attach(ranked, last, ["line"]))
+    windows = ranked.select("line", "rank", "v", F.greatest(F.col("rank") - 300, F.lit(0)).alias("s"), F.least(F.col("rank") + 301, F.col("n")).alias("e"))
+    found = window_medians(windows, ["line"], 1000, spread=True)
+    return attach(ranked.select("line", "id", "rank"), found, ["line", "rank"]).select(
+        "line", "id", rounded("median", 4).alias("middle"), rounded("mad", 4).alias("mad"))
+
+
 @register("w05_duplicate_averages", f"""
 , u AS (SELECT {_K}, log10(Energy) AS x, avg(log10(CrossSection)) AS y, count(*) AS m FROM q GROUP BY ALL)
 SELECT {_K}, count(*) AS n_x, max(m) AS most, {r('avg(y)')} AS y FROM u GROUP BY ALL""")

@@ -2,11 +2,10 @@
 
 * trend - the cubic needs only moments, summed with map-side combine; a round of
   reweighting is two exact percentiles and one more sum;
-* local sigma - rows are ranked along (x, residual) and cut into tiles of ``score_rows``. A
-  tile also gets the rows that the windows of its own rows reach, and computes each own
-  row's window statistic exactly; the running median over neighbouring ranks works the
-  same way on a second set of tiles. A task holds a tile and the reach of its windows
-  (a fifth of the energy range, by definition of the window), never more.
+* local sigma - rows are ranked along (x, residual), and each row's window gets its two end
+  ranks. Medians and deviations come from ``plans.windows``, which counts whole tiles and
+  reads only the edges of a window and the rows near its median; the running median over
+  neighbouring ranks works the same way. A task's memory follows the tile, not the window.
 
 Nothing is interpolated, sampled or dropped: a group above the limit gets the numbers that
 one task would give, up to rounding in sums.
@@ -16,17 +15,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from crossfield.operators import group_fit as G
 from crossfield.operators.outliers import OutlierConfig, add_fit_weights, flag_experiments, flag_points, group_keys, prepare
 from crossfield.plans.ordering import with_tiles
 from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles
-from crossfield.plans.scale import GroupSizes, attach, materialize
+from crossfield.plans.scale import GroupSizes, attach, stored
+from crossfield.plans.windows import window_medians
 
 POWERS = 2 * G.DEGREE + 1
 ROUNDS = 5
@@ -37,10 +35,10 @@ def _points(rows: DataFrame, keys: list[str], config: OutlierConfig) -> tuple[Da
     weighted = add_fit_weights(rows, keys) if _weightable(rows, config) else rows.withColumn(
         "fit_weight", F.lit(None).cast("double"))
     usable = F.col("log_E").isNotNull() & F.col("log_sigma").isNotNull()
-    unique = materialize(weighted.filter(usable).groupBy(*keys, F.col("log_E").alias("x")).agg(
+    unique = stored(weighted.filter(usable).groupBy(*keys, F.col("log_E").alias("x")).agg(
         F.avg("log_sigma").alias("y"), F.avg(F.coalesce("fit_weight", F.lit(1.0))).alias("w"),
         F.count(F.lit(1)).alias("m")))
-    span = materialize(unique.groupBy(*keys).agg(
+    span = stored(unique.groupBy(*keys).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("y").alias("mean_y"),
         F.count(F.lit(1)).alias("n_x"), F.sum("m").alias("n_rows")))
     return unique, span
@@ -70,10 +68,10 @@ def trend_criterion(df: DataFrame, config: OutlierConfig | None = None) -> DataF
 
 def score_hot(rows: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
     unique, span = _points(rows, keys, config)
-    counts = materialize(span.select(*keys, F.col("n_x").alias("group_rows")))
+    counts = stored(span.select(*keys, F.col("n_x").alias("group_rows")))
     sizes = GroupSizes(counts, keys, PERCENTILE_ROWS, counts.agg(F.max("group_rows")).first()[0] or 0)
-    trend = robust_trend(materialize(attach(unique, span, keys)), keys, sizes)
-    facts = materialize(attach(span, trend, keys))
+    trend = robust_trend(stored(attach(unique, span, keys)), keys, sizes)
+    facts = stored(attach(span, trend, keys))
     centred = attach(rows, facts, keys).withColumn("gp_mean", polynomial(scaled("log_E"), F.col("coef")))
     sigma = local_sigma(centred.withColumn("r", F.col("log_sigma") - F.col("gp_mean")), keys, config)
     placed = attach(centred, sigma, [*keys, "log_E"])
@@ -130,7 +128,7 @@ def _coefficients(moments: DataFrame, keys: list[str]) -> DataFrame:
     packed = F.array(*[f"m{p}" for p in range(POWERS)], *[f"b{p}" for p in range(G.DEGREE + 1)])
     constant = F.array(F.col("mean_y"), *[F.lit(0.0)] * G.DEGREE)
     coef = F.when(F.col("n_x") > G.DEGREE, _solve(packed)).otherwise(constant)
-    return materialize(moments.select(*keys, coef.alias("coef")))
+    return stored(moments.select(*keys, coef.alias("coef")))
 
 
 def robust_trend(unique: DataFrame, keys: list[str], sizes: GroupSizes, rounds: int = ROUNDS) -> DataFrame:
@@ -140,9 +138,9 @@ def robust_trend(unique: DataFrame, keys: list[str], sizes: GroupSizes, rounds:
     for _ in range(rounds):
         active = attach(points, current.filter("NOT settled"), keys, "inner")
         residual = active.withColumn("r", F.col("y") - polynomial(F.col("t"), F.col("coef")))
-        middle = materialize(group_percentiles(residual, keys, "r", {"med": 0.5}, sizes.limit, sizes=sizes))
+        middle = stored(group_percentiles(residual, keys, "r", {"med": 0.5}, sizes.limit, sizes=sizes))
         away = attach(residual, middle, keys).withColumn("distance", F.abs(F.col("r") - F.col("med")))
-        mad = materialize(group_percentiles(away, keys, "distance", {"mad": 0.5}, sizes.limit, sizes=sizes))
+        mad = stored(group_percentiles(away, keys, "distance", {"mad": 0.5}, sizes.limit, sizes=sizes))
         judged = attach(residual, mad.filter("mad >= 1e-12"), keys, "inner")
         distance = F.abs("r") / (F.col("mad") * G.MAD_TO_SIGMA)
         factor = F.when(distance <= 3.0, 1.0).otherwise(3.0 / distance)
@@ -151,7 +149,7 @@ def robust_trend(unique: DataFrame, keys: list[str], sizes: GroupSizes, rounds:
             F.first("next").alias("next"),
             F.max(F.abs(polynomial(F.col("t"), F.col("next")) - polynomial(F.col("t"), F.col("coef")))).alias("step"))
         update = moved.select(*keys, "next", (F.col("step") < 1e-4).alias("near"))
-        current = materialize(attach(current, update, keys).select(
+        current = stored(attach(current, update, keys).select(
             *keys, F.coalesce("next", "coef").alias("coef"),
             (F.col("settled") | F.coalesce("near", F.lit(True))).alias("settled")))
         if current.filter("NOT settled").isEmpty():
@@ -162,60 +160,82 @@ def robust_trend(unique: DataFrame, keys: list[str], sizes: GroupSizes, rounds:
 def local_sigma(centred: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
     """(keys, log_E, gp_std): the floored and smoothed rolling MAD, one value per distinct energy."""
     limit = max(config.score_rows, 2 * config.window_points)
-    points = centred.filter("log_E IS NOT NULL AND r IS NOT NULL").select(*keys, "lo", "hi", "n_rows", F.col("log_E").alias("x"), "r")
-    ranked = materialize(with_tiles(points, keys, ["x", "r"], limit, rank_as="__rank"))
-    mads = materialize(_window_mads(ranked, keys, config))
-    smooth = _running_medians(mads, keys, limit)
+    half = F.greatest((F.col("hi") - F.col("lo")) * config.window_fraction, F.lit(0.1))
+    points = centred.filter("log_E IS NOT NULL AND r IS NOT NULL").select(
+        *keys, half.alias("half"), "n_rows", F.col("log_E").alias("x"), "r")
+    ranked = stored(with_tiles(points, keys, ["x", "r"], limit, rank_as="rank").drop("__tile"))
+    placed = stored(_window_ends(ranked, keys, limit))
+    few = F.col("e") - F.col("s") < config.window_points
+    windows = placed.select(*keys, "rank", F.col("r").alias("v"), *[F.when(~few, F.col(c)).alias(c) for c in ("s", "e")])
+    mads = window_medians(windows, keys, limit, spread=True).select(*keys, "rank", "mad")
+    mads = mads.unionByName(_sparse_mads(placed, placed.filter(few), keys, config.window_points))
+    mad = F.greatest(F.col("mad") * G.MAD_TO_SIGMA, F.lit(config.sigma_floor))
+    at = attach(ranked.select(*keys, "rank", "x", "n_rows"), mads.select(*keys, "rank", mad.alias("v")), [*keys, "rank"])
+    smooth = _running_medians(stored(at), keys, limit)
     return smooth.groupBy(*keys, F.col("x").alias("log_E")).agg(
         F.greatest(F.avg(F.greatest("s", F.lit(config.sigma_floor))), F.lit(config.sigma_floor)).alias("gp_std"))
 
 
-def _window_mads(ranked: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
-    """The scaled MAD of every row's window, from tiles that also hold the rows they reach."""
-    half = F.greatest((F.col("hi") - F.col("lo")) * config.window_fraction, F.lit(0.1))
-    along = Window.partitionBy(*keys).orderBy("__tile")
-    # A sparse window takes the nearest points, which the neighbouring tiles hold.
-    tiles = ranked.groupBy(*keys, "lo", "hi", "__tile").agg(F.min("x").alias("begins"), F.max("x").alias("ends")).select(
-        *keys, "__tile", half.alias("half"),
-        F.least(F.col("begins") - half, F.lag("begins").over(along)).alias("low"), F.greatest(F.col("ends") + half, F.lead("ends").over(along)).alias("high"))
-    listed = tiles.groupBy(*keys).agg(F.collect_list(F.struct("__tile", "low", "high", "half")).alias("tiles"))
-    reached = F.filter("tiles", lambda t: (F.col("x") >= t["low"]) & (F.col("x") <= t["high"]))
-    dealt = attach(ranked, listed, keys).select(*keys, "x", "r", "n_rows", "__rank", F.col("__tile").alias("own"), F.explode(reached).alias("t")).select(
-        *keys, "x", "r", "n_rows", "__rank", (F.col("own") == F.col("t.__tile")).alias("own"), F.col("t.__tile").alias("tile"), F.col("t.half").alias("half"))
-    fields = [*ranked.select(*keys, "x", "__rank", "n_rows").schema.fields, T.StructField("mad", T.DoubleType())]
-    points, floor = config.window_points, config.sigma_floor
-
-    def run(table: pa.Table) -> pa.Table:
-        x, r, rank, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("x", "r", "__rank", "own"))
-        order = np.argsort(rank)
-        mine = np.flatnonzero(own[order])
-        mad = G.rolling_mad(x[order], r[order], min_points=points, half=float(table.column("half")[0].as_py()), rows=(int(mine[0]), int(mine[-1]) + 1))
-        kept = table.take(pa.array(order[mine])).select([f.name for f in fields[:-1]])
-        return kept.append_column("mad", pa.array(np.maximum(mad, floor)))
-
-    return dealt.groupBy(*keys, "tile").applyInArrow(run, T.StructType(fields))
+def _window_ends(ranked: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Add ``s`` and ``e``: the ranks of x - half (first row at or after) and x + half (first row beyond).
+
+    Each end is sorted among the rows; its place there less the ends before it (as many as its
+    own row's rank) is the number of rows before it.
+    """
+    def ends(name: str, at: Column, first: bool) -> DataFrame:
+        rows = ranked.select(*keys, F.col("x").alias("t"), F.lit(1).alias("kind"), "rank")
+        probes = ranked.select(*keys, at.alias("t"), F.lit(0 if first else 2).alias("kind"), "rank")
+        both = with_tiles(rows.unionByName(probes), keys, ["t", "kind", "rank"], limit, rank_as="place")
+        return both.filter("kind <> 1").select(*keys, "rank", (F.col("place") - F.col("rank")).alias(name))
+
+    x, half = F.col("x"), F.col("half")
+    return attach(attach(ranked, ends("s", x - half, True), [*keys, "rank"]), ends("e", x + half, False), [*keys, "rank"])
+
+
+def _sparse_mads(placed: DataFrame, sparse: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """Windows with fewer than ``points`` rows take the nearest ones (ties by x, then r).
+
+    There are few: a window spans a fifth of the range, so a group has at most ten times
+    ``points`` of them. The nearest rows lie within ``points`` ranks; of a tie in x on the left,
+    the first rows count, which may stand further away.
+    """
+    around = sparse.select(*keys, F.col("rank").alias("own"), F.col("x").alias("at"), F.explode(
+        F.sequence(F.greatest(F.col("rank") - points + 1, F.lit(0)), F.least(F.col("rank") + points - 1, F.col("n_rows") - 1))).alias("rank"))
+    edge = around.groupBy(*keys, "own", "at").agg(F.min("rank").alias("rank"))
+    values = placed.select(*keys, "rank", "x", "r")
+    ties = stored(attach(stored(edge), values.select(*keys, "rank", "x"), [*keys, "rank"]).select(*keys, "own", "at", "x"))
+    starts = attach(values, ties.select(*keys, "x").distinct().withColumn("__asked", F.lit(True)), [*keys, "x"]).filter(
+        "__asked").groupBy(*keys, "x").agg(F.min("rank").alias("first"))
+    more = attach(ties, starts, [*keys, "x"]).select(
+        *keys, "own", "at", F.explode(F.sequence(F.col("first"), F.col("first") + points - 1)).alias("rank"))
+    near = attach(around.unionByName(more).distinct(), values, [*keys, "rank"], "inner").groupBy(*keys, "own", "at").agg(
+        F.collect_list(F.struct("x", "r")).alias("near"))                     # at most 3 * points rows each
+    listed = F.array_sort(F.transform("near", lambda p: F.struct(F.abs(p["x"] - F.col("at")).alias("d"), p["x"].alias("x"), p["r"].alias("r"))))
+    value = F.array_sort(F.transform(F.slice(listed, 1, points), lambda p: p["r"]))
+    mid, size = F.col("l"), F.size("l")
+
+    def median(a: Column) -> Column:
+        return (a[((size - 1) / 2).cast("int")] + a[(size / 2).cast("int")]) / 2.0
+
+    centre = near.select(*keys, "own", value.alias("l")).withColumn("centre", median(mid))
+    away = F.array_sort(F.transform("l", lambda v: F.abs(v - F.col("centre"))))
+    return centre.select(*keys, F.col("own").alias("rank"), median(away).alias("mad"))
 
 
 def _running_medians(mads: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """The running median over a twentieth of the ranks around each row, end values repeated."""
+    """(keys, x, s): the running median over a twentieth of the ranks around each row, end values repeated."""
     size = F.greatest(F.lit(5), F.floor(F.col("n_rows") / 20))
     half = F.floor((size + (size % 2 == 0).cast("int")) / 2)
-    rank = F.col("__rank")
-    first = F.greatest(F.floor((rank - half) / limit), F.lit(0))
-    last = F.least(F.floor((rank + half) / limit), F.floor((F.col("n_rows") - 1) / limit))
-    dealt = mads.select(*keys, "x", "mad", "__rank", "n_rows", half.cast("int").alias("half"), F.explode(F.sequence(first, last)).alias("tile"))
-    fields = [*mads.select(*keys, "x").schema.fields, T.StructField("s", T.DoubleType())]
-
-    def run(table: pa.Table) -> pa.Table:
-        half, tile, n = (int(table.column(c)[0].as_py()) for c in ("half", "tile", "n_rows"))
-        rank = table.column("__rank").to_numpy()
-        order = np.argsort(rank)
-        values, rank = table.column("mad").to_numpy()[order], rank[order]
-        begin, end = tile * limit, min((tile + 1) * limit, n)
-        missing = half - (begin - rank[0]), half - (rank[-1] + 1 - end)
-        padded = np.concatenate([np.full(missing[0], values[0]), values, np.full(missing[1], values[-1])])
-        own = order[(rank >= begin) & (rank < end)]
-        kept = table.take(pa.array(own)).select([f.name for f in fields[:-1]])
-        return kept.append_column("s", pa.array(G.running_median(padded, 2 * half + 1)))
-
-    return dealt.groupBy(*keys, "tile").applyInArrow(run, T.StructType(fields))
+    rows = mads.withColumn("half", half)
+    # Copies of the first and the last row stand before and behind; ranks move up by ``half``.
+    copies = F.sequence(F.lit(0).cast("long"), F.col("half") - 1)
+    none = F.lit(None).cast("long")
+    padded = rows.select(*keys, (F.col("rank") + F.col("half")).alias("rank"), "v", F.col("rank").alias("s"),
+                         (F.col("rank") + 2 * F.col("half") + 1).alias("e"))
+    for end, first in ((F.col("rank") == 0, F.lit(0).cast("long")), (F.col("rank") == F.col("n_rows") - 1, F.col("n_rows") + F.col("half"))):
+        padded = padded.unionByName(rows.filter(end).select(
+            *keys, "v", first.alias("first"), F.explode(copies).alias("i")).select(
+            *keys, (F.col("first") + F.col("i")).alias("rank"), "v", none.alias("s"), none.alias("e")))
+    found = window_medians(padded, keys, limit).withColumnRenamed("rank", "shifted").withColumnRenamed("median", "s")
+    own = rows.select(*keys, "x", (F.col("rank") + F.col("half")).alias("shifted"))
+    return attach(own, found, [*keys, "shifted"]).select(*keys, "x", "s")

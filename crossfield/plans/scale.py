@@ -20,6 +20,7 @@ to the tasks; the limit is raised, if need be, until that table has at most
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -60,6 +61,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, as Parquet beside the checkpoints, deleted when the application ends.
+
+    A checkpoint keeps the size that the planner guessed for its plan, and a join's guess is the
+    product of both sides. In a chain of joins and checkpoints the guesses square again and again,
+    until planning alone takes minutes. Files have a size of their own.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lineage_cut = True
+    return out
+
+
 def rows_up_to(df: DataFrame, limit: int) -> bool:
     """Whether a (materialized) table has at most ``limit`` rows."""
     if getattr(df, "counted_rows", None) is None:
@@ -145,7 +165,7 @@ def attach(
     facts: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot_rows: int = TASK_ROWS,
+    hot_rows: int | None = None,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Join one-row-per-key ``facts`` to ``df`` without piling a hot key on one task.
@@ -153,7 +173,7 @@ def attach(
     Facts that are too large to broadcast are joined by shuffle; the rows of a key with more
     than ``hot_rows`` are dealt to blocks by a hash of the row, its facts copied to each.
     """
-    keys = list(keys)
+    keys, hot_rows = list(keys), hot_rows or TASK_ROWS
     facts = materialize(facts)
     if fits(facts, broadcast_rows):
         return _join_facts(df, F.broadcast(facts), keys, how)

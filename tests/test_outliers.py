@@ -97,7 +97,7 @@ def test_required_columns(spark):
         outliers.score(spark.createDataFrame([(1,)], "Z int"))
 
 
-def test_a_group_over_the_limit_gets_the_same_scores(spark, n=700, limit=150):
+def test_a_group_over_the_limit_gets_the_same_scores(spark, n=3000, limit=150):
     """Tiles of a hot group against one task: every row's trend, sigma, score and flags."""
     frame = experiments(n=n, offset=0.8, bad_points=5)
     frame["Energy"] = 10 ** np.round(np.log10(frame.Energy), 1)
