@@ -15,6 +15,7 @@ from crossfield.operators import reference as R
 from crossfield.operators.select import Holdout
 from crossfield.operators.transform import Scaler, TransformConfig, scaler_statistics
 from crossfield.operators.weights import add_sample_weights
+from crossfield.plans.scale import new_folder
 from crossfield.sources import points
 
 # ---------------------------------------------------------------------- joins
@@ -189,6 +190,17 @@ def scaled_features(spark, sf):
     return out.groupBy("Z").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("Energy")).alias("energy"), rounded(F.avg("CrossSection")).alias("xs"), rounded(F.avg("Uncertainty")).alias("unc"))
 
 
+@register("k05_scaler_state", f"""
+, e AS (SELECT Z, log10(Energy) AS e, CrossSection AS x, Uncertainty AS u FROM q)
+SELECT Z, count(*) AS n, {r('avg((e - e0) / (e1 - e0))')} AS energy, {r('avg((x - x0) / (x1 - x0))')} AS xs, {r('avg((u - u0) / (u1 - u0))')} AS unc
+FROM e, (SELECT min(e) AS e0, max(e) AS e1, min(x) AS x0, max(x) AS x1, min(u) AS u0, max(u) AS u1 FROM e) GROUP BY Z""")
+def scaler_state(spark, sf):
+    rows, path = clean(spark, sf), new_folder(spark, "scaler")
+    Scaler().fit(rows, _SCALED).save(spark, path)
+    out = Scaler.load(spark, path).transform(rows)
+    return out.groupBy("Z").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("Energy")).alias("energy"), rounded(F.avg("CrossSection")).alias("xs"), rounded(F.avg("Uncertainty")).alias("unc"))
+
+
 @register("t03_inverse_transform", f"SELECT Z, {r('avg(Energy)', 2)} AS energy, {r('avg(CrossSection)')} AS xs FROM q GROUP BY Z")
 def inverse_transform(spark, sf):
     rows = clean(spark, sf)

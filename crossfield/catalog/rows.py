@@ -9,6 +9,7 @@ from crossfield.catalog.base import FULL_KEYS, KEYS, clean, measurements, r, reg
 from crossfield.functions import labels as L
 from crossfield.functions import scalars as S
 from crossfield.operators import classify, quality, select
+from crossfield.plans.scale import new_folder
 from crossfield.sources import fixed_width, points, tables
 
 
@@ -307,6 +308,58 @@ def partition_report(spark, sf):
     return tables.partition_report(clean(spark, sf), ["Z", "MT"])
 
 
+# Round trips: each query writes its rows to the shared folder and reads them back.
+_SUMS = f"count(*) AS n, {r('sum(Energy)', 1)} AS energy, {r('sum(CrossSection)', 4)} AS xs"
+
+
+def _sums(df, *keys):
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("Energy"), 1).alias("energy"), rounded(F.sum("CrossSection"), 4).alias("xs"))
+
+
+@register("k01_partitioned_write", f"""
+, p AS (SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS rows, min(n) AS min_rows, max(n) AS max_rows FROM (SELECT count(*) AS n FROM q GROUP BY Z, MT))
+SELECT Z, MT, partitions, rows, min_rows, max_rows, {_SUMS} FROM q, p GROUP BY ALL""")
+def partitioned_write(spark, sf):
+    path = new_folder(spark, "partitioned")
+    report = tables.write_with_report(clean(spark, sf), path, ["Z", "MT"])
+    back = tables.load_measurements(spark, path)
+    return _sums(back, "Z", "MT").join(F.broadcast(report))     # one row of figures
+
+
+@register("k02_saved_dataset", f"SELECT Z, A, Projectile, {_SUMS} FROM q GROUP BY ALL")
+def saved_dataset(spark, sf):
+    path = new_folder(spark, "saved")
+    tables.write_measurements(clean(spark, sf), path)
+    return _sums(tables.load_measurements(spark, path), "Z", "A", "Projectile")
+
+
+@register("k03_version_swap", f"""
+SELECT 'old' AS seen, MT, {_SUMS} FROM q GROUP BY ALL UNION ALL
+SELECT 'between' AS seen, MT, {_SUMS} FROM q GROUP BY ALL UNION ALL
+SELECT 'new' AS seen, MT, {_SUMS} FROM q WHERE MT <> 16 GROUP BY ALL""")
+def version_swap(spark, sf):
+    """A second version is written from the first, and counts only from its commit on."""
+    path = new_folder(spark, "versions")
+    tables.commit_version(spark, path, tables.begin_version(clean(spark, sf), path))
+    seen = [("old", tables.load_measurements(spark, path))]
+    number = tables.begin_version(seen[0][1].filter("MT <> 16"), path)
+    seen.append(("between", tables.load_measurements(spark, path)))
+    tables.commit_version(spark, path, number)
+    seen.append(("new", tables.load_measurements(spark, path)))
+    parts = [_sums(df, "MT").withColumn("seen", F.lit(name)) for name, df in seen]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("k04_subset_export", f"""
+SELECT MT, {_SUMS} FROM m WHERE Energy BETWEEN 1e6 AND 5e6 AND MT IN (16, 18, 102) AND Projectile = 'n' AND A >= 1 AND CrossSection > 0
+  AND (sf8 IS NULL OR sf8 NOT IN ('BRS/REL', 'MXW', 'SDT/AV', 'TTA')) GROUP BY ALL""")
+def subset_export(spark, sf):
+    source, target = new_folder(spark, "whole"), new_folder(spark, "subset")
+    tables.write_measurements(measurements(spark, sf), source)
+    tables.export_subset(spark, source, target, select.Selection(energy_min=1e6, energy_max=5e6))
+    return _sums(tables.load_measurements(spark, target), "MT")
+
+
 # ------------------------------------------------------------------- filters
 @register("f01_alias_normalisation", """
 SELECT CAST(l_suppkey AS STRING) AS Entry, l_linenumber AS Z, CAST(l_linenumber + l_quantity AS INT) AS A,

@@ -61,6 +61,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like ``materialize``, as Parquet beside the checkpoints, deleted when the application ends.
 
@@ -68,14 +78,9 @@ def stored(df: DataFrame) -> DataFrame:
     product of both sides. In a chain of joins and checkpoints the guesses square again and again,
     until planning alone takes minutes. Files have a size of their own.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stored")
     df.write.parquet(path)
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.lineage_cut = True
     return out
 

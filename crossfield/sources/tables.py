@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crossfield.operators.select import Selection
@@ -36,7 +36,7 @@ def load_measurements(
     Filters see every column they use; columns are cut afterwards, and Catalyst moves both
     into the scan.
     """
-    return select_measurements(spark.read.parquet(path), selection, preview, columns)
+    return select_measurements(spark.read.parquet(current_folder(spark, path)), selection, preview, columns)
 
 
 def select_measurements(
@@ -69,13 +69,39 @@ def partition_report(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
         F.min("n").alias("min_rows"), F.max("n").alias("max_rows"))
 
 
+def write_with_report(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
+    """A partitioned write and its report, without computing the rows twice.
+
+    The rows are counted by the write itself. Directories are counted from what was written: a
+    count by partition columns alone reads file footers, no column.
+    """
+    written = Observation()
+    write_measurements(df.observe(written, F.count(F.lit(1)).alias("rows")), path, partition_by)
+    rows = written.get["rows"]
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    return partition_report(made, partition_by).withColumn("rows", F.lit(rows).cast("long"))
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
 def replace_with(df: DataFrame, path: str, spark: SparkSession) -> None:
-    """Write next to a table and swap the folders: never overwrite what is being read."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    target, fresh, old = hadoop(path), hadoop(path + ".new"), hadoop(path + ".old")
+    """Write next to a table and swap the folders: never overwrite what is being read.
+
+    Between the two renames no table stands at the path; a swap that stopped there is undone
+    by the next. ``begin_version`` and ``commit_version`` have no such moment.
+    """
+    fs, target = _files(spark, path)
+    fresh, old = _files(spark, path + ".new")[1], _files(spark, path + ".old")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
     write_measurements(df, path + ".new")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"cannot move {path} aside")
     if not fs.rename(fresh, target):
@@ -83,6 +109,59 @@ def replace_with(df: DataFrame, path: str, spark: SparkSession) -> None:
     fs.delete(old, True)
 
 
+# A versioned table is a folder of numbered folders. Version n counts once the empty file
+# committed-n exists, which one call creates; readers take the highest such n.
+_VERSION, _COMMITTED = "version-", "committed-"
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    fs, folder = _files(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def begin_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+    """Write rows as the next version of a table. Readers keep the present one until ``commit_version``."""
+    spark = df.sparkSession
+    number = max([0, *_numbers(spark, path, _VERSION), *_numbers(spark, path, _COMMITTED)]) + 1
+    write_measurements(df, f"{path}/{_VERSION}{number}", partition_by)
+    return number
+
+
+def commit_version(spark: SparkSession, path: str, number: int) -> None:
+    """Make a written version the present one, in one step."""
+    if number not in _numbers(spark, path, _VERSION):
+        raise ValueError(f"{path} has no version {number}")
+    fs, marker = _files(spark, f"{path}/{_COMMITTED}{number}")
+    if not fs.createNewFile(marker):
+        raise OSError(f"version {number} of {path} is committed already")
+
+
+def current_folder(spark: SparkSession, path: str) -> str:
+    """The folder of the present version; the path itself for a plain table."""
+    committed = _numbers(spark, path, _COMMITTED)
+    return f"{path}/{_VERSION}{committed[-1]}" if committed else path
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Delete all but the last ``keep`` committed versions, and what stopped before its commit.
+
+    A version written after the present one stays: it may be about to be committed.
+    """
+    committed = _numbers(spark, path, _COMMITTED)
+    if not committed:
+        return []
+    kept = set(committed[-keep:])
+    gone = [n for n in _numbers(spark, path, _VERSION) if n < committed[-1] and n not in kept]
+    for n in gone:
+        for name in (_COMMITTED, _VERSION):  # the marker first, so that it never names a missing folder
+            fs, entry = _files(spark, f"{path}/{name}{n}")
+            fs.delete(entry, True)
+    return gone
+
+
 def export_subset(spark: SparkSession, source: str, target: str, selection: Selection) -> None:
     """Keep the filtered rows of a table for repeated use."""
     write_measurements(load_measurements(spark, source, selection), target)
