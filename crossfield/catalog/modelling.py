@@ -523,3 +523,81 @@ def grid_search(spark, sf):
     maps = models.grid_maps(tree, {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]})
     _, found = models.search(_small(spark, sf), tree, maps)
     return spark.createDataFrame([(k, float(v)) for k, v in found["best"].items()], "parameter string, value double")
+
+
+# Searches whose scores SQL can give: one two-valued feature, so a tree of depth 0 predicts the mean
+# and one of depth 1 the mean of each value; splits follow from the experiment's number.
+_TWO = ", p AS (SELECT CAST(Entry AS INT) AS key, CASE WHEN Projectile = 'p' THEN 1 ELSE 0 END AS x, log10(CrossSection) AS y FROM q)"
+
+
+def _cross_validated(rows: str, out: str) -> str:
+    """Mean over three folds of the squared error, for both depths."""
+    return f"""
+, {out}f AS (SELECT key % 3 AS fold, x, y FROM {rows}),
+{out}s AS (SELECT f.fold, avg(pow(f.y - (SELECT avg(y) FROM {out}f o WHERE o.fold <> f.fold), 2)) AS d0,
+  avg(pow(f.y - (SELECT avg(y) FROM {out}f o WHERE o.fold <> f.fold AND o.x = f.x), 2)) AS d1 FROM {out}f f GROUP BY f.fold),
+{out} AS (SELECT 0 AS depth, avg(d0) AS score FROM {out}s UNION ALL SELECT 1, avg(d1) FROM {out}s)"""
+
+
+def _two_valued(spark, sf):
+    return clean(spark, sf).select("CrossSection", "Entry", (F.col("Projectile") == "p").cast("int").alias("proton"))
+
+
+def _scores(spark, scores, best):
+    rows = [(int(p["maxDepth"]), float(s), p == best) for p, s in scores]
+    return spark.createDataFrame(rows, "depth int, score double, chosen boolean").withColumn("score", rounded("score", 7))
+
+
+_CHOSEN = f"SELECT depth, {r('score', 7)} AS score, score = (SELECT min(score) FROM c) AS chosen FROM c"
+
+
+@register("m04_folds_by_key", _TWO + _cross_validated("p", "c") + _CHOSEN)
+def folds_by_key(spark, sf):
+    tree = models.decision_tree()
+    _, found = models.search(_two_valued(spark, sf), tree, models.grid_maps(tree, {"maxDepth": [0, 1]}), key=F.col("Entry"))
+    return _scores(spark, found["scores"], found["best"])
+
+
+@register("m05_random_by_key", _TWO + _cross_validated("p", "c") + _CHOSEN)
+def random_by_key(spark, sf):
+    tree = models.decision_tree()
+    _, found = models.search(_two_valued(spark, sf), tree, models.random_maps(tree, {"maxDepth": [0, 1]}, 2), key=F.col("Entry"))
+    return _scores(spark, found["scores"], found["best"])
+
+
+# A first round on a tenth of the rows by their draw decides between the two.
+@register("m06_halving_by_key", _TWO + """
+, h AS (SELECT * FROM p WHERE key // 3 % 10000 < -((-10000 * ((SELECT count(*) FROM p) // 10)) // (SELECT count(*) FROM p)))""" + _cross_validated("h", "c") + _CHOSEN)
+def halving_by_key(spark, sf):
+    rows = _two_valued(spark, sf)
+    tree = models.decision_tree()
+    _, found = models.successive_halving(
+        rows, tree, models.grid_maps(tree, {"maxDepth": [0, 1]}), min_rows=rows.count() // 10, key=F.col("Entry"))
+    return _scores(spark, found["rounds"][0], found["best"])
+
+
+@register("m07_holdout_by_key", _TWO + f"""
+, t AS (SELECT avg(y) AS m, avg(y) FILTER (x = 0) AS m0, avg(y) FILTER (x = 1) AS m1 FROM p WHERE key % 100 < 70),
+c AS (SELECT 0 AS depth, avg(pow(y - m, 2)) FILTER (key % 100 < 85) AS score, avg(pow(y - m, 2)) FILTER (key % 100 >= 85) AS test FROM p, t WHERE key % 100 >= 70
+  UNION ALL SELECT 1, avg(pow(y - CASE x WHEN 0 THEN m0 ELSE m1 END, 2)) FILTER (key % 100 < 85),
+  avg(pow(y - CASE x WHEN 0 THEN m0 ELSE m1 END, 2)) FILTER (key % 100 >= 85) FROM p, t WHERE key % 100 >= 70)
+SELECT depth, {r('score', 7)} AS score, score = (SELECT min(score) FROM c) AS chosen,
+  (SELECT {r('arg_min(test, score)', 7)} FROM c) AS test FROM c""")
+def holdout_by_key(spark, sf):
+    tree = models.decision_tree()
+    _, found = models.search(
+        _two_valued(spark, sf), tree, models.grid_maps(tree, {"maxDepth": [0, 1]}), validation="holdout", key=F.col("Entry"))
+    return _scores(spark, found["scores"], found["best"]).withColumn("test", rounded(F.lit(found["test_mse"]), 7))
+
+
+@register("k06_experiment_round_trip", "SELECT count(*) AS n, count(*) AS equal, 1 AS features, 'kept' AS note FROM q")
+def experiment_round_trip(spark, sf):
+    """A trained model saved with its properties, loaded again, predicts the same for every row."""
+    rows, path = _two_valued(spark, sf).drop("Entry"), new_folder(spark, "experiment")
+    model = models.train(rows, models.decision_tree(maxDepth=1))
+    models.save_experiment(model, spark, path, note="kept")
+    again, properties = models.load_experiment(spark, path)
+    both = again.predict(model.predict(rows, "first").withColumnRenamed("prediction_log", "first_log"), "second")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("second")).alias("equal"),
+        F.lit(len(properties["features"])).alias("features"), F.lit(properties["extra"]["note"]).alias("note"))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossfield.operators.evaluate import regression_metrics, require_features
@@ -23,7 +23,7 @@ from crossfield.operators.transform import Scaler
 from crossfield.operators.weights import add_sample_weights
 from crossfield.sources.tables import load_json, save_json
 
-NOT_FEATURES = ["CrossSection", "Uncertainty", "Energy_Uncertainty", "Entry", "MT", "weight", "target"]
+NOT_FEATURES = ["CrossSection", "Uncertainty", "Energy_Uncertainty", "Entry", "MT", "weight", "target", "fold", "draw"]
 MAX_DEPTH = 30          # Spark's own limit
 BOOSTED_DEFAULTS = {
     "maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42,
@@ -143,55 +143,100 @@ def random_maps(estimator, space: dict[str, Sequence], n: int, seed: int = 42) -
     return random.Random(seed).sample(everything, min(n, len(everything)))
 
 
+# Splits by an integer key: any engine that knows the key knows the split. ``fold`` is the key
+# modulo the folds; of the rest, the share ``draw`` in DRAWS grows a sample.
+DRAWS = 10_000
+HOLDOUT = (70, 85, 100)     # train, validation, test: key modulo 100 below
+
+
+def with_folds(df: DataFrame, key: Column, folds: int) -> DataFrame:
+    """Add ``fold`` and ``draw`` from an integer key; rows without a key fall into fold and draw 0."""
+    key = F.coalesce(key.cast("long"), F.lit(0))
+    return df.withColumns({
+        "fold": F.pmod(key, F.lit(folds)).cast("int"),
+        "draw": F.pmod(F.floor(key / folds), F.lit(DRAWS)).cast("int")})
+
+
+def _held_out(rows: DataFrame, pipe: Pipeline, maps: list[dict], evaluator) -> tuple[list[float], list[float]]:
+    """Validation and test scores of each map, rows split by ``fold`` in 0..99."""
+    fold = F.col("fold")
+    train_rows = rows.filter(fold < HOLDOUT[0])
+    sides = rows.filter((fold >= HOLDOUT[0]) & (fold < HOLDOUT[1])), rows.filter(fold >= HOLDOUT[1])
+    scores = []
+    for chosen in maps:
+        fitted = pipe.fit(train_rows, chosen)
+        scores.append([evaluator.evaluate(fitted.transform(side)) for side in sides])
+    return [s[0] for s in scores], [s[1] for s in scores]
+
+
 def search(
     df: DataFrame, estimator, maps: list[dict], scaler: Scaler | None = None, folds: int = 3,
     fraction: float = 1.0, max_rows: int | None = None, validation: str = "cv", parallelism: int = 4, seed: int = 42,
-    weight_mode: str | None = None,
+    weight_mode: str | None = None, key: Column | None = None,
 ) -> tuple[Model, dict[str, Any]]:
     """Grid or random search on all rows (or a subsample, if asked), then a fit of the best on all rows.
 
     ``validation`` is 'cv' (k folds) or 'holdout' (70 % train, 15 % validation, the last
-    15 % only for the reported test metric).
+    15 % only for the reported test metric). With an integer ``key`` the splits follow from it
+    (``with_folds``), else they are drawn by ``seed``.
     """
     scaler = scaler or Scaler()
+    if key is not None:
+        df = with_folds(df, key, 100 if validation == "holdout" else folds)
     rows, features = _search_rows(df, scaler, fraction, max_rows, weight_mode)
     if weight_mode:
         estimator = estimator.copy({estimator.weightCol: "weight"})
     pipe = _pipeline(estimator, features)
     evaluator = RegressionEvaluator(labelCol="target", metricName="mse")
     common = {"estimator": pipe, "estimatorParamMaps": maps, "evaluator": evaluator, "parallelism": parallelism, "seed": seed}
-    if validation == "holdout":
+    tests = None
+    if validation == "holdout" and key is not None:
+        scores, tests = _held_out(rows, pipe, maps, evaluator)
+        test = tests[min(range(len(maps)), key=lambda i: scores[i])]
+    elif validation == "holdout":
         fitting, testing = rows.randomSplit([0.85, 0.15], seed)
         found = TrainValidationSplit(trainRatio=0.70 / 0.85, **common).fit(fitting)
         scores = found.validationMetrics
         test = evaluator.evaluate(found.bestModel.transform(testing))
     else:
-        found = CrossValidator(numFolds=folds, **common).fit(rows)
+        by_key = {"foldCol": "fold"} if key is not None else {}
+        found = CrossValidator(numFolds=folds, **common, **by_key).fit(rows)
         scores, test = found.avgMetrics, None
     best = maps[min(range(len(maps)), key=lambda i: scores[i])]
     chosen = {p.name: v for p, v in best.items()}
     model = train(df, estimator.copy(best), scaler, weight_mode)
-    return model, {"best": chosen, "score": min(scores), "test_mse": test}
+    return model, {"best": chosen, "score": min(scores), "test_mse": test,
+                   "scores": [({p.name: v for p, v in m.items()}, s) for m, s in zip(maps, scores, strict=True)]}
 
 
 def successive_halving(
     df: DataFrame, estimator, maps: list[dict], scaler: Scaler | None = None, factor: int = 3,
-    min_rows: int = 1000, folds: int = 3, seed: int = 42,
+    min_rows: int = 1000, folds: int = 3, seed: int = 42, key: Column | None = None,
 ) -> tuple[Model, dict[str, Any]]:
-    """Keep the best third on a sample that grows threefold, until one is left."""
+    """Keep the best third on a sample that grows threefold, until one is left.
+
+    With an integer ``key``, sample and folds follow from it: a round takes the rows whose ``draw``
+    is below its share.
+    """
     scaler = scaler or Scaler()
+    if key is not None:
+        df = with_folds(df, key, folds)
     rows, features = prepare_training(df, scaler)
-    total, size, left = rows.count(), min_rows, list(maps)
+    total, size, left, rounds = rows.count(), min_rows, list(maps), []
     while len(left) > 1:
-        part = subsample(rows, 1.0, min(size, total), seed)
+        if key is None:
+            part, by_key = subsample(rows, 1.0, min(size, total), seed), {}
+        else:
+            part, by_key = rows.filter(F.col("draw") < F.lit(-(-DRAWS * size // max(total, 1)))), {"foldCol": "fold"}
         found = CrossValidator(
             estimator=_pipeline(estimator, features), estimatorParamMaps=left,
-            evaluator=RegressionEvaluator(labelCol="target", metricName="mse"), numFolds=folds, seed=seed,
+            evaluator=RegressionEvaluator(labelCol="target", metricName="mse"), numFolds=folds, seed=seed, **by_key,
         ).fit(part)
+        rounds.append([({p.name: v for p, v in m.items()}, s) for m, s in zip(left, found.avgMetrics, strict=True)])
         ranked = sorted(range(len(left)), key=lambda i: found.avgMetrics[i])
         left = [left[i] for i in ranked[: max(1, len(left) // factor)]]
         size *= factor
-    return train(df, estimator.copy(left[0]), scaler), {"best": {p.name: v for p, v in left[0].items()}}
+    return train(df, estimator.copy(left[0]), scaler), {"best": {p.name: v for p, v in left[0].items()}, "rounds": rounds}
 
 
 def save_experiment(
