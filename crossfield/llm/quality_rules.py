@@ -3,7 +3,8 @@
 Lines are normalised (trimmed, lower case, white space joined, digit runs as 0) and hashed.
 For every host and line the *distinct documents* that hold it are counted; identical texts
 count as one document. A line held by more than ``max_documents`` documents of a host, and by
-more than ``max_share`` of its distinct texts if that is given, is boilerplate there, except in the first document that holds it (smallest id), which keeps it.
+more than ``max_share`` of its distinct texts if that is given, is boilerplate there, except in
+the first document that holds it (smallest id), which keeps it.
 A document that keeps less than ``min_left`` of its line characters is depleted and goes.
 
 Lines are counted in two steps, per (host, line, text) and then per (host, line), both
@@ -40,7 +41,7 @@ class QualityRules:
 
 
 # With a share the verdict depends on how frequent a line is in its host, not on the host's size;
-# the number is only a floor. The query op6 keeps the absolute number, which its SQL names.
+# the number is only a floor. The query op6 and the pipeline stage use these rules.
 BY_SHARE = QualityRules(max_documents=10, max_share=0.05)
 
 
@@ -139,7 +140,9 @@ lines AS (SELECT row, doc_id, source, text, line, regexp_replace(trim(regexp_rep
           FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT row, count(*) - count(DISTINCT line) AS n, sum(length(norm)) AS chars FROM lines GROUP BY row),
 hold AS (SELECT source, norm, text, min(doc_id) AS first FROM lines GROUP BY ALL),
-freq AS (SELECT source, norm, arg_min(text, first) AS keeper FROM hold GROUP BY ALL HAVING count(*) > 100),
+host AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
+freq AS (SELECT f.source, norm, keeper FROM (SELECT source, norm, arg_min(text, first) AS keeper, count(*) AS held FROM hold GROUP BY ALL) f
+         JOIN host ON f.source IS NOT DISTINCT FROM host.source WHERE held > 10 AND held > 0.05::DOUBLE * texts),
 gone AS (SELECT row, sum(length(lines.norm)) AS chars FROM lines JOIN freq
          ON lines.source IS NOT DISTINCT FROM freq.source AND lines.norm = freq.norm AND lines.text <> keeper GROUP BY row),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
@@ -152,7 +155,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT depleted AS kept FROM m
 """)
 def op6_quality_rules(spark, sf_dir):
-    found = assess(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    found = assess(documents(spark, sf_dir).select("doc_id", "source", "text"), BY_SHARE)
     return found.select("doc_id", *MEASURES, "base_failed", "kept")
 
 

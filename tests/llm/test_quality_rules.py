@@ -69,3 +69,11 @@ def test_boilerplate_of_the_stage_depends_on_the_share_not_on_the_size(spark):
         return sum(often in t for t in texts), sum(rare in t for t in texts) / n
 
     assert left(300) == (1, 0.02) and left(6000) == (1, 0.02)
+
+
+def test_the_query_removes_lines_and_its_verdict_is_not_only_the_base_rules(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text")
+    found = op.assess(docs, op.BY_SHARE)
+    row = found.selectExpr("count_if(boilerplate IS NOT NULL) AS cut", "count_if(NOT kept AND NOT base_failed) AS depleted").first()
+    assert row.cut > 0
+    print(row)
