@@ -63,7 +63,7 @@ def nested_payload(spark, sf):
         "DatasetID", "l_extendedprice", F.nullif("l_tax", F.lit(0.0)).alias("dx"), "l_quantity",
         F.nullif("l_discount", F.lit(0.0)).alias("dy"))
     payload = points.spread_payload(facts, "DatasetID", "l_extendedprice", "dx", "l_quantity", "dy")
-    return points.nested_payload_points(_datasets(spark, sf), payload, diagnostics=True)
+    return points.nested_payload_points(_datasets(spark, sf), payload, diagnostics=True, unique_ids=True)
 
 
 @register("s02_flat_point_scan", _META_SQL + """

@@ -149,13 +149,14 @@ def ingest_summary(df: DataFrame) -> DataFrame:
 
 
 def uncertainty_coverage(df: DataFrame, column: str = "Uncertainty") -> DataFrame:
-    """Rows with an uncertainty, and its percentiles where present."""
-    counts = df.agg(row_count().alias("total"), F.count_if(has_uncertainty(column)).alias("with_uncertainty"))
+    """Rows with an uncertainty, and its percentiles where present: two scans while they fit a task."""
+    counts = materialize(df.agg(row_count().alias("total"), F.count_if(has_uncertainty(column)).alias("with_uncertainty")))
+    known = counts.first()["with_uncertainty"]
     counts = counts.withColumn("coverage_pct", percent(F.col("with_uncertainty"), F.col("total")))
     spread = table_percentiles(
         df.filter(has_uncertainty(column)), column,
-        {f"p{p}": p / 100 for p in K.UNCERTAINTY_PERCENTILES})
-    return counts.join(spread, how="left")
+        {f"p{p}": p / 100 for p in K.UNCERTAINTY_PERCENTILES}, rows=known)
+    return counts.join(F.broadcast(spread), how="left")     # one row on each side
 
 
 def validity_counts(df: DataFrame, column: str = "CrossSection") -> DataFrame:

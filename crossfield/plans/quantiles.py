@@ -54,12 +54,17 @@ def group_percentiles(
 
 
 def table_percentiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], limit: int = PERCENTILE_ROWS
+    df: DataFrame, value: str, probabilities: dict[str, float], limit: int = PERCENTILE_ROWS, rows: int | None = None,
 ) -> DataFrame:
-    """Percentiles of a whole column: always one key, so the size decides the plan."""
-    return group_percentiles(
-        df.withColumn("__all", F.lit(1)), ["__all"], value, probabilities, limit
-    ).drop("__all")
+    """Percentiles of a whole column: always one key, so the size decides the plan.
+
+    ``rows`` is the number of values if the caller has counted them; it spares a scan.
+    """
+    keyed, sizes = df.withColumn("__all", F.lit(1)), None
+    if rows is not None:
+        table = df.sparkSession.createDataFrame([(1, rows)], "__all int, group_rows long")
+        sizes = GroupSizes(table, ["__all"], limit, rows)
+    return group_percentiles(keyed, ["__all"], value, probabilities, limit, sizes=sizes).drop("__all")
 
 
 def _by_aggregate(data: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:

@@ -32,9 +32,12 @@ def _datasets(meta: DataFrame, z_keys: Sequence[int], diagnostics: bool) -> Data
     return out.filter(F.col("A").isNotNull())
 
 
-def join_datasets(datasets: DataFrame, points: DataFrame, key: str = "DatasetID") -> DataFrame:
-    """Every dataset row with every point row of its id; a dataset without points goes."""
-    return grid_join(datasets, points, [key])
+def join_datasets(datasets: DataFrame, points: DataFrame, key: str = "DatasetID", unique_ids: bool = False) -> DataFrame:
+    """Every dataset row with every point row of its id; a dataset without points goes.
+
+    ``unique_ids``: no id stands twice on either side, so no id can be hot and none is counted.
+    """
+    return datasets.join(points, key) if unique_ids else grid_join(datasets, points, [key])
 
 
 def _required(df: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def _required(df: DataFrame) -> DataFrame:
 
 def nested_payload_points(
     meta: DataFrame, payload: DataFrame, z_keys: Sequence[int] = (), diagnostics: bool = False,
-    require: bool = False,
+    require: bool = False, unique_ids: bool = False,
 ) -> DataFrame:
     """One row per point of each dataset's JSON payload.
 
@@ -54,7 +57,7 @@ def nested_payload_points(
     first, because zipping pads to the longest.
     """
     body = F.from_json("jx5z", PAYLOAD_SCHEMA)["c5data"]
-    joined = join_datasets(_datasets(meta, z_keys, diagnostics), payload.select("DatasetID", "jx5z"))
+    joined = join_datasets(_datasets(meta, z_keys, diagnostics), payload.select("DatasetID", "jx5z"), unique_ids=unique_ids)
     parsed = joined.withColumn("__b", body).drop("jx5z")
     x, y = F.col("__b.x1.x1"), F.col("__b.y.y")
     n = F.least(F.size(x), F.size(y))

@@ -200,3 +200,17 @@ def test_split_tables_pair_every_energy_with_every_value(spark, monkeypatch, cel
     out = split_table_points(reactions, side([(1, 1.0), (1, 2.0), (2, 5.0), (2, None)]), side([(1, 10.0), (1, 20.0), (2, 7.0)]), side([(1, 0.5)]))
     got = sorted((r["entry_id"], r["energy"], r["xs"], r["dxs"]) for r in out.collect())
     assert got == [("E1", e, x, 0.5) for e in (1.0, 2.0) for x in (10.0, 20.0)] + [("E2", 5.0, 7.0, None)]
+
+
+@pytest.mark.parametrize("options", [{"cell": 1}, {"cell": 100_000}, {"cell": 100_000, "unique_ids": True}])
+def test_nested_payloads_join_every_dataset_row(spark, monkeypatch, options):
+    from crossfield.plans import scale
+    from crossfield.sources.points import nested_payload_points
+
+    monkeypatch.setattr(scale, "CELL_ROWS", options.pop("cell"))
+    meta = spark.createDataFrame([("a", 26, "Fe-56", "n", 18), ("a", 27, "Co-59", "n", 18), ("b", 1, "H-1", "p", 2), ("c", 1, "H-1", "p", 2)],
+                                 "DatasetID string, zTarg1 int, Targ1 string, Proj string, MT int")
+    body = '{"c5data": {"x1": {"x1": [1.0, %s]}, "y": {"y": [5.0, 6.0]}}}'
+    payload = spark.createDataFrame([("a", body % "2.0"), ("a", body % "3.0"), ("b", body % "4.0"), ("d", body % "9.0")], "DatasetID string, jx5z string")
+    got = sorted((r["DatasetID"], r["Z"], r["En"], r["Data"]) for r in nested_payload_points(meta, payload, **options).collect())
+    assert got == sorted([("a", z, e, d) for z in (26, 27) for e2 in (2.0, 3.0) for e, d in ((1.0, 5.0), (e2, 6.0))] + [("b", 1, 1.0, 5.0), ("b", 1, 4.0, 6.0)])
