@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossfield.operators import outliers, quality
+from crossfield.sources.store import shared_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,8 +82,15 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    rows = outliers.prepare(clean(spark, sf), outliers.OutlierConfig())
-    return outliers.flag_experiments(outliers.score_by_median(rows, KEYS), KEYS, entry="Entry")
+    """The scored measurements that many reports start from: stored by the first of them."""
+    config = outliers.OutlierConfig()
+
+    def build() -> DataFrame:
+        rows = outliers.prepare(clean(spark, sf), config)
+        return outliers.score_experiments(rows, KEYS, "Entry", config=config)
+
+    settings = {"view": VIEW, "keys": KEYS, "entry": "Entry", "config": asdict(config)}
+    return shared_result(spark, "scored", [f"{sf}/lineitem.parquet"], settings, build)
 
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from crossfield import constants as K
 from crossfield.functions.scalars import finite
 from crossfield.plans.ordering import with_previous
 from crossfield.plans.quantiles import PERCENTILE_ROWS, table_percentiles
-from crossfield.plans.scale import TASK_ROWS, attach
+from crossfield.plans.scale import TASK_ROWS, attach, materialize
 
 
 def _c(c: Column | str) -> Column:
@@ -42,12 +42,12 @@ def holdout_metrics(
 ) -> DataFrame:
     """Metrics in log and linear space over finite rows; NULL with fewer than two rows."""
     valid = df.filter(finite(truth) & finite(predicted) & finite(truth_log) & finite(predicted_log))
-    sums = valid.agg(
+    sums = materialize(valid.agg(
         F.count(F.lit(1)).alias("holdout_n"),
-        *_errors(F.col(truth_log), F.col(predicted_log), "_log"), *_errors(F.col(truth), F.col(predicted), "_barns"))
+        *_errors(F.col(truth_log), F.col(predicted_log), "_log"), *_errors(F.col(truth), F.col(predicted), "_barns")))
     away = valid.select(F.abs(F.col(predicted) - F.col(truth)).alias("away"))
-    median = table_percentiles(away, "away", {"medae_barns": 0.5}, limit)
-    out = sums.join(median, how="left")
+    median = table_percentiles(away, "away", {"medae_barns": 0.5}, limit, rows=sums.first()["holdout_n"])
+    out = sums.join(F.broadcast(median), how="left")
     enough = F.col("holdout_n") > 1
     return out.select("holdout_n", *[
         F.when(enough, F.col(c)).alias(f"holdout_{c}") for c in out.columns if c != "holdout_n"])

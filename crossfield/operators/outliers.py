@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from crossfield.functions.scalars import finite
 from crossfield.operators import group_fit as G
 from crossfield.operators.profile import with_logs
 from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles
-from crossfield.plans.scale import attach, group_sizes, materialize
+from crossfield.plans.scale import GroupSizes, attach, group_sizes, materialize
 
 # Rows of one group a task scores at once: about two seconds of work.
 SCORE_ROWS = 200_000
@@ -102,20 +103,78 @@ def score_in_tasks(rows: DataFrame, keys: list[str], config: OutlierConfig) -> D
 
 # --------------------------------------------------- pieces as plain plans
 def score_by_median(
-    df: DataFrame, keys: list[str], y: str = "log_sigma", point_z: float = 3.0, limit: int = PERCENTILE_ROWS
+    df: DataFrame, keys: list[str], y: str = "log_sigma", point_z: float = 3.0, limit: int = PERCENTILE_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Median and MAD scores of every group, from exact percentiles joined back."""
-    scale = F.col("__mad") * G.MAD_TO_SIGMA
-    sizes = group_sizes(df, keys, limit)
-    centred = attach(df, group_percentiles(df, keys, y, {"gp_mean": 0.5}, limit, sizes=sizes), keys)
-    away = centred.withColumn("__away", F.abs(F.col(y) - F.col("gp_mean")))
-    spread = group_percentiles(away, keys, "__away", {"__mad": 0.5}, limit, sizes=sizes)
-    spread = spread.select(*keys, F.when(scale < 1e-10, 1e-6).otherwise(scale).alias("gp_std"))
-    out = attach(away, spread, keys)
+    """Median and MAD scores of every group from exact percentiles.
+
+    Ordinary groups are shuffled once on the keys and take both percentiles from windows. Groups
+    above ``limit`` are not gathered: their percentiles are narrowed and joined back.
+    """
+    sizes = sizes or group_sizes(df, keys, limit)
+    if sizes.bounded:
+        return _median_scores(df, keys, y, point_z)
+    ordinary, hot = sizes.split(df)
+    return _median_scores(ordinary, keys, y, point_z).unionByName(_hot_median_scores(hot, keys, y, point_z, limit))
+
+
+def _scored_from_median(away: DataFrame, mad: Column, point_z: float) -> DataFrame:
+    scale = mad * G.MAD_TO_SIGMA
+    out = away.withColumn("gp_std", F.when(scale < 1e-10, 1e-6).otherwise(scale)).drop("__mad")
     return out.withColumn("z_score", F.col("__away") / F.col("gp_std")).withColumn(
         "point_outlier", F.col("z_score") > point_z).drop("__away")
 
 
+def _median_scores(df: DataFrame, keys: list[str], y: str, point_z: float) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    centred = df.withColumn("gp_mean", F.percentile(F.col(y).cast("double"), F.lit(0.5)).over(group))
+    away = centred.withColumn("__away", F.abs(F.col(y) - F.col("gp_mean")))
+    return _scored_from_median(away, F.percentile("__away", F.lit(0.5)).over(group), point_z)
+
+
+def _hot_median_scores(df: DataFrame, keys: list[str], y: str, point_z: float, limit: int) -> DataFrame:
+    centred = attach(df, group_percentiles(df, keys, y, {"gp_mean": 0.5}, limit), keys)
+    away = centred.withColumn("__away", F.abs(F.col(y) - F.col("gp_mean")))
+    spread = group_percentiles(away, keys, "__away", {"__mad": 0.5}, limit)
+    return _scored_from_median(attach(away, spread, keys), F.col("__mad"), point_z)
+
+
+def score_experiments(
+    df: DataFrame, keys: list[str], entry: str = "experiment_id", y: str = "log_sigma", config: OutlierConfig | None = None,
+    limit: int = PERCENTILE_ROWS,
+) -> DataFrame:
+    """``score_by_median`` and ``flag_experiments`` together.
+
+    Ordinary groups need a count and one shuffle: a window by keys and experiment finds its
+    rows where those by keys alone have put them.
+    """
+    config = config or OutlierConfig()
+    sizes = group_sizes(df, keys, limit)
+    rules = config.experiment_z, config.experiment_share, config.min_group
+
+    def in_windows(rows: DataFrame) -> DataFrame:
+        return _flagged_in_windows(_median_scores(rows, keys, y, config.point_z), keys, entry, *rules)
+
+    if sizes.bounded:
+        return in_windows(df)
+    ordinary, hot = sizes.split(df)
+    scored = flag_experiments(_hot_median_scores(hot, keys, y, config.point_z, limit), keys, entry, *rules)
+    return in_windows(ordinary).unionByName(scored)
+
+
+def _flagged_in_windows(
+    df: DataFrame, keys: list[str], entry: str, z_limit: float, share: float, min_group: int,
+) -> DataFrame:
+    group, experiment = Window.partitionBy(*keys), Window.partitionBy(*keys, entry)
+    one = F.lit(1)
+    bad = F.count_if(F.col("z_score") > z_limit).over(experiment) / F.count(one).over(experiment)
+    # Rows without an id are an experiment too.
+    known = F.count(entry).over(group)
+    several = (F.min(entry).over(group) != F.max(entry).over(group)) | ((known > 0) & (known < F.count(one).over(group)))
+    flag = (bad > share) & F.coalesce(several, F.lit(False)) & (F.count(one).over(group) >= min_group)
+    return df.drop("experiment_outlier").withColumn("experiment_outlier", F.coalesce(flag, F.lit(False)))
+
+
 def score_small_policy(df: DataFrame, keys: list[str], y: str = "log_sigma") -> DataFrame:
     """A lone point scores 0 with sigma 1; other groups take median and MAD."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
@@ -211,8 +270,6 @@ def probability_surface(scored: DataFrame, keys: list[str], grid: int = 200, pad
     lines = span.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
     lines = attach(lines, per, [*keys, "i"]).withColumn("x", F.col("lo") + F.col("i") * step)
     # ``grid`` rows per group: bounded, so an ordered window is safe here.
-    from pyspark.sql.window import Window
-
     along = Window.partitionBy(*keys).orderBy("i")
     lines = lines.select(
         "*",

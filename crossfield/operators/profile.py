@@ -346,8 +346,10 @@ def regime_breakdown(df: DataFrame) -> DataFrame:
 
 def energy_spread(df: DataFrame) -> DataFrame:
     positive = df.filter(F.col("Energy") > 0)
-    ends = positive.agg(row_count().alias("count"), F.min("Energy").alias("energy_min"), F.max("Energy").alias("energy_max"))
-    return ends.crossJoin(table_percentiles(positive, "Energy", {"energy_median": 0.5}))
+    ends = materialize(positive.agg(
+        row_count().alias("count"), F.min("Energy").alias("energy_min"), F.max("Energy").alias("energy_max")))
+    middle = table_percentiles(positive, "Energy", {"energy_median": 0.5}, rows=ends.first()["count"])
+    return ends.crossJoin(F.broadcast(middle))      # one row on each side
 
 
 def region_counts(df: DataFrame) -> DataFrame:

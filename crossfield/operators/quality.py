@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crossfield import constants as K
 from crossfield.functions.scalars import finite, nan_to_null
-from crossfield.plans.quantiles import table_percentiles
+from crossfield.plans.quantiles import column_percentiles
 from crossfield.schema import COLUMN_ALIASES, DIAGNOSTIC_COLUMNS, METADATA_COLUMNS, REQUIRED_COLUMNS
 
 CORE_COLUMNS = [
@@ -92,10 +92,10 @@ def key_filter(df: DataFrame, column: str, keys: list[int]) -> DataFrame:
 
 def unit_sanity(df: DataFrame) -> DataFrame:
     """Exact medians and the warnings they raise about units."""
-    energy = table_percentiles(df, "Energy", {"median_energy": 0.5})
-    xs = table_percentiles(df, "CrossSection", {"median_xs": 0.5})
+    medians = column_percentiles(df, {"energy": "Energy", "xs": "CrossSection"}, {"median": 0.5}).select(
+        F.col("energy__median").alias("median_energy"), F.col("xs__median").alias("median_xs"))
     e, x = F.col("median_energy"), F.col("median_xs")
-    return energy.crossJoin(xs).select(
+    return medians.select(
         e, x,
         F.when(e > 1e12, "energy_too_high").when(e < 1e-8, "energy_very_low").otherwise("ok").alias("energy_check"),
         F.when(x < 1e-15, "xs_too_low").when(x > 1e9, "xs_too_high").otherwise("ok").alias("xs_check"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crossfield.functions import scalars as S
 from crossfield.operators.select import feature_columns
-from crossfield.plans.quantiles import table_percentiles
+from crossfield.plans.quantiles import column_percentiles
 from crossfield.sources.tables import load_json, save_json
 
 SCALERS = ("minmax", "standard", "robust", "none")
@@ -144,13 +144,8 @@ def scaler_statistics(df: DataFrame, columns: Sequence[str], scaler: str) -> Dat
         return df.agg(*[
             e for c in columns for e in settled(c, F.min(clean(c)), F.max(clean(c)) - F.min(clean(c)))])
     if scaler == "robust":
-        parts = None
-        for c in columns:
-            row = table_percentiles(
-                df.select(clean(c).alias("v")), "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-            # A global aggregate turns "no values" into one row of NULLs.
-            row = row.agg(*[F.max(q).alias(q) for q in ("q1", "q2", "q3")]).select(
-                *settled(c, F.col("q2"), F.col("q3") - F.col("q1")))
-            parts = row if parts is None else parts.crossJoin(row)
-        return parts
+        found = column_percentiles(df, {c: clean(c) for c in columns}, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+        quartile = {(c, q): F.col(f"`{c}__{q}`") for c in columns for q in ("q1", "q2", "q3")}
+        return found.select(*[
+            e for c in columns for e in settled(c, quartile[c, "q2"], quartile[c, "q3"] - quartile[c, "q1"])])
     raise ValueError(f"no statistics for scaler {scaler!r}")

@@ -15,7 +15,7 @@ apart: a rank among them needs no narrowing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +67,32 @@ def table_percentiles(
     return group_percentiles(keyed, ["__all"], value, probabilities, limit, sizes=sizes).drop("__all")
 
 
+def column_percentiles(
+    df: DataFrame, columns: Mapping[str, Column | str], probabilities: dict[str, float],
+    limit: int = PERCENTILE_ROWS, counts: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """One row with ``<name>__<probability>`` for several columns of a table.
+
+    A column is a key of ``group_percentiles``: one scan counts the values of all columns and
+    one more finds all percentiles; long columns narrow together, a scan for each round.
+    NULL values are ignored, a column without values is NULL. ``counts`` of values that
+    the caller knows spare the first scan.
+    """
+    names = list(columns)
+    each = [F.struct(F.lit(i).alias("__c"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("__v"))
+            for i, c in enumerate(columns.values())]
+    stacked = df.select(F.inline(F.array(*each))).filter(F.col("__v").isNotNull())
+    sizes = None
+    if counts is not None:
+        known = [(i, int(counts[name])) for i, name in enumerate(names)]
+        table = df.sparkSession.createDataFrame(known, "__c int, group_rows long")
+        sizes = GroupSizes(table, ["__c"], limit, max(n for _, n in known))
+    found = group_percentiles(stacked, ["__c"], "__v", probabilities, limit, sizes=sizes)
+    return found.agg(*[
+        F.max(F.when(F.col("__c") == i, F.col(p))).alias(f"{name}__{p}")
+        for i, name in enumerate(names) for p in probabilities])
+
+
 def _by_aggregate(data: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     array = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probabilities.values()]))
     packed = data.groupBy(*keys).agg(array.alias("__p"))

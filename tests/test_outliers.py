@@ -126,3 +126,21 @@ def test_null_keys_keep_density_and_surface(spark):
     assert energy_density(with_logs(df), KEYS).agg(F.sum("n")).first()[0] == 30
     cells = outliers.probability_surface(outliers.score(df), KEYS, grid=5)
     assert cells.count() == 25 and cells.filter("density IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 50])
+def test_scores_and_flags_in_one_shuffle_equal_the_joined_ones(spark, limit):
+    frames = [experiments(n, offset=25.0, bad_points=n // 20, seed=n).assign(A=n) for n in (1, 8, 40, 90, 200)]
+    one = experiments(60, seed=3).assign(A=61, Entry="E0")
+    holes = experiments(60, offset=25.0, seed=4).assign(A=62)
+    holes["Entry"] = holes.Entry.map({"E3": None}.get).astype(object).where(holes.Entry == "E3", "E0")
+    flat = experiments(30, seed=5).assign(A=63, CrossSection=2.0)
+    df = spark.createDataFrame(pd.concat([*frames, one, holes, flat], ignore_index=True))
+    rows = outliers.prepare(df, outliers.OutlierConfig())
+    keys, names = ["Z", "A", "MT"], ["A", "row", "gp_mean", "gp_std", "z_score", "point_outlier", "experiment_outlier"]
+    got = outliers.score_experiments(rows, keys, "Entry", limit=limit).select(*names).toPandas().sort_values(["A", "row"])
+    joined = outliers.flag_experiments(outliers._hot_median_scores(rows, keys, "log_sigma", 3.0, limit), keys, "Entry")
+    want = joined.select(*names).toPandas().sort_values(["A", "row"])
+    assert got.experiment_outlier.any() and not got.experiment_outlier.all()
+    assert np.allclose(got[names[:5]], want[names[:5]]) and (got[names[5:]].values == want[names[5:]].values).all()
+    assert got[(got.A == 62)].experiment_outlier.any() and not got[got.A == 61].experiment_outlier.any()

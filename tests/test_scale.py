@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from crossfield.operators.profile import training_units
 from crossfield.plans.ordering import with_previous, with_tiles
-from crossfield.plans.quantiles import group_percentiles
+from crossfield.plans.quantiles import column_percentiles, group_percentiles
 from crossfield.plans import scale
 from crossfield.plans.scale import attach, bytes_of, fits, grid_join, group_sizes, materialize
 
@@ -37,6 +37,29 @@ def test_percentiles_by_narrowing(spark, skewed):
             assert row[name] == pytest.approx(want) and simple[key][name] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"limit": 40}, {"limit": 40, "counts": {"v": 700, "twice": 690, "none": 0}}])
+def test_percentiles_of_several_columns(skewed, options):
+    columns = {"v": "v", "twice": F.when(F.col("i") >= 10, F.col("v") * 2), "none": F.lit(None).cast("double")}
+    row = column_percentiles(skewed, columns, {"q": 0.25, "m": 0.5}, **options).first()
+    values = skewed.toPandas()
+    for name, share in (("q", 25), ("m", 50)):
+        assert row[f"v__{name}"] == pytest.approx(np.percentile(values.v, share))
+        assert row[f"twice__{name}"] == pytest.approx(np.percentile(values.v[values.i >= 10] * 2, share))
+        assert row[f"none__{name}"] is None
+
+
+def test_percentiles_of_several_columns_take_two_scans(spark, skewed):
+    """One job counts, and the result itself is one more scan, however many columns there are."""
+    accumulator = spark.sparkContext.accumulator(0)
+    def seen(batches):
+        for batch in batches:
+            accumulator.add(batch.num_rows)
+            yield batch
+    counted = skewed.mapInArrow(seen, skewed.schema)
+    column_percentiles(counted, {f"c{i}": F.col("v") * i for i in range(1, 6)}, {"m": 0.5}).collect()
+    assert accumulator.value == 2 * 700
+
+
 def test_percentiles_ignore_null_values(spark):
     df = spark.createDataFrame([(1, 1.0), (1, None), (1, 3.0), (2, None)], "k int, v double")
     rows = group_percentiles(df, ["k"], "v", {"m": 0.5}).collect()
