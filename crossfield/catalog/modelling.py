@@ -539,6 +539,100 @@ def _cross_validated(rows: str, out: str) -> str:
 {out} AS (SELECT 0 AS depth, avg(d0) AS score FROM {out}s UNION ALL SELECT 1, avg(d1) FROM {out}s)"""
 
 
+# Trees that SQL can grow: features of few values, so thresholds lie midway between neighbours, a
+# node's best split has the least squared error, and a leaf predicts its mean.
+def _best(node: str, out: str, target: str = "y", weight: str = "1.0") -> str:
+    """The best split of every node (column ``node``) of a table: feature, threshold, both means.
+
+    Sums per value first; running sums over the values give both sides of every threshold.
+    """
+    gain = "s * s / w + (t - s) * (t - s) / (v - w)"
+    return f"""
+, {out}v AS (SELECT node, feature, x, sum({weight}) AS w0, sum({weight} * {target}) AS s0
+  FROM {node} UNPIVOT (x FOR feature IN (f1, f2)) GROUP BY ALL),
+{out}r AS (SELECT *, sum(w0) OVER (PARTITION BY node, feature ORDER BY x) AS w, sum(s0) OVER (PARTITION BY node, feature ORDER BY x) AS s,
+  sum(w0) OVER (PARTITION BY node, feature) AS v, sum(s0) OVER (PARTITION BY node, feature) AS t,
+  (x + lead(x) OVER (PARTITION BY node, feature ORDER BY x)) / 2.0 AS threshold FROM {out}v),
+{out} AS (SELECT node, arg_max(feature, {gain}) AS feature, arg_max(threshold, {gain}) AS threshold,
+  arg_max(s / w, {gain}) AS low, arg_max((t - s) / (v - w), {gain}) AS high, max({gain}) - any_value(t * t / v) AS gain
+  FROM {out}r WHERE threshold IS NOT NULL GROUP BY node)"""
+
+
+def _side(split: str = "b") -> str:
+    return f"CASE {split}.feature WHEN 'f1' THEN f1 ELSE f2 END <= {split}.threshold"
+
+
+_FEW = ", p AS (SELECT 0 AS node, Z::DOUBLE AS f1, CASE MT WHEN 102 THEN 2 WHEN 18 THEN 1 ELSE 0 END::DOUBLE AS f2, log10(CrossSection + 1e-10) AS y, Uncertainty, CrossSection FROM q)"
+_STUMP = _FEW + _best("p", "b")
+_DEEP = _STUMP + f", d AS (SELECT CASE WHEN {_side()} THEN 1 ELSE 2 END AS node, f1, f2, y FROM p, b)" + _best("d", "c")
+
+
+def _few_valued(spark, sf):
+    code = F.when(F.col("MT") == 102, 2).when(F.col("MT") == 18, 1).otherwise(0)
+    return clean(spark, sf).select("CrossSection", "Uncertainty", F.col("Z").alias("f1"), code.alias("f2"))
+
+
+def _plain_scaler():
+    return Scaler(TransformConfig(scaler="none"))
+
+
+def _predicted(model, rows):
+    """What the model says for every combination of the features, and for how many rows."""
+    out = model.predict(rows).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction_log").alias("predicted"))
+    return round_columns(out, "predicted").select(F.col("f1").cast("int").alias("f1"), F.col("f2").cast("int").alias("f2"), "n", "predicted")
+
+
+def _grown(spark, sf, estimator, **options):
+    rows = _few_valued(spark, sf)
+    return _predicted(models.train(rows, estimator, _plain_scaler(), test_fraction=0.0, features=["f1", "f2"], **options), rows)
+
+
+_CELLS = "SELECT f1::INT AS f1, f2::INT AS f2, count(*) AS n, {value} AS predicted FROM {rows} GROUP BY ALL"
+
+
+@register("m01_stump_by_sql", _STUMP + f", e AS (SELECT f1, f2, CASE WHEN {_side()} THEN low ELSE high END AS o FROM p, b) "
+          + _CELLS.format(value=r("avg(o)"), rows="e"))
+def stump(spark, sf):
+    return _grown(spark, sf, models.decision_tree(maxDepth=1))
+
+
+@register("m03_two_levels_by_sql", _DEEP + f", e AS (SELECT f1, f2, CASE WHEN {_side('c')} THEN c.low ELSE c.high END AS o FROM d JOIN c USING (node)) "
+          + _CELLS.format(value=r("avg(o)"), rows="e"))
+def two_levels(spark, sf):
+    return _grown(spark, sf, models.decision_tree(maxDepth=2))
+
+
+# The second tree grows on twice the residuals of the first and counts with the step size.
+@register("m02_boosting_by_sql", _STUMP + f"""
+, g AS (SELECT 0 AS node, f1, f2, y, CASE WHEN {_side()} THEN low ELSE high END AS o FROM p, b), h AS (SELECT *, 2.0 * (y - o) AS z FROM g)"""
+          + _best("h", "c", "z") + f", e AS (SELECT f1, f2, o + 0.1 * CASE WHEN {_side('c')} THEN c.low ELSE c.high END AS o FROM h, c) "
+          + _CELLS.format(value=r("avg(o)"), rows="e"))
+def two_boosted(spark, sf):
+    return _grown(spark, sf, models.boosted_trees(maxIter=2, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="all"))
+
+
+_WEIGHED = """
+, u AS (SELECT p.*, 1.0 / pow(Uncertainty / (CrossSection * ln(10::DOUBLE)), 2) AS raw FROM p), um AS (SELECT quantile_cont(raw, 0.5) AS m FROM u),
+uf AS (SELECT u.* EXCLUDE (raw), coalesce(raw, m) AS raw FROM u, um), uc AS (SELECT quantile_cont(raw, 0.99) AS cap FROM uf),
+ul AS (SELECT uf.* EXCLUDE (raw), least(raw, cap) AS raw FROM uf, uc), pw AS (SELECT * EXCLUDE (raw), raw / (SELECT avg(raw) FROM ul) AS w FROM ul)"""
+
+
+@register("m07_weighted_stump_by_sql", _FEW + _WEIGHED + _best("pw", "b", "y", "w")
+          + f", e AS (SELECT f1, f2, CASE WHEN {_side()} THEN low ELSE high END AS o FROM pw, b) " + _CELLS.format(value=r("avg(o)"), rows="e"))
+def weighted_stump(spark, sf):
+    return _grown(spark, sf, models.decision_tree(weighted=True, maxDepth=1), weight_mode="xs")
+
+
+# A feature's importance is its share of the gain of all splits.
+@register("m08_importance_by_sql", _DEEP + f"""
+, i AS (SELECT feature, gain FROM b UNION ALL SELECT feature, gain FROM c), n AS (SELECT unnest(['f1', 'f2']) AS feature)
+SELECT feature, {r('coalesce(sum(gain), 0) / (SELECT sum(gain) FROM i)')} AS importance FROM n LEFT JOIN i USING (feature) GROUP BY feature""")
+def importance_by_sql(spark, sf):
+    rows = _few_valued(spark, sf)
+    model = models.train(rows, models.decision_tree(maxDepth=2), _plain_scaler(), test_fraction=0.0, features=["f1", "f2"])
+    return round_columns(model.importance(spark), "importance")
+
+
 def _two_valued(spark, sf):
     return clean(spark, sf).select("CrossSection", "Entry", (F.col("Projectile") == "p").cast("int").alias("proton"))
 

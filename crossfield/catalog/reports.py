@@ -401,6 +401,19 @@ def group_state(spark, sf):
     return P.group_state(scored(spark, sf), KEYS)
 
 
+# The full scorer fits a trend from ten rows on and takes median and MAD below; a share of each
+# nuclide's experiments is set apart, so that all three states occur.
+_APART = "CASE WHEN CAST(Entry AS INT) % 50 < 3 THEN 1000 * (1 + CAST(Entry AS INT) % 50) ELSE 0 END"
+
+
+@register("f31_state_of_full_scores", f"""
+, g AS (SELECT Z, A + {_APART} AS A, MT, Projectile, count(*) AS n FROM q GROUP BY ALL)
+SELECT *, CASE WHEN n = 1 THEN 'single' WHEN n < 10 THEN 'constant' ELSE 'full' END AS state FROM g""")
+def full_state(spark, sf):
+    rows = clean(spark, sf).withColumn("A", F.expr(f"A + {_APART}"))
+    return P.group_state(outliers.score(rows), [*KEYS, "Projectile"])
+
+
 # -------------------------------------------------------------------- scoring
 @register("w02_median_scores", f"SELECT Entry, Z, A, MT, Energy, {r('gp_mean', 5)} AS gp_mean, {r('gp_std', 5)} AS gp_std, {r('z_score', 5)} AS z_score FROM s", scored=True)
 def median_scores(spark, sf):

@@ -12,6 +12,7 @@ SPREAD = [
     "c01_particle_vector", "c04_shell_features", "c09_spin_parity", "c19_log_error_bars", "j04_reference_build",
     "j06_enrichment", "t06_tier_features", "t01_scaler_robust", "t10_sample_weights_both", "a12_group_statistics",
     "a26_gini", "a31_energy_density", "m12_resonance_penalties", "g02_edges", "r04_best_candidate", "w01_outlier_scores",
+    "f31_state_of_full_scores", "m03_two_levels_by_sql", "m08_importance_by_sql",
 ]
 
 
