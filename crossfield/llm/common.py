@@ -65,3 +65,21 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns by name, ignoring case, so that added columns never clash."""
     drop = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
+
+
+# A key is hot with more than 1/500 of the rows, and never with 16 or fewer: there are
+# fewer than 500 such keys, however large the table.
+HOT_PARTS, COLD_ROWS = 500, 16
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, count: str, total: int) -> DataFrame:
+    """Inner join with one fact row per key, which knows in ``count`` how many of ``total`` rows have it.
+
+    Facts of hot keys are broadcast (at most 500 rows), so that their rows stay where they are;
+    the others are joined by shuffle. ``count`` is dropped.
+    """
+    hot = F.col(count) > F.lit(max(total // HOT_PARTS, COLD_ROWS))
+    known = F.broadcast(facts.filter(hot).drop(count))
+    on = F.col(key) == F.col(fact_key)
+    rest = rows.join(F.broadcast(facts.filter(hot).select(fact_key)), on, "left_anti")
+    return rows.join(known, on).unionByName(rest.join(facts.filter(~hot).drop(count), on))

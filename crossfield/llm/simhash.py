@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfield.llm.common import materialize, text_of
+from crossfield.llm.common import materialize, spread_join, text_of
 from crossfield.llm.components import components
 from crossfield.llm.registry import documents, register
 
@@ -282,17 +282,24 @@ def _linked(table: pa.Table, group: np.ndarray, max_bits: int, min_similarity: f
 def cluster(prints: DataFrame, max_bits: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of (doc_id, fingerprint) rows; links at ``max_bits`` or fewer bits."""
     prints = materialize(prints, "fingerprints")
-    nodes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     masks = block_masks(max_bits)
     keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     members = nodes.select(F.col("fingerprint").alias("node"), "fingerprint", F.explode(keys).alias("k")).select("k.*", "node", "fingerprint")
     roots = components(link_buckets(members, max_bits, tile_rows=tile_rows))
     rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+        "fingerprint", "first", "n", F.coalesce("root", "fingerprint").alias("root"))
     rooted = materialize(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = rooted.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(table, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    n_nodes, n_rows = _sizes(rooted)
+    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    table = spread_join(rooted, named, "root", "r", "nodes", n_nodes).select(F.col("fingerprint").alias("f"), "component_id", "n")
+    return spread_join(prints, materialize(table, "table"), "fingerprint", "f", "n", n_rows).select("doc_id", "fingerprint", "component_id")
+
+
+def _sizes(nodes: DataFrame) -> tuple[int, int]:
+    """Nodes, and rows that have them (column ``n``)."""
+    row = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return row[0], row[1]
 
 
 def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8,
@@ -308,7 +315,8 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     ``repeats`` is how many rows agree in id and text.
     """
     prints = materialize(fingerprints(df, text, doc_id, shingle, sketches=True), "prints")
-    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"))
+    nodes = prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"),
+                                         F.count(F.lit(1)).alias("n"))
     nodes = materialize(nodes, "nodes")
     width = 4 * BAND_ROWS
     bands = F.array(*[F.struct(F.lit(i).alias("table"), F.xxhash64(F.substring("sketch", i * width + 1, width)).alias("key")) for i in range(BANDS)])
@@ -322,13 +330,16 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     facts = rows.join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("w_first"))).select(
         "node", "sketch", "text").dropDuplicates(["node"])
     links = link_buckets(grouped, 64, materialize(facts, "facts"), similarity, tile_rows, shingle)
-    rooted = nodes.select("node", "first").join(components(links).withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(
-        "node", "first", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("node", "first", "n").join(components(links).withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(
+        "node", "first", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
+    n_nodes, n_rows = _sizes(rooted)
     order = F.struct(F.col("first").isNull(), "first", "node")
-    named = rooted.groupBy("root").agg(F.min(order).alias("m")).select("root", F.col("m.first").alias("component_id"), F.col("m.node").alias("keeper"))
-    chosen = rooted.join(named, "root").select(F.col("node").alias("c_node"), "component_id", "keeper")
-    rows = prints.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("repeats")).join(chosen, F.col("node") == F.col("c_node"))
+    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("nodes")).select(
+        "r", F.col("m.first").alias("component_id"), F.col("m.node").alias("keeper"), "nodes")
+    chosen = spread_join(rooted, named, "root", "r", "nodes", n_nodes).select(F.col("node").alias("c_node"), "component_id", "keeper", "n")
+    rows = prints.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("repeats"))
+    rows = spread_join(rows, materialize(chosen, "chosen"), "node", "c_node", "n", n_rows)
     stays = (F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     return rows.select("doc_id", "node", "component_id", stays.alias("stays"), "repeats")
 

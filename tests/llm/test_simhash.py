@@ -1,8 +1,10 @@
 import pytest
 from cases import TABLES, nothing, prose, shingles, simhash, tricky, tricky_rows, union
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from crossfield.llm import simhash as op
+from crossfield.llm.common import spread_join
 from crossfield.llm.components import components
 
 
@@ -117,3 +119,31 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 100 != 99], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {i: i // 100 * 100 for i in range(300)}
+
+
+@pytest.mark.parametrize("centre", [0, 10**6])
+def test_components_of_a_star(spark, centre):
+    """The centre is the smallest or the largest node; every leaf has one more neighbour."""
+    star = spark.range(1, 20_001).select(F.lit(centre).alias("a"), F.col("id").alias("b"))
+    links = star.union(star.select("b", (F.col("b") + 2 * 10**6).alias("a")))
+    found = components(links)
+    row = found.agg(F.count("node"), F.countDistinct("node"), F.min("root"), F.max("root")).first()
+    assert tuple(row) == (40_001, 40_001, min(centre, 1), min(centre, 1))
+
+
+def test_hot_keys_stay_where_their_rows_are(spark):
+    rows = spark.range(0, 9000, 1, 30).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    facts = rows.groupBy(F.col("k").alias("f")).agg(F.count(F.lit(1)).alias("n")).filter("f % 7 <> 3").withColumn("fact", F.col("f") * 2)
+    want = sorted(map(tuple, rows.join(facts, F.col("k") == F.col("f")).select("i", "fact").collect()))
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {n: spark.conf.get(n) for n in settings}
+    try:
+        for n, value in settings.items():
+            spark.conf.set(n, value)
+        out = spread_join(rows, facts, "k", "f", "n", 9000)
+        assert out.columns == ["k", "i", "f", "fact"] and sorted(map(tuple, out.select("i", "fact").collect())) == want
+        tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert tasks[-1] <= 2.5 * tasks[len(tasks) // 2]
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
