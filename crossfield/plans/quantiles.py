@@ -79,17 +79,17 @@ def column_percentiles(
     the caller knows spare the first scan.
     """
     names = list(columns)
-    each = [F.struct(F.lit(i).alias("__c"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("__v"))
+    each = [F.struct(F.lit(i).alias("__column"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("__v"))
             for i, c in enumerate(columns.values())]
     stacked = df.select(F.inline(F.array(*each))).filter(F.col("__v").isNotNull())
     sizes = None
     if counts is not None:
         known = [(i, int(counts[name])) for i, name in enumerate(names)]
-        table = df.sparkSession.createDataFrame(known, "__c int, group_rows long")
-        sizes = GroupSizes(table, ["__c"], limit, max(n for _, n in known))
-    found = group_percentiles(stacked, ["__c"], "__v", probabilities, limit, sizes=sizes)
+        table = df.sparkSession.createDataFrame(known, "__column int, group_rows long")
+        sizes = GroupSizes(table, ["__column"], limit, max(n for _, n in known))
+    found = group_percentiles(stacked, ["__column"], "__v", probabilities, limit, sizes=sizes)
     return found.agg(*[
-        F.max(F.when(F.col("__c") == i, F.col(p))).alias(f"{name}__{p}")
+        F.max(F.when(F.col("__column") == i, F.col(p))).alias(f"{name}__{p}")
         for i, name in enumerate(names) for p in probabilities])
 
 
