@@ -1,7 +1,7 @@
 """Nuclide reference tables in fixed-width and whitespace layouts.
 
 Each parser takes a DataFrame of text lines (column ``value``) as ``spark.read.text``
-gives it, and is a projection plus a filter: no Python per line.
+gives it, and is a projection plus a filter: no Python per line. Lines may be computed.
 """
 
 from __future__ import annotations
@@ -31,9 +31,18 @@ def _length() -> Column:
     return F.length(_LINE) + 1
 
 
+def _once(lines: DataFrame) -> DataFrame:
+    """The lines, each computed once however many rules and fields read it.
+
+    A column of a projection is put in place of its uses, so a computed line would be made
+    again for every rule; one that a generator gives is not.
+    """
+    return lines.select(F.explode(F.array(_LINE)).alias(_LINE))
+
+
 def _data_lines(lines: DataFrame, shortest: int, header_words: list[str]) -> DataFrame:
     """Lines long enough to hold the fields that are neither page breaks nor headers."""
-    body = lines.filter((_length() >= shortest) & (F.substring(_LINE, 1, 1) != "1"))
+    body = _once(lines).filter((_length() >= shortest) & (F.substring(_LINE, 1, 1) != "1"))
     for word in header_words:
         body = body.filter(~F.contains(F.col(_LINE), F.lit(word)))
     return body
@@ -73,7 +82,7 @@ def reaction_energy_table(lines: DataFrame, names: list[str]) -> DataFrame:
 
 def structure_table(lines: DataFrame) -> DataFrame:
     """Spin, parity, isomer level and half-life per nuclide state."""
-    body = lines.filter((_length() >= 102) & ~F.col(_LINE).startswith("#"))
+    body = _once(lines).filter((_length() >= 102) & ~F.col(_LINE).startswith("#"))
     code = _slice(4, 4)
     spin, parity = spin_parity(_slice(88, 14))
     return body.filter(F.length(code) >= 3).select(
@@ -87,7 +96,7 @@ def structure_table(lines: DataFrame) -> DataFrame:
 def whitespace_mass_table(lines: DataFrame) -> DataFrame:
     """Loose variant: at least nine words, of which five are read."""
     words = F.split(F.trim(F.col(_LINE)), r"\s+")
-    body = lines.filter(~F.col(_LINE).startswith("#")).select(words.alias("w")).filter(F.size("w") >= 9)
+    body = _once(lines).filter(~F.col(_LINE).startswith("#")).select(F.explode(F.array(words)).alias("w")).filter(F.size("w") >= 9)
 
     def word(i: int, kind: str) -> Column:
         return F.get("w", F.lit(i)).try_cast(kind)

@@ -214,3 +214,14 @@ def test_nested_payloads_join_every_dataset_row(spark, monkeypatch, options):
     payload = spark.createDataFrame([("a", body % "2.0"), ("a", body % "3.0"), ("b", body % "4.0"), ("d", body % "9.0")], "DatasetID string, jx5z string")
     got = sorted((r["DatasetID"], r["Z"], r["En"], r["Data"]) for r in nested_payload_points(meta, payload, **options).collect())
     assert got == sorted([("a", z, e, d) for z in (26, 27) for e2 in (2.0, 3.0) for e, d in ((1.0, 5.0), (e2, 6.0))] + [("b", 1, 1.0, 5.0), ("b", 1, 4.0, 6.0)])
+
+
+def test_a_computed_line_is_made_once(spark):
+    """Rules and fields read the line many times; the plan holds the expression that makes it once."""
+    text = spark.createDataFrame([(" 12 Xx   6 " + "        1.25      1.00" * 6,), (None,)], "value string")
+    lines = text.select(F.format_string("%s", "value").alias("value"))
+    parsers = [fixed_width.mass_table, fixed_width.structure_table, fixed_width.whitespace_mass_table,
+               lambda df: fixed_width.reaction_energy_table(df, fixed_width.REACTION_ENERGY_1)]
+    for parse in parsers:
+        assert parse(lines)._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
+    assert parsers[-1](lines).first()[:3] == (6, 12, 1.25)
