@@ -46,3 +46,15 @@ def test_searches(frame):
     assert found["best"]["maxDepth"] == max(list(m.values())[0] for m in maps) and found["test_mse"] > 0
     _, kept = models.successive_halving(frame, tree, models.grid_maps(tree, {"maxDepth": [1, 5]}), min_rows=200, folds=2)
     assert kept["best"] == {"maxDepth": 5}
+
+
+def test_a_trainer_scans_stored_rows(frame, monkeypatch):
+    """Features are computed once, not for each scan of the trainer; a partition has a bounded number of rows."""
+    from crossfield.operators.transform import Scaler
+
+    monkeypatch.setattr(models, "PART_ROWS", 100)
+    rows, features = models._kept_rows(frame.withColumn("Half", frame.Z / 2), Scaler(), weight_mode="xs")
+    assert "Half" in features and set(rows.columns) == {*features, "target", "weight"}
+    assert rows.rdd.getNumPartitions() >= 6 and rows.count() == 600
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project" not in plan and "parquet" in plan
