@@ -76,9 +76,24 @@ def nested_payload_points(
 def flat_points(
     meta: DataFrame, points: DataFrame, z_keys: Sequence[int] = (), diagnostics: bool = False
 ) -> DataFrame:
-    rows = points.filter(F.col("x1").isNotNull() & F.col("y").isNotNull()).select(
+    return join_datasets(_datasets(meta, z_keys, diagnostics), _flat_rows(points))
+
+
+def _flat_rows(points: DataFrame) -> DataFrame:
+    return points.filter(F.col("x1").isNotNull() & F.col("y").isNotNull()).select(
         "DatasetID", F.col("x1").alias("En"), F.col("y").alias("Data"), F.col("dy").alias("dData"))
-    return join_datasets(_datasets(meta, z_keys, diagnostics), rows)
+
+
+def flat_point_totals(meta: DataFrame, points: DataFrame, by: Sequence[str], z_keys: Sequence[int] = ()) -> DataFrame:
+    """Number of rows and sums of ``flat_points`` per value of the dataset columns ``by``, without all its pairs.
+
+    Metadata rows of an id that agree in ``by`` are counted first; a point meets each such value
+    once and counts as often as the value stands there.
+    """
+    copies = _datasets(meta, z_keys, False).groupBy("DatasetID", *by).agg(F.count(F.lit(1)).alias("__copies"))
+    joined = join_datasets(copies, _flat_rows(points))
+    return joined.groupBy(*by).agg(
+        F.sum("__copies").alias("n"), *[F.sum(F.col("__copies") * F.col(c)).alias(c) for c in ("En", "Data", "dData")])
 
 
 LEGACY_COLUMNS = ["entry_id", "target_z", "target_a", "reaction_mt", "energy", "xs", "dxs"]

@@ -225,3 +225,18 @@ def test_a_computed_line_is_made_once(spark):
     for parse in parsers:
         assert parse(lines)._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
     assert parsers[-1](lines).first()[:3] == (6, 12, 1.25)
+
+
+def test_totals_of_a_hot_dataset_need_no_pairs(spark, monkeypatch):
+    """2,000 points under an id with 30 metadata rows; the totals equal those over all pairs."""
+    meta = spark.createDataFrame([(i if i < 5 else -1, i % 4 + 1, "X-7", "n", 18) for i in range(35)], "DatasetID long, zTarg1 int, Targ1 string, Proj string, MT int")
+    flat = spark.createDataFrame([(i % 7 if i % 3 == 0 else -1, float(i), None if i % 5 == 0 else i / 8, 0.5) for i in range(3000)], "DatasetID long, x1 double, y double, dy double")
+    pairs = points.flat_points(meta, flat)
+    want = pairs.groupBy("Z").agg(F.count(F.lit(1)), F.sum("En"), F.sum("Data")).orderBy("Z").collect()
+    found = points.flat_point_totals(meta, flat, ["Z"])
+    assert [tuple(r)[:4] for r in found.orderBy("Z").collect()] == [tuple(r) for r in want] and len(want) == 4
+    joined = []
+    original = points.join_datasets
+    monkeypatch.setattr(points, "join_datasets", lambda *a, **k: joined.append(original(*a, **k)) or joined[-1])
+    points.flat_point_totals(meta, flat, ["Z"]).count()
+    assert joined[0].count() < pairs.count() / 5  # four values of Z for 30 rows of the hot id
