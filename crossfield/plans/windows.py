@@ -23,6 +23,9 @@ the core rows read, for all queries of a tile at once. A task holds the edges (a
 and a half tile sizes) and a few buckets. A group is cut into at most ``MOST_TILES`` tiles, so its
 summary stays below 4 * MOST_TILES**2 counts; larger groups get larger tiles.
 
+Where no window is longer than a tile, none of this is needed: a tile's task reads all rows of its
+windows, at most four tile sizes.
+
 Results are exact: they are the numbers that sorting each window would give.
 """
 
@@ -278,6 +281,35 @@ def _edge_rows(rows: DataFrame, tiles: DataFrame) -> DataFrame:
     return found.filter("rank >= from AND rank < to").select("gid", "tile", F.lit(1).alias("kind"), "rank", "vrank", "v")
 
 
+def _short_windows(rows: DataFrame, limit: int, spread: bool) -> DataFrame:
+    """(gid, rank, median, mad) where no window is longer than ``limit``.
+
+    Tiles are cut where rank + s + e passes a multiple of 3 * limit, so the windows of a tile reach over
+    at most 4 * limit rows, which its task holds.
+    """
+    blocked = rows.withColumns({"t": F.floor(F.col("rank") / limit), "tile": F.floor((F.col("rank") + F.col("s") + F.col("e")) / (3 * limit))})
+    queries = blocked.filter("s IS NOT NULL").select("gid", "tile", F.lit(0).alias("kind"), "rank", "s", "e")
+    reach = queries.groupBy("gid", "tile").agg(F.min("s").alias("from"), F.max("e").alias("to"))
+    wanted = reach.select("*", F.explode(F.sequence(F.floor(F.col("from") / limit), F.floor((F.col("to") - 1) / limit))).alias("t"))
+    held = _fresh(blocked.select("gid", "t", "rank", "v")).join(stored(wanted), ["gid", "t"]).filter(
+        "rank >= from AND rank < to").select("gid", "tile", F.lit(1).alias("kind"), "rank", "v")
+
+    def solve(hand: pa.Table) -> pa.Table:
+        kind, rank, v = (hand[c].to_numpy(zero_copy_only=False) for c in ("kind", "rank", "v"))
+        at = np.flatnonzero(kind == 1)
+        places = np.zeros(len(kind), np.int64)
+        places[at[np.lexsort((rank[at], v[at]))]] = np.arange(len(at))
+        # One bucket, all of it at hand as edge rows.
+        whole = {"size": len(at) + 1, "lo": [-np.inf], "hi": [np.inf], "base": [0]}
+        tile = Tile(hand.append_column("vrank", pa.array(places)), whole)
+        medians = tile.medians(0)
+        mads = tile.deviations(medians, (0, 1, 1, 1)) if spread else np.zeros(len(medians))
+        return pa.table({"gid": pa.array([hand["gid"][0].as_py()] * len(medians), pa.string()), "rank": tile.rank, "median": medians, "mad": mads})
+
+    hand = queries.unionByName(held, allowMissingColumns=True)
+    return hand.groupBy("gid", "tile").applyInArrow(solve, "gid string, rank long, median double, mad double")
+
+
 def window_medians(rows: DataFrame, keys: Sequence[str], limit: int, spread: bool = False) -> DataFrame:
     """(keys, rank, median[, mad]) of the rows that have a window.
 
@@ -288,7 +320,13 @@ def window_medians(rows: DataFrame, keys: Sequence[str], limit: int, spread: boo
     keys = list(keys)
     # One key without nulls stands for the group.
     rows = rows.select(*keys, "rank", "v", "s", "e").withColumn("gid", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    names = stored(rows.groupBy("gid").agg(*[F.first(k).alias(k) for k in keys], F.count(F.lit(1)).alias("n")))
+    facts = rows.groupBy("gid").agg(
+        *[F.first(k).alias(k) for k in keys], F.count(F.lit(1)).alias("n"), F.max(F.col("e") - F.col("s")).alias("longest"))
+    names = stored(facts)
+    if (names.agg(F.max("longest")).first()[0] or 0) <= limit:
+        found = attach(_short_windows(rows, limit, spread), names.drop("n", "longest"), ["gid"])
+        return found.select(*keys, "rank", "median", *(["mad"] if spread else []))
+    names = names.drop("longest")
     size = F.greatest(F.lit(limit), F.ceil(F.col("n") / MOST_TILES)).cast("long")
     sizes = names.select("gid", "n", size.alias("size"), F.ceil(size / 4).alias("quarter"))
     ranked = with_tiles(rows.select("gid", "rank", "v", "s", "e"), ["gid"], ["v", "rank"], limit, rank_as="vrank").drop("__tile")

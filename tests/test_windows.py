@@ -83,3 +83,18 @@ def test_ranked_stretch():
     want = [sorted([*sequence[a:b], *fixed])[i] for a, b, i in zip(first, last, k)]
     assert ranked.select(first, last, k).tolist() == want
     assert ranked.below(first, last, 17).tolist() == [(sequence[a:b] < 17).sum() for a, b in zip(first, last)]
+
+
+def test_short_windows_are_read_whole(spark, monkeypatch):
+    """Windows within a tile: no bucket counts, no core rows, a bounded reach, the same numbers."""
+    monkeypatch.setattr(windows, "_tiles", None)
+    monkeypatch.setattr(windows, "_read_core", None)
+    groups = {kind: data(kind, 700)[1] for kind in KINDS} | {None: np.arange(50.0)}
+    frame = pd.concat([pd.DataFrame({"k": pd.Series([k] * len(v), dtype=object), "rank": range(len(v)), "v": v,
+                                     "s": np.maximum(np.arange(len(v)) - 30, 0), "e": np.minimum(np.arange(len(v)) + 31, len(v))}) for k, v in groups.items()])
+    df = spark.createDataFrame(frame, "k string, rank long, v double, s long, e long")
+    got = window_medians(df, ["k"], 61, spread=True).toPandas().sort_values("rank")
+    for key, v in groups.items():
+        own, at = got[got.k.isna()] if key is None else got[got.k == key], np.arange(len(v))
+        med, mad = brute(v, np.maximum(at - 30, 0), np.minimum(at + 31, len(v)))
+        assert own["rank"].tolist() == at.tolist() and np.allclose(own["median"], med) and np.allclose(own["mad"], mad), key
