@@ -144,3 +144,13 @@ def test_scores_and_flags_in_one_shuffle_equal_the_joined_ones(spark, limit):
     assert got.experiment_outlier.any() and not got.experiment_outlier.all()
     assert np.allclose(got[names[:5]], want[names[:5]]) and (got[names[5:]].values == want[names[5:]].values).all()
     assert got[(got.A == 62)].experiment_outlier.any() and not got[got.A == 61].experiment_outlier.any()
+
+
+def test_a_large_table_is_scored_without_windows_over_its_rows(spark):
+    df = spark.createDataFrame(pd.concat([experiments(n, offset=25.0, bad_points=n // 20, seed=n).assign(A=n) for n in (1, 8, 40, 200)]))
+    rows, keys = outliers.prepare(df, outliers.OutlierConfig()), ["Z", "A", "MT"]
+    names = ["A", "row", "gp_mean", "gp_std", "z_score", "point_outlier", "experiment_outlier"]
+    large, small = outliers.score_experiments(rows, keys, "Entry", shuffled_rows=100), outliers.score_experiments(rows, keys, "Entry")
+    assert "Window" not in large._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (d.select(*names).toPandas().sort_values(["A", "row"]) for d in (large, small))
+    assert np.allclose(got[names[:5]], want[names[:5]]) and (got[names[5:]].values == want[names[5:]].values).all() and got.experiment_outlier.any()
