@@ -471,11 +471,8 @@ SELECT Z, MT, cnt AS group_size, count(*) AS points, count(*) FILTER (cnt > 1 AN
 def small_groups(spark, sf):
     keys = [*FULL_KEYS, "Entry"]
     rows = outliers.prepare(clean(spark, sf), outliers.OutlierConfig())
-    out = outliers.score_small_policy(rows, keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
-    from crossfield.plans.scale import attach
-
-    return attach(out, sizes, keys).groupBy("Z", "MT", "group_size").agg(
+    out = outliers.score_small_policy(rows, keys, size_as="group_size")
+    return out.groupBy("Z", "MT", "group_size").agg(
         F.count(F.lit(1)).alias("points"), F.count_if(F.col("z_score") > 3).alias("far"), rounded(F.avg("gp_std")).alias("mean_sigma"))
 
 

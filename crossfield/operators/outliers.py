@@ -182,15 +182,26 @@ def _flagged_in_windows(
     return df.drop("experiment_outlier").withColumn("experiment_outlier", F.coalesce(flag, F.lit(False)))
 
 
-def score_small_policy(df: DataFrame, keys: list[str], y: str = "log_sigma") -> DataFrame:
-    """A lone point scores 0 with sigma 1; other groups take median and MAD."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    scored = attach(score_by_median(df, keys, y), sizes, keys)
+def score_small_policy(
+    df: DataFrame, keys: list[str], y: str = "log_sigma", size_as: str | None = None, limit: int = PERCENTILE_ROWS,
+) -> DataFrame:
+    """A lone point scores 0 with sigma 1; other groups take median and MAD.
+
+    ``size_as`` keeps the number of rows of the group. Groups that fit a task are counted where the
+    shuffle of their scores has put them.
+    """
+    counts = group_sizes(df, keys, limit)
+    scored = score_by_median(df, keys, y, limit=limit, sizes=counts)
+    if counts.bounded:
+        scored = scored.withColumn("__size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    else:
+        scored = attach(scored, counts.table.withColumnRenamed("group_rows", "__size"), keys)
     lone = F.col("__size") == 1
     mean = F.when(lone, F.col(y)).otherwise(F.col("gp_mean"))
     sigma = F.when(lone, 1.0).otherwise(F.col("gp_std"))
     z = F.when(lone, 0.0).otherwise(F.abs(F.col(y) - F.col("gp_mean")) / F.greatest("gp_std", F.lit(1e-10)))
-    return scored.withColumns({"gp_mean": mean, "gp_std": sigma, "z_score": z}).drop("__size", "point_outlier")
+    out = scored.withColumns({"gp_mean": mean, "gp_std": sigma, "z_score": z}).drop("point_outlier")
+    return out.withColumnRenamed("__size", size_as) if size_as else out.drop("__size")
 
 
 def known_uncertainty() -> Column:

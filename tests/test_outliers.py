@@ -154,3 +154,15 @@ def test_a_large_table_is_scored_without_windows_over_its_rows(spark):
     assert "Window" not in large._jdf.queryExecution().optimizedPlan().toString()
     got, want = (d.select(*names).toPandas().sort_values(["A", "row"]) for d in (large, small))
     assert np.allclose(got[names[:5]], want[names[:5]]) and (got[names[5:]].values == want[names[5:]].values).all() and got.experiment_outlier.any()
+
+
+@pytest.mark.parametrize("limit", [10**6, 20])
+def test_small_policy_counts_groups_without_a_join(spark, limit):
+    df = spark.createDataFrame(pd.concat([experiments(n, seed=n).assign(A=n) for n in (1, 2, 40)]))
+    rows = outliers.prepare(df, outliers.OutlierConfig())
+    out = outliers.score_small_policy(rows, ["Z", "A", "MT"], size_as="size", limit=limit)
+    assert limit == 20 or "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = out.toPandas()
+    assert (found["size"] == found.A).all() and len(found) == 43
+    lone = found[found.A == 1].iloc[0]
+    assert lone.z_score == 0 and lone.gp_std == 1 and lone.gp_mean == lone.log_sigma
