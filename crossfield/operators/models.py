@@ -5,14 +5,15 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ MAX_DEPTH = 30          # Spark's own limit
 # What weights and targets are made of.
 RAW_COLUMNS = ["CrossSection", "Uncertainty", "Energy", "Energy_Uncertainty"]
 PART_ROWS = 1_000_000
+# Rows up to which the models of a search are fitted side by side.
+FITS_ROWS = 2_000_000
 BOOSTED_DEFAULTS = {
     "maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42,
 }
@@ -114,13 +117,9 @@ def _kept_rows(
     raw = [c for c in dict.fromkeys([*features, *RAW_COLUMNS, *keys]) if c in df.columns]
     rows, features = prepare_training(stored(df.select(*raw)), scaler, weight_mode, missing, features)
     used = dict.fromkeys([*features, "target", *(["weight"] if weight_mode else []), *keys])
-    return _bounded_parts(stored(rows.select(*used))), features
-
-
-def _bounded_parts(rows: DataFrame) -> DataFrame:
-    """At most about ``PART_ROWS`` rows in a partition: the trainers keep one as objects in memory."""
-    parts = -(-rows.count() // PART_ROWS)
-    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+    # The trainers keep a partition as objects in memory. Dealing the rows anew for every scan would
+    # leave a copy of them in shuffle files each time.
+    return stored(rows.select(*used), part_rows=PART_ROWS), features
 
 
 def train(
@@ -136,12 +135,20 @@ def train(
 def _train(
     rows: DataFrame, features: list[str], estimator, scaler: Scaler, test_fraction: float = 0.2, seed: int = 42,
 ) -> Model:
-    # The split is a function of the row's values, so recomputing it gives the same rows.
-    part = F.pmod(F.xxhash64(*features, "target", F.lit(seed)), F.lit(10_000)) < F.lit(int(test_fraction * 10_000))
-    fitted = _pipeline(estimator, features).fit(rows.filter(~part))
+    rows = rows.withColumn("__held", _held(features, test_fraction, seed))
+    return _measured(_pipeline(estimator, features).fit(rows.filter(~F.col("__held"))), rows, features, scaler)
+
+
+def _held(features: Sequence[str], test_fraction: float, seed: int) -> Column:
+    """Whether a row is held out: a function of its values, so recomputing it gives the same rows."""
+    return F.pmod(F.xxhash64(*features, "target", F.lit(seed)), F.lit(10_000)) < F.lit(int(test_fraction * 10_000))
+
+
+def _measured(fitted: PipelineModel, rows: DataFrame, features: list[str], scaler: Scaler) -> Model:
+    """The model with its metrics on the rows it was fitted on and on those held out (``__held``)."""
     model = Model(fitted, scaler, features)
     # Both parts, both spaces and the number of rows from one pass.
-    predicted = fitted.transform(rows).select(part.alias("held"), "target", "prediction")
+    predicted = fitted.transform(rows).select(F.col("__held").alias("held"), "target", "prediction")
     measured = predicted.groupBy("held").agg(
         F.count(F.lit(1)).alias("n"), *errors(F.col("target"), F.col("prediction"), "_log"),
         *errors(scaler.inverse_target("target"), scaler.inverse_target("prediction"), "_barns"))
@@ -183,16 +190,106 @@ def with_folds(df: DataFrame, key: Column, folds: int) -> DataFrame:
         "draw": F.pmod(F.floor(key / folds), F.lit(DRAWS)).cast("int")})
 
 
-def _held_out(rows: DataFrame, pipe: Pipeline, maps: list[dict], evaluator) -> tuple[list[float], list[float]]:
+def drawn_folds(df: DataFrame, folds: int, seed: int) -> DataFrame:
+    """Add ``fold``, drawn by ``seed``. Stored with the rows, it stays what it was drawn as."""
+    return df.withColumn("fold", F.floor(F.rand(seed) * folds).cast("int"))
+
+
+@dataclass
+class _Fits:
+    """What the models of a search are fitted on and scored by: stored rows, or the cells of a tree's bins.
+
+    A tree sees a row's bins only, so all it needs of the rows of one cell (equal bins) is their number,
+    the mean of their targets and the squared distances from it (``within``). One scan of the rows
+    makes the cells; no fit reads, or keeps, the rows again.
+    """
+
+    table: DataFrame
+    stages: list
+    cells: bool
+    parallelism: int
+
+    def fit(self, part: Column, estimator, maps: list[dict]) -> list[PipelineModel]:
+        """A model of each map. A fit keeps its rows in memory and on disk: of many rows only one goes on at a time."""
+        rows = self.table.filter(part)
+        n = rows.count()
+        if self.cells:
+            total = rows.agg(F.sum("rows")).first()[0] or 0
+            maps = [_of_weight(estimator, chosen, total) for chosen in maps]
+            estimator = estimator.copy({estimator.weightCol: "rows"})
+        pipe = Pipeline(stages=[self.stages[-1], estimator])
+        with ThreadPool(self.parallelism if n <= FITS_ROWS else 1) as pool:
+            fitted = pool.map(inheritable_thread_target(rows.sparkSession)(lambda chosen: pipe.fit(rows, chosen)), maps)
+        return [PipelineModel([*self.stages, model.stages[-1]]) for model in fitted]
+
+    def errors(self, part: Column, fitted: list[PipelineModel]) -> list[float]:
+        """Mean squared error of every model from one pass."""
+        out = self.stages[-1].transform(self.table.filter(part))
+        for i, model in enumerate(fitted):
+            out = model.stages[-1].copy().setPredictionCol(f"__p{i}").transform(out)
+        away = [F.col("target") - F.col(f"__p{i}") for i in range(len(fitted))]
+        if self.cells:
+            return list(out.agg(*[F.sum(F.col("rows") * d * d + F.col("within")) / F.sum("rows") for d in away]).first())
+        return list(out.agg(*[F.avg(d * d) for d in away]).first())
+
+
+def _of_weight(estimator, chosen: dict, total: int) -> dict:
+    """The map with its least number of rows in a node as their least weight, a cell weighing its rows."""
+    least, share = ({**estimator.extractParamMap(), **chosen}[p] for p in (estimator.minInstancesPerNode, estimator.minWeightFractionPerNode))
+    share = max(share, (least - 0.5) / total) if least > 1 else share
+    out = {**chosen, estimator.minInstancesPerNode: 1, estimator.minWeightFractionPerNode: min(share, 0.4999)}
+    return {**out, estimator.maxDepth: 0} if share >= 0.5 else out
+
+
+def _bins(rows: DataFrame, features: Sequence[str], most: int) -> Bucketizer:
+    """Bins of every feature: its values if there are few, else between ``most`` quantiles (rank error 1e-4)."""
+    steps = [i / most for i in range(1, most)]
+    column = {f: F.col(f"`{f}`").cast("double") for f in features}
+    found = rows.agg(*[F.struct(
+        F.approx_count_distinct(c).alias("kinds"), F.percentile_approx(c, steps, 10_000).alias("at")).alias(f"c{i}")
+        for i, c in enumerate(column.values())]).first()
+    inner = {f: sorted(set(cell["at"] or [])) for f, cell in zip(features, found, strict=True)}
+    few = [f for f, cell in zip(features, found, strict=True) if cell["kinds"] <= 2 * most]
+    if few:
+        sets = rows.agg(*[F.collect_set(column[f]) for f in few]).first()
+        inner |= {f: sorted(set(kinds))[1:] for f, kinds in zip(few, sets, strict=True) if len(kinds) <= most}
+    ends = float("inf")
+    # A bucketizer asks for two buckets at least.
+    return Bucketizer(
+        splitsArray=[[-ends, *(v for v in inner[f] or [0.0] if abs(v) < ends), ends] for f in features],
+        inputCols=list(features), outputCols=[f"__bin_{f}" for f in features])
+
+
+def _fits(rows: DataFrame, features: Sequence[str], estimator, maps: list[dict], keys: Sequence[str], parallelism: int) -> _Fits:
+    """Cells for a decision tree over unweighted rows, the rows themselves for every other trainer.
+
+    ``keys`` part the rows; no cell has rows of two parts.
+    """
+    plain = isinstance(estimator, DecisionTreeRegressor) and not estimator.isDefined(estimator.weightCol) and rows.count()
+    if not plain or any(estimator.maxBins in m for m in maps):
+        return _Fits(rows, [VectorAssembler(inputCols=list(features), outputCol="features")], False, parallelism)
+    bins = _bins(rows, features, estimator.getMaxBins())
+    names = bins.getOutputCols()
+    cells = bins.transform(rows).groupBy(*keys, *names).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("target").alias("target"), (F.var_pop("target") * F.count(F.lit(1))).alias("within"))
+    return _Fits(stored(cells), [bins, VectorAssembler(inputCols=names, outputCol="features")], True, parallelism)
+
+
+def _cross_validated(fits: _Fits, estimator, maps: list[dict], folds: int) -> list[float]:
+    """Mean over the folds (column ``fold``) of each map's squared error."""
+    fold, scores = F.col("fold"), []
+    for i in range(folds):
+        if fits.table.filter(fold == i).isEmpty() or fits.table.filter(fold != i).isEmpty():
+            raise ValueError(f"fold {i} has no rows to train on or to score")
+        scores.append(fits.errors(fold == i, fits.fit(fold != i, estimator, maps)))
+    return [sum(s) / folds for s in zip(*scores, strict=True)]
+
+
+def _held_out(fits: _Fits, estimator, maps: list[dict]) -> tuple[list[float], list[float]]:
     """Validation and test scores of each map, rows split by ``fold`` in 0..99."""
     fold = F.col("fold")
-    train_rows = rows.filter(fold < HOLDOUT[0])
-    sides = rows.filter((fold >= HOLDOUT[0]) & (fold < HOLDOUT[1])), rows.filter(fold >= HOLDOUT[1])
-    scores = []
-    for chosen in maps:
-        fitted = pipe.fit(train_rows, chosen)
-        scores.append([evaluator.evaluate(fitted.transform(side)) for side in sides])
-    return [s[0] for s in scores], [s[1] for s in scores]
+    fitted = fits.fit(fold < HOLDOUT[0], estimator, maps)
+    return fits.errors((fold >= HOLDOUT[0]) & (fold < HOLDOUT[1]), fitted), fits.errors(fold >= HOLDOUT[1], fitted)
 
 
 def search(
@@ -207,31 +304,24 @@ def search(
     (``with_folds``), else they are drawn by ``seed``.
     """
     scaler = scaler or Scaler()
-    if key is not None:
-        df = with_folds(df, key, 100 if validation == "holdout" else folds)
+    splits = 100 if validation == "holdout" else folds
+    df = drawn_folds(df, splits, seed) if key is None else with_folds(df, key, splits)
     everything, features = _kept_rows(df, scaler, weight_mode)
-    rows = subsample(everything, fraction, max_rows)
     if weight_mode:
         estimator = estimator.copy({estimator.weightCol: "weight"})
-    pipe = _pipeline(estimator, features)
-    evaluator = RegressionEvaluator(labelCol="target", metricName="mse")
-    common = {"estimator": pipe, "estimatorParamMaps": maps, "evaluator": evaluator, "parallelism": parallelism, "seed": seed}
-    tests = None
-    if validation == "holdout" and key is not None:
-        scores, tests = _held_out(rows, pipe, maps, evaluator)
+    everything = everything.withColumn("__held", _held(features, 0.2, seed))
+    rows, test = subsample(everything, fraction, max_rows), None
+    fits = _fits(rows, features, estimator, maps, ["fold", "__held"], parallelism)
+    if validation == "holdout":
+        scores, tests = _held_out(fits, estimator, maps)
         test = tests[min(range(len(maps)), key=lambda i: scores[i])]
-    elif validation == "holdout":
-        fitting, testing = rows.randomSplit([0.85, 0.15], seed)
-        found = TrainValidationSplit(trainRatio=0.70 / 0.85, **common).fit(fitting)
-        scores = found.validationMetrics
-        test = evaluator.evaluate(found.bestModel.transform(testing))
     else:
-        by_key = {"foldCol": "fold"} if key is not None else {}
-        found = CrossValidator(numFolds=folds, **common, **by_key).fit(rows)
-        scores, test = found.avgMetrics, None
+        scores = _cross_validated(fits, estimator, maps, folds)
     best = maps[min(range(len(maps)), key=lambda i: scores[i])]
     chosen = {p.name: v for p, v in best.items()}
-    model = _train(everything, features, estimator.copy(best), scaler)
+    if rows is not everything:
+        fits = _fits(everything, features, estimator, maps, ["__held"], parallelism)
+    model = _measured(fits.fit(~F.col("__held"), estimator, [best])[0], everything, features, scaler)
     return model, {"best": chosen, "score": min(scores), "test_mse": test,
                    "scores": [({p.name: v for p, v in m.items()}, s) for m, s in zip(maps, scores, strict=True)]}
 
@@ -246,21 +336,17 @@ def successive_halving(
     is below its share.
     """
     scaler = scaler or Scaler()
-    if key is not None:
-        df = with_folds(df, key, folds)
+    df = drawn_folds(df, folds, seed) if key is None else with_folds(df, key, folds)
     rows, features = _kept_rows(df, scaler)
     total, size, left, rounds = rows.count(), min_rows, list(maps), []
     while len(left) > 1:
         if key is None:
-            part, by_key = subsample(rows, 1.0, min(size, total), seed), {}
+            part = subsample(rows, 1.0, min(size, total), seed)
         else:
-            part, by_key = rows.filter(F.col("draw") < F.lit(-(-DRAWS * size // max(total, 1)))), {"foldCol": "fold"}
-        found = CrossValidator(
-            estimator=_pipeline(estimator, features), estimatorParamMaps=left,
-            evaluator=RegressionEvaluator(labelCol="target", metricName="mse"), numFolds=folds, seed=seed, **by_key,
-        ).fit(part)
-        rounds.append([({p.name: v for p, v in m.items()}, s) for m, s in zip(left, found.avgMetrics, strict=True)])
-        ranked = sorted(range(len(left)), key=lambda i: found.avgMetrics[i])
+            part = rows.filter(F.col("draw") < F.lit(-(-DRAWS * size // max(total, 1))))
+        scores = _cross_validated(_fits(part, features, estimator, left, ["fold"], 1), estimator, left, folds)
+        rounds.append([({p.name: v for p, v in m.items()}, s) for m, s in zip(left, scores, strict=True)])
+        ranked = sorted(range(len(left)), key=lambda i: scores[i])
         left = [left[i] for i in ranked[: max(1, len(left) // factor)]]
         size *= factor
     return _train(rows, features, estimator.copy(left[0]), scaler), {"best": {p.name: v for p, v in left[0].items()}, "rounds": rounds}

@@ -71,16 +71,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, part_rows: int | None = None) -> DataFrame:
     """Like ``materialize``, as Parquet beside the checkpoints, deleted when the application ends.
 
     A checkpoint keeps the size that the planner guessed for its plan, and a join's guess is the
     product of both sides. In a chain of joins and checkpoints the guesses square again and again,
     until planning alone takes minutes. Files have a size of their own.
+
+    ``part_rows`` bounds the rows of a partition, whoever scans the table, without a shuffle: files
+    have at most as many rows, and a session like this one reads each file as a partition.
     """
-    path = new_folder(df.sparkSession, "stored")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "stored")
+    df.write.option("maxRecordsPerFile", part_rows or 0).parquet(path)
+    if part_rows:
+        spark = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+        spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    out = spark.read.schema(df.schema).parquet(path)
     out.lineage_cut = True
     return out
 

@@ -58,3 +58,30 @@ def test_a_trainer_scans_stored_rows(frame, monkeypatch):
     assert rows.rdd.getNumPartitions() >= 6 and rows.count() == 600
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Project" not in plan and "parquet" in plan
+
+
+def test_a_search_fits_on_cells_as_on_rows(frame):
+    """Rows with equal bins are one weighted row of a fit; trees and scores are those of all rows."""
+    from pyspark.sql import functions as F
+
+    few = frame.select("CrossSection", F.round(F.log10("Energy")).alias("e"), "Z")
+    rows, features = models._kept_rows(models.drawn_folds(few, 3, 1), models.Scaler())
+    tree = models.decision_tree()
+    maps = models.grid_maps(tree, {"maxDepth": [0, 2, 5], "minInstancesPerNode": [1, 40, 500]})
+    cells = models._fits(rows, features, tree, maps, ["fold"], 4)
+    plain = models._Fits(rows, [models.VectorAssembler(inputCols=features, outputCol="features")], False, 4)
+    assert cells.table.count() <= 3 * 7 * 3 and cells.table.agg(F.sum("rows")).first()[0] == 600
+    got, want = (models._cross_validated(f, tree, maps, 3) for f in (cells, plain))
+    assert np.allclose(got, want, rtol=1e-9) and len({round(s, 9) for s in got}) == 4
+    model, found = models.search(few, tree, maps[:2], folds=2)
+    assert model.predict(few).count() == 600 and model.metrics["test_r2_log"] is not None and found["score"] == min(s for _, s in found["scores"])
+
+
+def test_bins_of_many_values_are_about_equal(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(10_000).select(F.exp(F.col("id") / 1000).alias("many"), (F.col("id") % 3 - 1).cast("double").alias("few"), F.lit(2.0).alias("one"))
+    counts = models._bins(rows, rows.columns, 32).transform(rows)
+    many = counts.groupBy("__bin_many").count()
+    assert many.count() == 32 and many.filter("count NOT BETWEEN 305 AND 320").isEmpty()
+    assert counts.select("few", "__bin_few").distinct().count() == 3 and counts.select("__bin_one").distinct().count() == 1
