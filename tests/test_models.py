@@ -85,3 +85,20 @@ def test_bins_of_many_values_are_about_equal(spark):
     many = counts.groupBy("__bin_many").count()
     assert many.count() == 32 and many.filter("count NOT BETWEEN 305 AND 320").isEmpty()
     assert counts.select("few", "__bin_few").distinct().count() == 3 and counts.select("__bin_one").distinct().count() == 1
+
+
+def test_the_boosted_query_grows_all_trees(spark, monkeypatch):
+    """The query trains with the operator's own settings, not with fewer or smaller trees."""
+    from crossfield.catalog import modelling
+
+    seen = []
+
+    def train(rows, estimator, **options):
+        seen.append(estimator)
+        return models.Model(metrics={"n": rows.count()})
+
+    monkeypatch.setattr(modelling.models, "train", train)
+    found = modelling.boosted(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == 1 and found[0].value > 5000
+    assert {k: seen[0].getOrDefault(k) for k in models.BOOSTED_DEFAULTS} == models.BOOSTED_DEFAULTS
+    assert models.BOOSTED_DEFAULTS["maxIter"] == 100 and models.BOOSTED_DEFAULTS["maxDepth"] == 6
