@@ -135,7 +135,9 @@ def trend_criterion(spark, sf):
 
 @register("w08_local_sigma", _FULL + f" SELECT {_K}, {r('avg(sigma)', 5)} AS mean, {r('min(sigma)', 5)} AS low, {r('max(sigma)', 5)} AS high FROM fin GROUP BY ALL")
 def local_sigma(spark, sf):
-    out = outliers.score(clean(spark, sf)).groupBy(*FULL_KEYS).agg(F.avg("gp_std").alias("mean"), F.min("gp_std").alias("low"), F.max("gp_std").alias("high"))
+    # Only what the scores are made of is moved to the tasks that score whole groups.
+    rows = clean(spark, sf).select(*FULL_KEYS, "Entry", "Energy", "CrossSection", "Uncertainty")
+    out = outliers.score(rows).groupBy(*FULL_KEYS).agg(F.avg("gp_std").alias("mean"), F.min("gp_std").alias("low"), F.max("gp_std").alias("high"))
     return round_columns(out, "mean", "low", "high", digits=5)
 
 

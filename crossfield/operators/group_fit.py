@@ -5,9 +5,14 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
+from crossfield.plans.windows import block_mads
+
 DEGREE = 3
+# Rows up to which a window slides as a sorted list.
+LIST_ROWS = 2_000
 MAD_TO_SIGMA = 1.4826
 SCORE_NAMES = ["gp_mean", "gp_std", "z_score", "point_outlier", "experiment_outlier"]
 
@@ -77,13 +82,16 @@ def sorted_mad(values):
 def rolling_mad(x, r, fraction=0.1, min_points=15, half=None, rows=None):
     """Scaled MAD of r in [x - h, x + h] per point of x in ascending order.
 
-    A window with too few points takes the nearest ones instead (ties by x, then r). The
-    window slides as a sorted list, so a step costs a few binary searches. ``rows`` limits
-    the output to a stretch of the points, ``half`` fixes the window's half width.
+    A window with too few points takes the nearest ones instead (ties by x, then r). In a small
+    group the window slides as a sorted list, so a step costs a few binary searches; in a larger
+    one, where its inserts would move half the window, windows are solved in blocks. ``rows``
+    limits the output to a stretch of the points, ``half`` fixes the window's half width.
     """
     n = len(x)
     half = max((x[-1] - x[0]) * fraction, 0.1) if half is None else half
     begin, stop = rows or (0, n)
+    if stop - begin > LIST_ROWS:
+        return _rolling_mad_in_blocks(x, r, half, min_points, begin, stop)
     starts = np.searchsorted(x, x[begin:stop] - half, side="left").tolist()
     ends = np.searchsorted(x, x[begin:stop] + half, side="right").tolist()
     xs, rs = x.tolist(), r.tolist()
@@ -108,6 +116,24 @@ def rolling_mad(x, r, fraction=0.1, min_points=15, half=None, rows=None):
     return out * MAD_TO_SIGMA
 
 
+def _rolling_mad_in_blocks(x, r, half, min_points, begin, stop):
+    """``rolling_mad`` of a large group: points of equal x have one window, solved once."""
+    first = begin + np.flatnonzero(np.concatenate([[True], x[begin + 1:stop] != x[begin:stop - 1]]))
+    starts = np.searchsorted(x, x[first] - half, side="left")
+    ends = np.searchsorted(x, x[first] + half, side="right")
+    few = ends - starts < min_points
+    out = np.empty(len(first))
+    if not few.all():
+        out[~few] = block_mads(r, starts[~few], ends[~few])
+    for k in np.flatnonzero(few):
+        i = first[k]
+        # A window of this width around the point holds the nearest ones, whole ties included.
+        a, b = np.searchsorted(x, x[max(0, i - min_points + 1)]), np.searchsorted(x, x[min(len(x), i + min_points) - 1], side="right")
+        near = np.lexsort((r[a:b], x[a:b], np.abs(x[a:b] - x[i])))[:min_points]
+        out[k] = sorted_mad(np.sort(r[a:b][near]))
+    return np.repeat(out, np.diff(np.append(first, stop))) * MAD_TO_SIGMA
+
+
 def nearest_span(xs, i, k):
     """Index range that certainly holds the k nearest of xs[i], whole ties included."""
     first, last = max(0, i - k + 1), min(len(xs), i + k)
@@ -122,6 +148,8 @@ def median_filter(values, size):
 
 def running_median(values, size):
     """Medians of all stretches of an odd size."""
+    if len(values) > LIST_ROWS:
+        return pd.Series(values).rolling(size).median().to_numpy()[size - 1:]
     values, half = values.tolist(), size // 2
     window, out = sorted(values[:size]), np.empty(len(values) - size + 1)
     for i in range(len(out)):

@@ -21,8 +21,8 @@ from crossfield.operators.profile import with_logs
 from crossfield.plans.quantiles import PERCENTILE_ROWS, group_percentiles
 from crossfield.plans.scale import GroupSizes, attach, fits, group_sizes, materialize
 
-# Rows of one group a task scores at once: about two seconds of work.
-SCORE_ROWS = 200_000
+# Rows of one group a task scores at once: some ten seconds of work, and 200 MB with all columns.
+SCORE_ROWS = 800_000
 # Rows of a table up to which whole rows are shuffled for windows instead of read again for counts.
 SHUFFLED_ROWS = 2_000_000
 ENTRY_NAMES = ["Entry", "entry", "ENTRY", "ExforEntry", "exfor_entry"]

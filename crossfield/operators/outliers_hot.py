@@ -27,6 +27,8 @@ from crossfield.plans.scale import GroupSizes, attach, stored
 from crossfield.plans.windows import window_medians
 
 POWERS = 2 * G.DEGREE + 1
+# Most rows of a tile of a group that no task scores at once.
+TILE_ROWS = 200_000
 ROUNDS = 5
 
 
@@ -159,7 +161,7 @@ def robust_trend(unique: DataFrame, keys: list[str], sizes: GroupSizes, rounds:
 
 def local_sigma(centred: DataFrame, keys: list[str], config: OutlierConfig) -> DataFrame:
     """(keys, log_E, gp_std): the floored and smoothed rolling MAD, one value per distinct energy."""
-    limit = max(config.score_rows, 2 * config.window_points)
+    limit = max(min(config.score_rows, TILE_ROWS), 2 * config.window_points)
     half = F.greatest((F.col("hi") - F.col("lo")) * config.window_fraction, F.lit(0.1))
     points = centred.filter("log_E IS NOT NULL AND r IS NOT NULL").select(
         *keys, half.alias("half"), "n_rows", F.col("log_E").alias("x"), "r")

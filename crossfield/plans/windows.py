@@ -43,6 +43,8 @@ from crossfield.plans.ordering import with_tiles
 from crossfield.plans.scale import attach, grid_join, stored
 
 MOST_TILES = 4096
+# Edge rows of a block of windows that one task solves at once.
+BLOCK_ROWS = 8192
 # Core rows, in tile sizes, above which a tile's medians are cut into runs.
 RUN_TILES = 8
 # Relative widening of the zones, far above the rounding of a double.
@@ -201,6 +203,92 @@ class Tile:
         return np.where(self.n % 2 == 1, upper, (nearest(np.maximum(self.n // 2, 1)) + upper) / 2.0)
 
 
+def block_mads(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = BLOCK_ROWS) -> np.ndarray:
+    """The median absolute deviation of values[s:e] for windows that never move back, in one task.
+
+    The way of a ``Tile`` over an array: windows are taken in blocks whose edges hold at most ``block``
+    rows, the rows that all windows of a block share are kept sorted, and of these only stretches
+    as wide as the edges are looked at, around the medians and the two ends of the nearest halves.
+    """
+    order = np.argsort(values, kind="stable")
+    ordered, rank = values[order], np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    shared, begin, end = np.zeros(len(values), bool), 0, 0
+    out = np.empty(len(starts))
+    number = (starts + ends) // block
+    cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(starts)]
+    for at, to in zip(cuts[:-1], cuts[1:]):
+        s, e = starts[at:to].astype(np.int64), ends[at:to].astype(np.int64)
+        left, right = int(s[-1]), int(max(e[0], s[-1]))
+        shared[rank[begin:min(left, end)]] = False
+        shared[rank[max(left, end):right]] = True
+        begin, end = left, right
+        edge = np.concatenate([rank[s[0]:left], rank[right:max(right, e[-1])]])
+        out[at:to] = _block(ordered, np.flatnonzero(shared), edge, s - s[0], left - s[0] + e - right, e - s)
+    return out
+
+
+def _block(ordered: np.ndarray, core: np.ndarray, edge: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """MADs of the windows ``core`` + edge[first:last], both given as ranks, ``core`` sorted."""
+    edges = len(edge)
+
+    def hand(*parts: tuple[int, int]):
+        """Values by place in a window, for places whose core rows lie in a part; one function for each part."""
+        spans, taken, missing = [], [], []
+        upto = gap = 0
+        for low, high in parts:
+            low = min(max(low, upto), len(core))
+            high = min(max(high, low), len(core))
+            gap += low - upto
+            upto = high
+            spans.append(core[low:high])
+            missing.append(gap)
+        known = np.sort(np.concatenate([*spans, edge]))
+        places = [np.searchsorted(known, part) for part in (edge, np.concatenate(spans))]
+        stretch, taken = RankedStretch(*places, len(known)), ordered[known]
+        return [lambda k, on, skipped=m: taken[stretch.select(first[on], last[on], k - skipped)] for m in missing]
+
+    everyone = np.arange(len(n))
+    (value,) = hand((int((n.min() - 1) // 2) - edges, int(n.max() // 2) + 1))
+    centre = (value((n - 1) // 2, everyone) + value(n // 2, everyone)) / 2.0
+
+    # A place of a window lies between the same place of the core and the one as many rows before as
+    # there are edges. Ends of the nearest halves lie where this leaves open which side is nearer.
+    least, most, short, long = centre.min(), centre.max(), int(n.min() // 2), int(n.max() // 2) + 1
+
+    def at(place: int) -> float:
+        return -np.inf if place < 0 else np.inf if place >= len(core) else ordered[core[place]]
+
+    def first_place(settled) -> int:
+        low, high = 0, int(n.max()) - short
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if settled(mid) else (mid + 1, high)
+        return low
+
+    from_, upto = (first_place(lambda p: not least - at(p) > at(p + long) - least),
+                   first_place(lambda p: most - at(p - edges) <= at(p + short - edges) - most))
+    lower, upper = hand((from_ - edges, upto + 2), (from_ + short - 1 - edges, upto + long + 2))
+
+    def nearest(k: np.ndarray, low: np.ndarray, high: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the k nearest values begin, and the distance of the furthest of them."""
+        low, high = low.copy(), high.copy()
+        while len(open_ := np.flatnonzero(low < high)):
+            mid, own = (low[open_] + high[open_]) // 2, on[open_]
+            further = centre[own] - lower(mid, own) > upper(mid + k[open_], own) - centre[own]
+            low[open_], high[open_] = np.where(further, mid + 1, low[open_]), np.where(further, high[open_], mid)
+        return low, np.maximum(centre[on] - lower(low, on), upper(low + k - 1, on) - centre[on])
+
+    k = n // 2 + 1
+    low, mads = nearest(k, np.minimum(from_, n - k), np.minimum(upto, n - k), everyone)
+    even = np.flatnonzero(n % 2 == 0)
+    if len(even):
+        # The nearest without the furthest of them begin at the same place or one behind.
+        _, inner = nearest(k[even] - 1, low[even], low[even] + 1, even)
+        mads[even] = (inner + mads[even]) / 2.0
+    return mads
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """The same table with columns of its own, so that two tables of one origin can meet."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

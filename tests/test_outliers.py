@@ -166,3 +166,47 @@ def test_small_policy_counts_groups_without_a_join(spark, limit):
     assert (found["size"] == found.A).all() and len(found) == 43
     lone = found[found.A == 1].iloc[0]
     assert lone.z_score == 0 and lone.gp_std == 1 and lone.gp_mean == lone.log_sigma
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "clumps", "sparse", "one value"])
+@pytest.mark.parametrize("block", [60, 900, 8192])
+def test_a_large_group_in_blocks_equals_the_sliding_list(monkeypatch, kind, block):
+    """Deviations and running medians of a group above ``LIST_ROWS``: the same numbers, bit for bit."""
+    from crossfield.plans import windows
+
+    rng, n = np.random.default_rng(7), 2500
+    x, r = rng.uniform(0, 3, n), rng.normal(size=n)
+    if kind == "ties":
+        x, r = np.round(x * x, 1), np.round(r, 1)
+    elif kind == "clumps":
+        r = r * 0.01 + np.where(rng.random(n) < 0.5, 0.0, 100.0)
+    elif kind == "sparse":
+        x[:60] = np.linspace(5, 60, 60)
+    elif kind == "one value":
+        r[:] = 0.25
+    order = np.lexsort((r, x))
+    x, r = x[order], r[order]
+    monkeypatch.setattr(windows.block_mads, "__defaults__", (block,))
+    got = G.rolling_mad(x, r), G.rolling_mad(x, r, rows=(100, 2400)), G.median_filter(r, 125)
+    monkeypatch.setattr(G, "LIST_ROWS", n)
+    want = G.rolling_mad(x, r), G.rolling_mad(x, r, rows=(100, 2400)), G.median_filter(r, 125)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_windows_of_equal_x_are_solved_once(monkeypatch):
+    solved, blocks = [], G.block_mads
+    monkeypatch.setattr(G, "block_mads", lambda v, s, e: solved.append(len(s)) or blocks(v, s, e))
+    x = np.repeat(np.linspace(0, 3, 100), 300)
+    G.rolling_mad(x, np.random.default_rng(1).normal(size=len(x)))
+    assert solved == [100]
+
+
+def test_a_group_of_some_hundred_thousand_rows_is_scored_in_a_task(spark):
+    """Such a group takes one shuffle; before, its trend and windows took dozens of jobs over sorted copies."""
+    rows = spark.range(300_000).selectExpr(
+        "1 AS Z", "2 AS A", "18 AS MT", "'n' AS Projectile", "concat('E', id % 7) AS Entry", "1.0 + id % 50000 AS Energy",
+        "2.0 + sin(id) AS CrossSection", "0.1 AS Uncertainty")
+    scored = outliers.score(rows)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+    assert scored.filter("gp_std IS NULL OR z_score IS NULL").count() == 0
